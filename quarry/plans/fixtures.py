@@ -81,8 +81,16 @@ def v_embeddable(spark: SparkSession, sf_dir: str) -> DataFrame:
         ~is_binary(F.encode("content", "UTF-8")))
 
 
-def v_chunk(spark: SparkSession, sf_dir: str, keep_text: bool = True) -> DataFrame:
+def v_chunk(spark: SparkSession, sf_dir: str, keep_text: bool = True, rebalance: bool = True) -> DataFrame:
+    """Token chunks of the embeddable files.
+
+    ``rebalance`` spreads the files over evenly sized partitions (AQE ``REBALANCE``)
+    before the per-row heavy work (chunking, embedding): the driver's tables are
+    single files with few row groups, so the scan alone gives fewer tasks than cores.
+    """
     f = v_embeddable(spark, sf_dir).drop("sha")
+    if rebalance:
+        f = f.hint("rebalance")
     return with_chunks(f, "content", FIXTURE_CHUNK_TOKENS, keep_text=keep_text).drop("content")
 
 

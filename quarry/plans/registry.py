@@ -174,8 +174,8 @@ SELECT ws, relpath, lang, size, sha FROM (
 WHERE rn <= 100"""
 
 
-register("find_file_exact", _find_sql("relpath = 'src/f121.Rs'"))(
-    lambda s, d: listing.find_file(V.v_file(s, d), " src/f121.Rs ", "exact"))
+register("find_file_exact", _find_sql("relpath = 'src/f121.md'"))(
+    lambda s, d: listing.find_file(V.v_file(s, d), " src/f121.md ", "exact"))
 register("find_file_prefix", _find_sql("starts_with(relpath, 'src/lib/')"))(
     lambda s, d: listing.find_file(V.v_file(s, d), "src/lib/", "Prefix"))
 register("find_file_suffix", _find_sql("suffix(relpath, '.md')"))(
