@@ -98,7 +98,7 @@ def _bincount_udf(dim: int):
         vals = feats.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         rows = np.repeat(np.arange(n, dtype=np.int64), lens)
         counts = np.bincount(rows * dim + (np.abs(vals) - 1), weights=np.sign(vals).astype(np.float64),
-                             minlength=n * dim).reshape(n, dim)
+                             minlength=n * dim).astype(np.float64).reshape(n, dim)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         np.divide(counts, norms, out=counts, where=norms > 0)
         offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))

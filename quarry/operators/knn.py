@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.functions.vectors import cosine_to_query
 
@@ -100,6 +101,7 @@ def batch_knn(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
     if not blocks:
         return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
     d = blocks[0][1].shape[1]
+    arrow_schema = to_arrow_schema(out_schema)
     results = []
     for ids, mat in blocks:
         qn = np.linalg.norm(mat, axis=1)
@@ -111,7 +113,7 @@ def batch_knn(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
         bc = spark.sparkContext.broadcast((qids, qmat))
         kk = int(k)
 
-        def score_partition(batches, bc=bc, kk=kk):
+        def score_partition(batches, bc=bc, kk=kk, arrow_schema=arrow_schema):
             q_ids, q = bc.value
             nq = q.shape[1]
             pool: list[tuple[np.ndarray, np.ndarray, pa.Table]] = []  # (score, query index, rows)
@@ -160,10 +162,10 @@ def batch_knn(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
             if not pool:
                 return
             cs, cq, rows = prune(pool)[0]
-            cols = {qid_col: pa.array([q_ids[j] for j in cq]),
+            cols = {qid_col: pa.array([q_ids[j] for j in cq], type=arrow_schema.field(qid_col).type),
                     **{c: rows.column(c) for c in [id_col, *carry_cols]},
                     "score": pa.array(cs, type=pa.float64())}
-            yield from pa.Table.from_pydict(cols).to_batches()
+            yield from pa.Table.from_pydict(cols, schema=arrow_schema).to_batches()
 
         src = chunks.filter(F.size(vec_col) == d).select(id_col, vec_col, *carry_cols)
         cands = src.mapInArrow(score_partition, out_schema)

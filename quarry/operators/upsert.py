@@ -50,17 +50,23 @@ def upsert_table(existing: DataFrame, updates: DataFrame, keys: Sequence[str],
 
 def merge_table(existing: DataFrame, updates: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                 fields: Sequence[str] | None = None) -> DataFrame:
-    """Existing rows with supplied (non-NULL) fields overwritten; new keys inserted."""
-    fields = list(fields or [c for c in existing.columns if c not in keys])
-    batch_fields = [c for c in fields if c in updates.columns]
+    """Existing rows with supplied (non-NULL) fields overwritten; new keys inserted.
+
+    ``fields`` names the updatable fields (default: every non-key column of
+    ``updates``); all other columns of ``existing`` are kept as they are.
+    """
+    batch_fields = list(fields or [c for c in updates.columns if c not in keys and c not in order_cols])
     batch = merged_per_key(updates, keys, order_cols, batch_fields)
-    old = existing.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in fields])
+    kept_cols = [c for c in existing.columns if c not in keys]
+    old = existing.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in kept_cols])
     new = batch.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in batch_fields])
     joined = old.join(new, list(keys), "full_outer")
     out = []
-    for c in fields:
-        if c in batch_fields:
+    for c in kept_cols + [c for c in batch_fields if c not in kept_cols]:
+        if c in batch_fields and c in kept_cols:
             out.append(F.coalesce(F.col(f"_new_{c}"), F.col(f"_old_{c}")).alias(c))
+        elif c in batch_fields:
+            out.append(F.col(f"_new_{c}").alias(c))
         else:
             out.append(F.col(f"_old_{c}").alias(c))
     return joined.select(*keys, *out)

@@ -36,32 +36,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint directory, creating a local one only if none is set.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared folder; we use it as is.
-    """
-    conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``; a local temp folder only when unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
         try:
-            conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-        except Exception:
-            conf_dir = None
-    if not conf_dir:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-    if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
-        return conf_dir
-    local_dir = tempfile.mkdtemp(prefix="quarry-ckpt-")
-    spark.sparkContext.setCheckpointDir(local_dir)
-    try:
-        spark.conf.set("spark.checkpoint.dir", local_dir)
-    except Exception:  # core confs may be read-only at runtime; the context already knows the dir
-        pass
-    return local_dir
+            root = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001
+            root = None
+    if not root:
+        root = _LOCAL_ROOT.setdefault("dir", tempfile.mkdtemp(prefix="quarry-ckpt-"))
+    return root
+
+
+_LOCAL_ROOT: dict[str, str] = {}
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Point ``DataFrame.checkpoint()`` at the checkpoint root (once per application)."""
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
+    spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    return ensure_checkpoint_dir(spark)
+    return checkpoint_root(spark)
