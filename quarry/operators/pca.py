@@ -67,3 +67,16 @@ def project(df: DataFrame, result: PcaResult, vec_col: str = "vector", out_col:
     ])
     return staged.withColumn(out_col, proj).drop("_c")
 
+
+
+def write_model(spark, result: PcaResult, path: str, name: str) -> str:
+    """Write the model JSON (one text file) and return its transform id ``<name>@<8 hex>``.
+
+    The id is the first four bytes of the SHA-256 of the written JSON, computed
+    with the same Spark expression as :func:`quarry.functions.hashing.transform_id`.
+    """
+    from quarry.functions.hashing import transform_id
+
+    doc = spark.createDataFrame([(result.to_json(),)], "value string")
+    doc.coalesce(1).write.mode("overwrite").text(path)
+    return doc.select(transform_id("value", name).alias("t")).first()["t"]

@@ -79,3 +79,44 @@ def acceptance_report(*measures: DataFrame) -> DataFrame:
         F.max(F.when(F.col("side") == "expected", F.col("value"))).alias("expected"),
         F.max(F.when(F.col("side") == "actual", F.col("value"))).alias("actual"),
     ).withColumn("ok", F.col("expected") == F.col("actual"))
+
+
+def workspace_acceptance(catalog, ws: str, discovered_files: int | None = None) -> DataFrame:
+    """Acceptance checks of one indexed workspace, as ``(check_name, expected, actual, ok)``.
+
+    * files discovered by the scan = files in the catalogue (when ``discovered_files`` is given);
+    * the root directory has a ``ws_contains_dir`` edge;
+    * every chunk vector has the model's native width;
+    * every chunk's ``content_sha`` recomputes from the stored content bytes;
+    * every centroid has a positive sample.
+    """
+    files = catalog.read("file").filter(F.col("ws") == ws)
+    dirs = catalog.read("directory").filter(F.col("ws") == ws)
+    edges = catalog.read("edge").filter(F.col("relation") == "ws_contains_dir")
+    chunks = catalog.read("vector_chunk").filter(F.col("ws") == ws)
+    content = catalog.read("content").filter(F.col("ws") == ws).select("relpath", "content")
+    recomputed = F.sha2(F.substring(F.col("content"), F.col("start") + 1, F.col("end") - F.col("start")), 256)
+    joined = chunks.select("relpath", "start", "end", "content_sha", "vector", "native_dim").join(content, "relpath", "left")
+    wsv = catalog.read("workspace_vector").filter(F.col("ws") == ws)
+    root_edges = dirs.filter(F.col("relpath") == "").join(edges, dirs["id"] == edges["out_id"], "left_semi")
+    parts = [
+        measures(files, [("files catalogued", "actual", F.count(F.lit(1)))]),
+        measures(root_edges, [("root edge present", "actual", F.count(F.lit(1)))]),
+        measures(joined, [
+            ("vector width = native dim", "expected", F.count(F.lit(1))),
+            ("vector width = native dim", "actual", F.sum(F.when(F.size("vector") == F.col("native_dim"), 1).otherwise(0))),
+            ("chunk content_sha recomputes", "expected", F.count(F.lit(1))),
+            ("chunk content_sha recomputes", "actual", F.sum(F.when(recomputed == F.col("content_sha"), 1).otherwise(0))),
+        ]),
+        measures(wsv, [("centroid sample > 0", "expected", F.count(F.lit(1))),
+                       ("centroid sample > 0", "actual", F.sum(F.when(F.col("sample") > 0, 1).otherwise(0)))]),
+    ]
+    spark = files.sparkSession
+    fixed = [("root edge present", "expected", 1)]
+    if discovered_files is not None:
+        fixed.append(("files catalogued", "expected", int(discovered_files)))
+    parts.append(spark.createDataFrame(fixed, "check_name string, side string, value bigint"))
+    report = acceptance_report(*parts)
+    if discovered_files is None:
+        report = report.filter(F.col("check_name") != "files catalogued")
+    return report

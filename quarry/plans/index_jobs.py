@@ -22,6 +22,7 @@ from quarry.operators.chunking import with_chunks
 from quarry.operators.embedding import Embedder, embed
 from quarry.sources.catalog import Catalog
 from quarry.sources.ndjson import write_artifact
+from quarry.session import ensure_checkpoint_dir
 from quarry.sources.workspace_fs import read_workspace
 
 STEP_SCAN, STEP_EMBED, STEP_ALL = "index.scan", "index.embed", "index.all"
@@ -72,8 +73,14 @@ def _validate(root: str, ws: str) -> str:
 
 def scan_frames(spark: SparkSession, root: str, ws: str, content: bool = True, case_fold: bool = False,
                 partitions: int | None = None):
-    """(directories, files, content, rejects) of one workspace tree."""
-    inv = read_workspace(spark, root, ws, content=content, partitions=partitions)
+    """(directories, files, content, rejects) of one workspace tree.
+
+    The inventory is checkpointed once (into ``spark.checkpoint.dir``), so the
+    tree is walked and hashed a single time however many tables derive from it,
+    and a lost executor does not re-walk it.
+    """
+    ensure_checkpoint_dir(spark)
+    inv = read_workspace(spark, root, ws, content=content, partitions=partitions).checkpoint(eager=True)
     dirs = inv.filter(F.col("kind") == "dir").select(
         dir_id("ws", "relpath", case_fold).alias("id"), "ws", "relpath", "sha", "mtime")
     files = inv.filter(F.col("kind") == "file").select(
@@ -132,6 +139,16 @@ def chunk_frame(content: DataFrame, files: DataFrame, max_tokens: int = MAX_TOKE
     return ch.withColumn("file", file_id("ws", "relpath", case_fold))
 
 
+def _check_acceptance(catalog: Catalog, ws: str, report: RunReport) -> None:
+    """Run the workspace acceptance checks; a failed check fails the run (rows: one per check)."""
+    from quarry.operators.quality import workspace_acceptance
+
+    for r in workspace_acceptance(catalog, ws).collect():
+        report.notes.append(f"{r.check_name}: {r.actual}/{r.expected}")
+        if not r.ok:
+            report.risks.append(f"acceptance check failed: {r.check_name}")
+
+
 def index_embed(spark: SparkSession, catalog: Catalog, ws: str, embedder: Embedder, model_name: str,
                 artifact_root: str, max_tokens: int = MAX_TOKENS_PER_CHUNK, model_sha: str = "",
                 effective_dim: int | None = None, transform_id_: str = "", case_fold: bool = False,
@@ -143,7 +160,9 @@ def index_embed(spark: SparkSession, catalog: Catalog, ws: str, embedder: Embedd
     try:
         _embed_into(spark, catalog, ws, embedder, model_name, f"{artifact_root}/{rid}", max_tokens, model_sha,
                     effective_dim, transform_id_, case_fold, rebalance, report)
-        report.acceptance, report.finished = "pass", _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        _check_acceptance(catalog, ws, report)
+        report.acceptance = "fail" if report.risks else "pass"
+        report.finished = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     except Exception as e:  # noqa: BLE001
         report.risks.append(str(e))
         _append_report(catalog, report)
@@ -215,6 +234,8 @@ def index_all(spark: SparkSession, catalog: Catalog, root: str, ws: str, embedde
         report.risks.append(f"embedding failed: {e}")
         _append_report(catalog, report)
         raise
-    report.acceptance, report.finished = "pass", _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    _check_acceptance(catalog, ws, report)
+    report.acceptance = "fail" if report.risks else "pass"
+    report.finished = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     _append_report(catalog, report)
     return report

@@ -62,6 +62,12 @@ class Catalog:
             self._pointer(table))
         return v
 
+    def sql(self, query: str, tables: Sequence[str], **args) -> DataFrame:
+        """Run a parameterised query (``:name`` markers bound from ``args``) over catalog tables."""
+        for t in tables:
+            self.read(t).createOrReplaceTempView(t)
+        return self.spark.sql(query, args=args or None)
+
     # ---------------------------------------------------------------- keyed maintenance
     def upsert(self, table: str, updates: DataFrame, keys: Sequence[str], order_cols: Sequence[str] | None = None) -> int:
         """Insert or replace whole rows by key (the newest update per key wins)."""

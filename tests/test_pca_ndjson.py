@@ -34,3 +34,18 @@ def test_read_texts(spark, tmp_path):
     ]) + "\n")
     assert [r.text for r in read_texts(spark, str(p), 0).collect()] == ["first", "second", "third"]
     assert [r.text for r in read_texts(spark, str(p), 2).collect()] == ["first", "second"]
+
+
+def test_fit_pca_on_corpus(spark, tmp_path):
+    from quarry.operators.embedding import HashEmbedder
+    from quarry.plans.pca_job import fit_pca_on_corpus
+
+    p = tmp_path / "c.ndjson"
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
+    p.write_text("\n".join(json.dumps({"text": " ".join(words[(i + j) % 8] for j in range(i % 5 + 1))}) for i in range(60)))
+    res, tid = fit_pca_on_corpus(spark, str(p), HashEmbedder(16), str(tmp_path / "model"), "pca-test", k=4)
+    assert res.components.shape == (16, 4) and res.n == 60
+    assert tid.startswith("pca-test@") and len(tid) == len("pca-test@") + 8
+    import hashlib
+    written = (next((tmp_path / "model").glob("part-*"))).read_text().strip()
+    assert tid.endswith(hashlib.sha256(written.encode()).hexdigest()[:8])

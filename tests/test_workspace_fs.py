@@ -67,6 +67,7 @@ def test_index_all_end_to_end(spark, tree, tmp_path):
     cat = Catalog(spark, str(tmp_path / "catalog"))
     rep = J.index_all(spark, cat, str(tree), "workspace-alpha", const, "nomic-embed-text-v1.5", str(tmp_path / "runs"))
     assert rep.acceptance == "pass" and rep.finished is not None and rep.run_id.startswith("RUN-")
+    assert any(n.startswith("chunk content_sha recomputes: 5/5") for n in rep.notes), rep.notes
     assert len(rep.artifact_paths) == 3
     files = cat.read("file")
     assert files.count() == 8
