@@ -35,6 +35,13 @@ UNICODE_SPACE_CLASS = (
     r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 
+# the same set as plain characters, for set-based trimming
+UNICODE_SPACE_CHARS = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- fixed values: terminal escape sequences, removed in this order ----------------------
 ANSI_OSC = r"\x1b\][^\x07]*(\x07|\x1b\\)"
 ANSI_CSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]"

@@ -17,7 +17,7 @@ from quarry.constants import (
     SNIPPET_ELLIPSIS,
     SNIPPET_MAX_BYTES,
     TRUNCATED_MARKER,
-    UNICODE_SPACE_CLASS,
+    UNICODE_SPACE_CHARS,
 )
 
 
@@ -26,8 +26,8 @@ def _col(c) -> Column:
 
 
 def go_trim(s) -> Column:
-    """Strip leading and trailing Unicode white space (Spark's ``trim`` strips spaces only)."""
-    return F.regexp_replace(_col(s), f"^{UNICODE_SPACE_CLASS}+|{UNICODE_SPACE_CLASS}+$", "")
+    """Strip leading and trailing Unicode white space (Spark's plain ``trim`` strips spaces only)."""
+    return F.btrim(_col(s), F.lit(UNICODE_SPACE_CHARS))
 
 
 def as_text(content) -> Column:

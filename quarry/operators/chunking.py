@@ -66,21 +66,22 @@ def with_chunks(
 
 
 def text_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per line: ``line_number`` (1-based) and ``line``.
+    """One row per line: ``line_number`` (1-based) and ``line`` (the text column itself is dropped).
 
     Lines end at ``\\n``; one trailing ``\\r`` is removed; an empty tail after
-    the last ``\\n`` is not a line; an empty text has no lines.
+    the last ``\\n`` is not a line; an empty text has no lines. The split array
+    is materialised once and its empty tail sliced off before the explode.
     """
     text = F.col(text_col)
     if dict(df.dtypes).get(text_col) == "binary":
         text = as_text(text)
-    parts = F.split(text, "\n", -1)
-    n = F.size(parts)
-    exploded = df.select("*", F.posexplode(parts).alias("_pos", "_raw"), n.alias("_n"))
-    kept = exploded.filter(~((F.col("_pos") == F.col("_n") - 1) & (F.col("_raw") == "")))
-    line = F.when(F.endswith(F.col("_raw"), F.lit("\r")), F.expr("substring(_raw, 1, char_length(_raw) - 1)")).otherwise(
-        F.col("_raw")
-    )
-    return kept.withColumn("line_number", (F.col("_pos") + 1).cast("bigint")).withColumn("line", line).drop(
-        "_pos", "_raw", "_n"
-    )
+    staged = df.withColumn("_parts", F.split(text, "\n", -1))
+    parts = F.col("_parts")
+    staged = staged.withColumn(
+        "_parts", F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
+    keep = [c for c in df.columns if c != text_col]  # the whole text is not repeated on every line row
+    exploded = staged.select(*keep, F.posexplode("_parts").alias("_pos", "_raw"))
+    raw = F.col("_raw")
+    line = F.when(F.endswith(raw, F.lit("\r")), F.left(raw, F.length(raw) - 1)).otherwise(raw)
+    return exploded.withColumn("line_number", (F.col("_pos") + 1).cast("bigint")).withColumn("line", line).drop(
+        "_pos", "_raw")
