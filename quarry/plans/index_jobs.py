@@ -117,7 +117,7 @@ def _scan_into(spark, catalog: Catalog, root: str, ws: str, run_dir: str, case_f
     catalog.replace_workspace("file", ws, files)
     catalog.replace_workspace("content", ws, content)
     d, f = catalog.read("directory").filter(F.col("ws") == ws), catalog.read("file").filter(F.col("ws") == ws)
-    catalog.add_edges(E.scan_edges(d, f, case_fold))
+    catalog.set_edges(ws, E.scan_edges(d, f, case_fold))
     n_rejects = rejects.count()
     if n_rejects:
         report.risks.append(f"{n_rejects} unreadable entries (see rejects artefact)")
@@ -203,7 +203,7 @@ def _embed_into(spark, catalog, ws, embedder, model_name, run_dir, max_tokens, m
         F.col("centroid").cast("array<float>").alias("vector"), F.col("sample").cast("int").alias("sample"),
         F.lit(now).alias("ts"))
     catalog.upsert("workspace_vector", wsv, ["ws", "kind", "model"])
-    catalog.add_edges(E.file_has_vector(stored).unionByName(
+    catalog.set_edges(ws, E.file_has_vector(stored).unionByName(
         E.workspace_has_vector(catalog.read("workspace_vector").filter(F.col("ws") == ws))))
     report.artifact_paths.append(write_artifact(
         stored.select("relpath", F.col("chunk_index").alias("index"), "start", "end", "token_count", "content_sha",

@@ -32,20 +32,27 @@ def _required(value: str | None, name: str) -> str:
 
 # ------------------------------------------------------------------ registration (batch)
 def register_nodes(catalog: Catalog, registrations: DataFrame, order_col: str = "seq") -> int:
-    """Upsert ``node`` rows (replace semantics): blank name -> node id; labels trimmed, blanks dropped."""
+    """Upsert ``node`` rows (replace semantics): blank name -> node id; labels trimmed, blanks dropped.
+
+    Absent optional fields are NULL, so re-registering without ``kind`` clears it.
+    """
     from quarry.functions.text import clean_labels, go_trim
-    r = registrations
-    cols = {c: F.col(c) for c in r.columns}
-    rows = r.select(
-        go_trim(cols["id"]).alias("id"),
-        F.coalesce(F.nullif(go_trim(F.col("name")), F.lit("")), go_trim(F.col("id"))).alias("name") if "name" in cols
-        else go_trim(F.col("id")).alias("name"),
-        *[F.nullif(go_trim(F.col(c)), F.lit("")).alias(c) for c in ("kind", "os", "cpu") if c in cols],
-        *([F.col("ram_gb").cast("int").alias("ram_gb")] if "ram_gb" in cols else []),
-        *([clean_labels("labels").alias("labels")] if "labels" in cols else []),
-        F.col(order_col),
+
+    have = set(registrations.columns)
+
+    def opt(c, typ):
+        return F.col(c) if c in have else F.lit(None).cast(typ)
+
+    rows = registrations.select(
+        go_trim(F.col("id")).alias("id"),
+        F.coalesce(F.nullif(go_trim(opt("name", "string")), F.lit("")), go_trim(F.col("id"))).alias("name"),
+        *[F.nullif(go_trim(opt(c, "string")), F.lit("")).alias(c) for c in ("kind", "os", "cpu")],
+        opt("ram_gb", "int").cast("int").alias("ram_gb"),
+        clean_labels(opt("labels", "array<string>")).alias("labels"),
+        F.col(order_col).alias("_order"),
     ).filter(F.col("id") != "")
-    return catalog.upsert("node", rows, ["id"], [order_col])
+    latest = latest_per_key(rows, ["id"], ["_order"], ["name", "kind", "os", "cpu", "ram_gb", "labels"])
+    return catalog.upsert("node", latest, ["id"])
 
 
 def register_workspaces(catalog: Catalog, registrations: DataFrame, order_col: str = "seq") -> int:
@@ -59,7 +66,8 @@ def register_workspaces(catalog: Catalog, registrations: DataFrame, order_col: s
         raise ValueError("workspaceId, path and nodeId are required")
     latest = latest_per_key(r, ["id"], [order_col], ["path", "node", "vcs", "rev", "content_sha"])
     v = catalog.upsert("workspace", latest, ["id"])
-    catalog.add_edges(on_node(latest))
+    # one (ws, on_node) edge partition per registered workspace, replaced in place
+    catalog.replace_partitions("edge", on_node(latest).withColumn("ws", F.col("in_id")))
     return v
 
 

@@ -1,15 +1,18 @@
 """A versioned Parquet catalog on a shared file system.
 
-Every write of a table goes to a new version directory
-``<root>/<table>/v=<n>``; a one-line pointer ``<root>/<table>/_current``
-names the live version, so readers never see a half-written table and a
-failed job leaves the previous version intact (written tables also cut
-lineage for later stages). Tables carrying a ``ws`` column are partitioned
-by it, so a workspace filter prunes partitions.
-
-Upsert and merge are whole-table rewrites (``left_anti`` + ``unionByName`` /
-full outer join); a table format with row-level MERGE can replace this class
-without changing callers.
+Small keyed tables (nodes, workspaces, models, centroids, run reports) are
+rewritten whole: every write goes to a new version directory
+``<root>/<table>/v=<n>`` and a one-line pointer ``<root>/<table>/_current``
+then names it, so readers never see a half-written table and a failed job
+leaves the previous version live (written tables also cut lineage).
+
+Workspace-scoped tables (directories, files, content, chunks, edges) are
+partitioned by ``ws`` (edges by ``ws`` and ``relation``); re-indexing one
+workspace overwrites only its partitions (dynamic partition overwrite), so
+the cost of a scan grows with that workspace, not with the catalogue.
+
+Upsert and merge are ``left_anti`` + ``unionByName`` / full outer join; a
+table format with row-level MERGE can replace this class without changing callers.
 """
 
 from __future__ import annotations
@@ -51,12 +54,19 @@ class Catalog:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(self.path(table, version))
 
+    @staticmethod
+    def partition_cols(table: str, df: DataFrame) -> list[str]:
+        if table == EDGES:
+            return ["ws", "relation"]
+        return ["ws"] if "ws" in df.columns else []
+
     def write(self, table: str, df: DataFrame) -> int:
         """Write a new version and switch the pointer to it; returns the version."""
         v = (self.current_version(table) or 0) + 1
         w = df.write.mode("overwrite")
-        if "ws" in df.columns:
-            w = w.partitionBy("ws")
+        cols = self.partition_cols(table, df)
+        if cols:
+            w = w.partitionBy(*cols)
         w.parquet(f"{self.root}/{table}/v={v:06d}")
         self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(
             self._pointer(table))
@@ -84,14 +94,27 @@ class Catalog:
         return self.write(table, U.merge_table(self.read(table), updates, keys, order_cols, fields))
 
     def replace_workspace(self, table: str, ws: str, rows: DataFrame) -> int:
-        """Replace every row of one workspace (a re-scan drops files deleted on disk)."""
+        """Replace every row of one workspace (a re-scan drops files deleted on disk).
+
+        Only the workspace's partition directories are rewritten (dynamic partition
+        overwrite into the live version); other workspaces are not read or written.
+        """
+        return self.replace_partitions(table, rows.filter(F.col("ws") == ws))
+
+    def replace_partitions(self, table: str, rows: DataFrame) -> int:
+        """Overwrite exactly the partitions present in ``rows`` (dynamic partition overwrite)."""
         if not self.exists(table):
             return self.write(table, rows)
-        kept = self.read(table).filter(F.col("ws") != ws)
-        return self.write(table, kept.unionByName(rows, allowMissingColumns=True))
-
-    def add_edges(self, edges: DataFrame) -> int:
-        """Append edges ``(relation, in_id, out_id)`` without duplicates."""
-        if not self.exists(EDGES):
-            return self.write(EDGES, U.distinct_edges(edges))
-        return self.write(EDGES, U.distinct_edges(self.read(EDGES), edges))
+        cols = self.partition_cols(table, rows)
+        rows.select(*self.read(table).columns).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(self.path(table))
+        return self.current_version(table)
+
+    def set_edges(self, ws: str, edges: DataFrame) -> int:
+        """Edges ``(relation, in_id, out_id)`` of one workspace, without duplicates.
+
+        Each relation present in ``edges`` replaces that (workspace, relation)
+        partition, so re-running a job leaves exactly one copy of each edge.
+        """
+        e = U.distinct_edges(edges).withColumn("ws", F.lit(ws))
+        return self.replace_workspace(EDGES, ws, e.select("relation", "in_id", "out_id", "ws"))

@@ -39,9 +39,10 @@ def test_catalog_versions_and_edges(spark, tmp_path):
     assert _rows(cat.read("node"))["a"]["name"] == "y"
     assert _rows(cat.read("node", version=1))["a"]["name"] == "x"  # older version stays readable
     e = spark.createDataFrame([("r", "a", "b"), ("r", "a", "b")], "relation string, in_id string, out_id string")
-    cat.add_edges(e)
-    cat.add_edges(e)
-    assert cat.read("edge").count() == 1  # edges are de-duplicated across re-runs
+    cat.set_edges("w1", e)
+    cat.set_edges("w1", e)
+    cat.set_edges("w2", e)
+    assert cat.read("edge").count() == 2  # one copy per workspace, however often a job re-runs
 
 
 def test_replace_workspace_partition(spark, tmp_path):
@@ -51,3 +52,28 @@ def test_replace_workspace_partition(spark, tmp_path):
     assert sorted((r.ws, r.relpath) for r in cat.read("file").collect()) == [("w1", "a"), ("w2", "c")]
     plan = cat.read("file").filter(F.col("ws") == "w2")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "ws" in plan
+
+
+def test_registration_tools(spark, tmp_path):
+    from quarry.plans import tools as T
+
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    T.register_nodes(cat, spark.createDataFrame(
+        [("n1", " ", "pc", 16, [" a ", "", "b"], 1), ("n2", "Beta", None, None, None, 2), ("n1", "Alpha", None, None, None, 3)],
+        "id string, name string, kind string, ram_gb int, labels array<string>, seq long"))
+    nodes = {r.id: r for r in T.list_nodes(cat).collect()}
+    assert nodes["n1"].name == "Alpha" and nodes["n1"].kind is None  # re-registration replaces the record
+    assert nodes["n2"].name == "Beta"
+    T.register_nodes(cat, spark.createDataFrame([("n3", "", None, 1)], "id string, name string, kind string, seq long"))
+    assert {r.id: r.name for r in T.list_nodes(cat).collect()}["n3"] == "n3"  # blank name -> node id
+    T.register_workspaces(cat, spark.createDataFrame(
+        [("w1", "/srv/a", "n1", 1), ("w2", "/srv/b", "n2", 2)], "id string, path string, node string, seq long"))
+    T.register_workspaces(cat, spark.createDataFrame([("w1", "/srv/a2", "n2", 3)], "id string, path string, node string, seq long"))
+    cat.write("den", spark.createDataFrame([("d1", "Den One")], "id string, name string"))
+    cat.replace_partitions("edge", spark.createDataFrame(
+        [("den_has_workspace", "d1", "w2", "w2")], "relation string, in_id string, out_id string, ws string"))
+    ws = [(r.id, r.path, r.node_id, r.node_name, r.den_id) for r in T.list_workspaces(cat).collect()]
+    assert ws == [("w1", "/srv/a2", "n2", "Beta", None), ("w2", "/srv/b", "n2", "Beta", "d1")]
+    assert [r.id for r in T.list_workspaces(cat, den_id="d1").collect()] == ["w2"]
+    on_node = {(r.in_id, r.out_id) for r in cat.read("edge").filter("relation = 'on_node'").collect()}
+    assert on_node == {("w1", "n2"), ("w2", "n2")}  # the stale w1 -> n1 edge was replaced
