@@ -45,7 +45,9 @@ def read_file(content: DataFrame, ws: str, relpath: str, start: int, end: int, h
         raise ValueError("path provided is not relative")
     spark = content.sparkSession
     req = spark.createDataFrame([(ws.strip(), rel, int(start), int(end))], "ws string, relpath string, start int, end int")
-    out = read_slices(content, req, hex_mode, content_col)
+    # filter the content table first: partition pruning on ws, pushed relpath filter; the join is then tiny
+    one = content.filter((F.col("ws") == ws.strip()) & (F.col("relpath") == rel))
+    out = read_slices(one, req, hex_mode, content_col)
     if out.filter("found").limit(1).count() == 0:
         raise FileNotFoundError(f"file {rel} not found in workspace {ws}")
     return out.select(F.col("relpath").alias("rel_path"), "chunk", "hex", "truncated")

@@ -169,6 +169,6 @@ def file_vector_search(catalog: Catalog, ws: str, relpath: str, query: str, embe
     qv = _query_vector(catalog.spark, embedders, model, query)
     res = vector_search(chunks, qv, k, "vector", [F.col("model") == model], id_col="id")
     out = reading.with_snippets(res.select("ws", "relpath", "id", "score", "start", "end", "token_count", "content_sha"),
-                                catalog.read("content").filter(F.col("ws") == ws))
+                                catalog.read("content").filter((F.col("ws") == ws) & (F.col("relpath") == rel)))
     return out.select("score", F.col("content_sha").alias("contentSha"), "start", "end",
                       F.col("token_count").alias("tokenCount"), "snippet").orderBy(F.col("score").desc())

@@ -77,3 +77,31 @@ def test_registration_tools(spark, tmp_path):
     assert [r.id for r in T.list_workspaces(cat, den_id="d1").collect()] == ["w2"]
     on_node = {(r.in_id, r.out_id) for r in cat.read("edge").filter("relation = 'on_node'").collect()}
     assert on_node == {("w1", "n2"), ("w2", "n2")}  # the stale w1 -> n1 edge was replaced
+
+
+def test_constraint_report_catches_case_collisions(spark):
+    from quarry.functions.hashing import file_id
+    from quarry.operators.quality import catalog_checks
+
+    files = spark.createDataFrame([("w", "README.md"), ("w", "readme.md"), ("w", "src/a.go")], "ws string, relpath string")
+    folded = files.withColumn("id", file_id("ws", "relpath", case_fold=True))
+    kept = files.withColumn("id", file_id("ws", "relpath", case_fold=False))
+    nodes = spark.createDataFrame([("n1", ""), ("n2", "b")], "id string, name string")
+    rep = {(r.table_name, r.check_name): r.violations for r in catalog_checks({"file": folded, "node": nodes}).collect()}
+    assert rep[("file", "unique(id)")] == 1 and rep[("file", "unique(ws,relpath)")] == 0
+    assert rep[("node", "name <> ''")] == 1
+    rep2 = {(r.table_name, r.check_name): r.violations for r in catalog_checks({"file": kept}).collect()}
+    assert rep2[("file", "unique(id)")] == 0
+
+
+def test_read_file_rejects_absolute_paths(spark):
+    import pytest as _pytest
+    from quarry.operators.reading import read_file
+
+    content = spark.createDataFrame([("w", "a.txt", b"hello")], "ws string, relpath string, content binary")
+    assert read_file(content, "w", "a.txt", 1, 3).collect()[0].chunk == "el"
+    assert read_file(content, "w", "a.txt", 1, 4, hex_mode=True).collect()[0].chunk == "865"
+    with _pytest.raises(ValueError, match="not relative"):
+        read_file(content, "w", "/etc/passwd", 0, 1)
+    with _pytest.raises(FileNotFoundError):
+        read_file(content, "w", "b.txt", 0, 1)

@@ -131,3 +131,9 @@ def test_clean_labels_and_filters(one_row):
     assert rows[0].c == ["a", "b", "a"] and rows[0].n == ["a", "b"]
     assert rows[1].c is None and rows[1].n == []
     assert X.normalize_filter_list([" x ", "", "x", "y"]) == ["x", "y"]
+
+
+def test_relative_to(one_row):
+    rows = one_row([("/srv/ws", "/srv/ws"), ("/srv/ws/", "/srv/ws/a/b.go"), ("/srv/ws", "/srv/wsx/a"), ("/a.b", "/a.b/c")],
+                   "r string, p string", P.relative_to("r", "p").alias("rel"))
+    assert [r.rel for r in rows] == ["", "a/b.go", None, "c"]
