@@ -6,18 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.constants import ROW_LIMIT_CAP, TEXT_SEARCH_MAX_FILE_BYTES, clamp_limit
-from quarry.functions.text import contains_text, go_trim
-from quarry.operators.chunking import text_lines
+from quarry.functions.text import as_text, go_trim
 from quarry.operators.listing import first_n
 
 
 def _lines_matching(content: DataFrame, needle: str, case_sensitive: bool, text_col: str) -> DataFrame:
+    """Matching lines ``(ws, relpath, line_number, snippet)``.
+
+    Files without the needle are skipped before being split. Case-insensitive
+    search lower-cases each file once and splits the original and the folded
+    text side by side (folding never adds or removes a line break).
+    """
     if not needle or not needle.strip():
         raise ValueError("query is required")
-    lines = text_lines(content.select("ws", "relpath", text_col), text_col)
-    return lines.filter(contains_text("line", needle, case_sensitive)).select(
-        "ws", "relpath", "line_number", go_trim("line").alias("snippet")
-    )
+    text = F.col(text_col)
+    if dict(content.dtypes).get(text_col) == "binary":
+        text = as_text(text)
+    files = content.select("ws", "relpath", text.alias("_t"))
+    if case_sensitive:
+        files = files.filter(F.contains("_t", F.lit(needle))).withColumn("_f", F.col("_t"))
+        probe = F.lit(needle)
+    else:
+        probe = F.lower(F.lit(needle))
+        files = files.withColumn("_f", F.lower("_t")).filter(F.contains("_f", probe))
+    st = files.withColumn("_z", F.arrays_zip(F.split("_t", "\n", -1).alias("o"), F.split("_f", "\n", -1).alias("f")))
+    z = F.col("_z")
+    st = st.withColumn("_z", F.when(F.element_at(z, -1)["o"] == "", F.slice(z, 1, F.size(z) - 1)).otherwise(z))
+    ex = st.select("ws", "relpath", F.posexplode("_z").alias("_pos", "_l")).filter(F.contains(F.col("_l.f"), probe))
+    raw = F.col("_l.o")
+    line = F.when(F.endswith(raw, F.lit("\r")), F.left(raw, F.length(raw) - 1)).otherwise(raw)
+    return ex.select("ws", "relpath", (F.col("_pos") + 1).cast("bigint").alias("line_number"),
+                     go_trim(line).alias("snippet"))
 
 
 def search_text(content: DataFrame, needle: str, case_sensitive: bool = False, limit: int | None = ROW_LIMIT_CAP,
