@@ -14,7 +14,9 @@ row with the error instead of failing the scan.
 Work split: the driver lists only the top directory levels, breadth first,
 until there are about ``partitions`` units: each unexpanded directory is one
 unit (walked recursively on an executor) and the files directly inside an
-expanded directory are split into name-hash buckets. File bytes are read,
+expanded directory are split into name-hash buckets. Units are packed,
+largest first, into at most ``partitions`` input partitions (default: twice
+the cluster's default parallelism). File bytes are read,
 hashed and (optionally) returned on executors only. All executors must see
 the same file system path.
 """
@@ -36,6 +38,7 @@ SCHEMA = ("kind string, ws string, relpath string, size bigint, mtime timestamp,
           "lang string, content binary, error string")
 
 FILES_PER_BUCKET = 2000
+TREE_WEIGHT = 1000  # an unexpanded subtree is assumed to hold about this many files
 _READ_BLOCK = 1 << 20
 
 
@@ -54,12 +57,31 @@ def detect_language(path: str) -> str:
 
 
 @dataclass
-class ScanUnit(InputPartition):
-    """``mode``: ``tree`` (walk recursively), ``files`` (direct files of one directory, one hash bucket)."""
+class ScanUnit:
+    """``mode``: ``self``/``dir`` (one directory row), ``tree`` (walk recursively),
+    ``files`` (direct files of one directory, one name-hash bucket)."""
     rel: str
     mode: str
     bucket: int = 0
     buckets: int = 1
+    weight: int = 1
+
+
+@dataclass
+class ScanPartition(InputPartition):
+    units: tuple
+
+
+def pack(units: list[ScanUnit], n: int) -> list[ScanPartition]:
+    """Greedy longest-first packing of work units into at most ``n`` partitions."""
+    n = max(1, min(n, len(units)))
+    bins: list[list[ScanUnit]] = [[] for _ in range(n)]
+    load = [0] * n
+    for u in sorted(units, key=lambda u: -u.weight):
+        i = load.index(min(load))
+        bins[i].append(u)
+        load[i] += u.weight
+    return [ScanPartition(tuple(b)) for b in bins if b]
 
 
 def _utc(ts: float) -> _dt.datetime:
@@ -83,7 +105,7 @@ class WorkspaceFsReader(DataSourceReader):
         if not os.path.isdir(self.root):
             raise ValueError(f"workspace root {self.root} is not a directory")
         if should_skip_dir(os.path.basename(self.root.rstrip("/"))):
-            return [ScanUnit("", "none")]
+            return [ScanPartition(())]
         units: list[ScanUnit] = [ScanUnit("", "self")]
         frontier = [""]
         trees: list[str] = []
@@ -95,12 +117,13 @@ class WorkspaceFsReader(DataSourceReader):
             for rel in frontier:
                 n_files, subdirs = self._list(rel)
                 nb = max(1, -(-n_files // FILES_PER_BUCKET))
-                units.extend(ScanUnit(rel, "files", b, nb) for b in range(nb))
+                if n_files:
+                    units.extend(ScanUnit(rel, "files", b, nb, -(-n_files // nb)) for b in range(nb))
                 nxt.extend(subdirs)
                 units.extend(ScanUnit(d, "dir") for d in subdirs)
             frontier = nxt
-        units.extend(ScanUnit(t, "tree") for t in trees)
-        return units
+        units.extend(ScanUnit(t, "tree", weight=TREE_WEIGHT) for t in trees)
+        return pack(units, self.target)
 
     def _list(self, rel: str):
         full = os.path.join(self.root, rel) if rel else self.root
@@ -118,10 +141,11 @@ class WorkspaceFsReader(DataSourceReader):
         return n_files, sorted(subdirs)
 
     # -------------------------------------------------------------- reading (executors)
-    def read(self, partition: ScanUnit):
-        u = partition
-        if u.mode == "none":
-            return
+    def read(self, partition: ScanPartition):
+        for u in partition.units:
+            yield from self._read_unit(u)
+
+    def _read_unit(self, u: ScanUnit):
         if u.mode == "self":
             yield self._dir_row("")
         elif u.mode == "dir":
@@ -235,8 +259,7 @@ def read_workspace(spark, root: str, ws: str, content: bool = False, partitions:
     register(spark)
     r = spark.read.format("workspace_fs").option("root", root).option("ws", ws).option(
         "content", "true" if content else "false")
-    if partitions:
-        r = r.option("partitions", str(partitions))
+    r = r.option("partitions", str(partitions or 2 * spark.sparkContext.defaultParallelism))
     if max_content_bytes is not None:
         r = r.option("maxContentBytes", str(max_content_bytes))
     return r.load()
