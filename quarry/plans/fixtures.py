@@ -4,7 +4,11 @@ Each view has a Spark builder (used by the registered queries) and a DuckDB
 CTE (used by the oracle SQL). The mapping is a fixed rule over the row ids:
 
 * ``documents`` -> files: workspace = ``source``; directory and extension are
-  picked from fixed lists by ``doc_id``; content = ``text``.
+  picked from fixed lists by ``doc_id``; content = ``text``. Every document is
+  catalogued.
+* ``pages`` -> vendored HTML inside pruned directories (``.git``,
+  ``node_modules`` ...) of the same workspaces: present in the tree, skipped
+  by the scan (their unpruned ancestors, e.g. ``web``, are still directories).
 * ``embeddings`` -> vector chunks: workspace = ``'ws' || label``, file
   ``'f' || vec_id % 50``, chunk ``vec_id div 50``, model ``m1`` for every 7th id.
 * ``nation`` / ``region`` / ``supplier`` -> node / den / workspace.
@@ -24,7 +28,9 @@ from quarry.operators.chunking import with_chunks
 from quarry.operators.embedding import HashEmbedder, embed
 
 # --- fixed values: fixture layout ----------------------------------------------------------
-FIXTURE_DIRS = ["", "src", "src/lib", "Docs", "src/.git/objects", "web/Node_Modules/pkg"]
+FIXTURE_DIRS = ["", "src", "src/lib", "Docs"]
+FIXTURE_PRUNED_DIRS = [".git/objects", "web/Node_Modules/pkg", "src/.svn", ".IDEA/cache"]
+FIXTURE_WORKSPACES = 20
 FIXTURE_EXTS = [".go", ".PY", ".md", "", ".tar.gz", ".", ".Rs"]
 FIXTURE_CHUNK_TOKENS = 64
 FIXTURE_DIM = 64
@@ -40,11 +46,11 @@ def _pick(values: list[str], idx) -> F.Column:
 
 
 def v_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document placed as a file of its workspace, before directory pruning."""
+    """The file tree before directory pruning: every document, plus pages under pruned directories."""
     d = table(spark, sf_dir, "documents")
     dirname = _pick(FIXTURE_DIRS, F.col("doc_id"))
     name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), _pick(FIXTURE_EXTS, F.col("doc_id")))
-    return d.select(
+    docs = d.select(
         F.col("source").alias("ws"),
         F.concat(F.lit("/ws/"), F.col("source")).alias("root"),
         "doc_id",
@@ -52,6 +58,15 @@ def v_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"),
         F.octet_length("text").cast("bigint").alias("size"),
     )
+    p = table(spark, sf_dir, "pages")
+    ws = F.concat(F.lit("src"), (F.col("page_id") % FIXTURE_WORKSPACES).cast("string"))
+    pages = p.select(
+        ws.alias("ws"), F.concat(F.lit("/ws/"), ws).alias("root"), F.lit(None).cast("bigint").alias("doc_id"),
+        F.concat(_pick(FIXTURE_PRUNED_DIRS, F.col("page_id")), F.lit("/p"), F.col("page_id").cast("string"),
+                 F.lit(".html")).alias("relpath"),
+        F.col("html").alias("content"), F.octet_length("html").cast("bigint").alias("size"),
+    )
+    return docs.unionByName(pages)
 
 
 def v_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +231,13 @@ v_tree AS (
          text AS content, CAST(strlen(text) AS BIGINT) AS size
   FROM (SELECT *, {_sql_list(FIXTURE_DIRS)}[doc_id % {len(FIXTURE_DIRS)} + 1] AS d,
                'f' || CAST(doc_id AS VARCHAR) || {_sql_list(FIXTURE_EXTS)}[doc_id % {len(FIXTURE_EXTS)} + 1] AS n
-        FROM documents) t)"""
+        FROM documents) t
+  UNION ALL
+  SELECT 'src' || CAST(page_id % {FIXTURE_WORKSPACES} AS VARCHAR), '/ws/src' || CAST(page_id % {FIXTURE_WORKSPACES} AS VARCHAR),
+         CAST(NULL AS BIGINT),
+         {_sql_list(FIXTURE_PRUNED_DIRS)}[page_id % {len(FIXTURE_PRUNED_DIRS)} + 1] || '/p' || CAST(page_id AS VARCHAR) || '.html',
+         html, CAST(strlen(html) AS BIGINT)
+  FROM pages)"""
 
 SQL_V_FILE = SQL_V_TREE + f""",
 v_file AS (
