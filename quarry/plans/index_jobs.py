@@ -141,12 +141,16 @@ def chunk_frame(content: DataFrame, files: DataFrame, max_tokens: int = MAX_TOKE
 
 def _check_acceptance(catalog: Catalog, ws: str, report: RunReport) -> None:
     """Run the workspace acceptance checks; a failed check fails the run (rows: one per check)."""
-    from quarry.operators.quality import workspace_acceptance
+    from quarry.operators.quality import catalog_checks, workspace_acceptance
 
     for r in workspace_acceptance(catalog, ws).collect():
         report.notes.append(f"{r.check_name}: {r.actual}/{r.expected}")
         if not r.ok:
             report.risks.append(f"acceptance check failed: {r.check_name}")
+    # schema constraints of this workspace's rows (e.g. ids colliding under case folding)
+    scoped = {t: catalog.read(t).filter(F.col("ws") == ws) for t in ("directory", "file", "vector_chunk")}
+    for r in catalog_checks(scoped).filter(F.col("violations") > 0).collect():
+        report.risks.append(f"constraint {r.table_name}.{r.check_name}: {r.violations} violations")
 
 
 def index_embed(spark: SparkSession, catalog: Catalog, ws: str, embedder: Embedder, model_name: str,

@@ -104,3 +104,18 @@ def test_index_all_end_to_end(spark, tree, tmp_path):
         T.workspace_vector_search(cat, "workspace-alpha", "q", const, model_id="vector_model:other")
     d, f = T.workspace_tree(cat, "workspace-alpha")
     assert [r.relpath for r in d.collect()][:2] == ["", "emptydir"]
+
+
+def test_case_fold_collision_is_reported(spark, tmp_path):
+    root = tmp_path / "cf"
+    root.mkdir()
+    (root / "README.md").write_text("upper\n")
+    (root / "readme.md").write_text("lower\n")
+    const = embedder_from_function(
+        lambda texts: np.ones((len(texts), 2), dtype=np.float32), 2, "ones")
+    cat = Catalog(spark, str(tmp_path / "catalog"))
+    rep = J.index_all(spark, cat, str(root), "w", const, "m", str(tmp_path / "runs"), case_fold=True)
+    assert rep.acceptance == "fail"
+    assert any("file.unique(id)" in r for r in rep.risks), rep.risks
+    ok = J.index_all(spark, Catalog(spark, str(tmp_path / "catalog2")), str(root), "w", const, "m", str(tmp_path / "runs"))
+    assert ok.acceptance == "pass", ok.risks  # ids keep case by default: no collision
