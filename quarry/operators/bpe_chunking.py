@@ -1,0 +1,105 @@
+"""Token chunking with a BPE vocabulary (tiktoken), when one is at hand.
+
+The default chunker (:mod:`quarry.operators.chunking`) needs no vocabulary. With a
+byte-level BPE encoding, chunks are cut every ``max_tokens`` BPE tokens instead:
+a pandas UDF encodes each text on the executors and returns only the chunk
+boundaries (byte offsets, token counts); the chunk bytes, text and hashes are
+then cut in the JVM. A boundary may fall inside a multi-byte character (tokens
+are byte sequences): offsets stay exact and the chunk text shows U+FFFD there.
+
+The encoding is built lazily on each executor from a picklable loader, so no
+vocabulary travels with the plan.
+"""
+
+from __future__ import annotations
+
+import base64
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarry.constants import MAX_TOKENS_PER_CHUNK
+from quarry.functions.text import as_text
+
+BOUNDARY = T.ArrayType(T.StructType([
+    T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("token_count", T.IntegerType()),
+]))
+
+_ENCODINGS: dict = {}
+
+
+class TiktokenRanksLoader:
+    """Loads a tiktoken encoding from a local ranks file (``base64-token rank`` per line)."""
+
+    def __init__(self, ranks_path: str, pattern: str, name: str = "local-bpe"):
+        self.ranks_path, self.pattern, self.name = ranks_path, pattern, name
+
+    def __call__(self):
+        key = (self.ranks_path, self.pattern)
+        enc = _ENCODINGS.get(key)
+        if enc is None:
+            import tiktoken
+
+            with open(self.ranks_path, "rb") as fh:
+                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in fh if line.strip())}
+            enc = _ENCODINGS[key] = tiktoken.Encoding(self.name, pat_str=self.pattern, mergeable_ranks=ranks,
+                                                      special_tokens={})
+        return enc
+
+
+def installed_bpe_loader(name: str = "byte_bpe_50k") -> TiktokenRanksLoader | None:
+    """A loader for a BPE vocabulary shipped with an installed package, or None if absent."""
+    try:
+        import public_tokenizers as P
+    except ImportError:
+        return None
+    return TiktokenRanksLoader(P.path(f"{name}.tiktoken"), P.PATTERN, name)
+
+
+def bpe_boundaries(text: Column, loader: Callable, max_tokens: int = MAX_TOKENS_PER_CHUNK) -> Column:
+    """``array<struct<start, end, token_count>>``: byte ranges of consecutive ``max_tokens``-token chunks."""
+
+    @F.pandas_udf(BOUNDARY)
+    def _bounds(texts: pd.Series) -> pd.Series:
+        enc = loader()
+        out = []
+        for t in texts:
+            if not t:
+                out.append([])
+                continue
+            toks = enc.encode_ordinary(t)
+            lens = np.fromiter((len(b) for b in enc.decode_tokens_bytes(toks)), dtype=np.int64, count=len(toks))
+            ends = np.cumsum(lens)
+            rows = []
+            for i in range(0, len(toks), max_tokens):
+                j = min(i + max_tokens, len(toks))
+                rows.append({"start": int(ends[i - 1]) if i else 0, "end": int(ends[j - 1]), "token_count": j - i})
+            out.append(rows)
+        return pd.Series(out)
+
+    return _bounds.asNondeterministic()(text)
+
+
+def with_bpe_chunks(df: DataFrame, loader: Callable, text_col: str = "text",
+                    max_tokens: int = MAX_TOKENS_PER_CHUNK) -> DataFrame:
+    """Same output columns as :func:`quarry.operators.chunking.with_chunks`, cut by BPE tokens."""
+    text = F.col(text_col)
+    if dict(df.dtypes).get(text_col) == "binary":
+        text = as_text(text)
+    staged = df.withColumn("_t", text).withColumn("_b", bpe_boundaries(F.col("_t"), loader, max_tokens))
+    ex = staged.select("*", F.posexplode("_b").alias("chunk_index", "_r")).drop("_b")
+    raw = F.substring(F.encode("_t", "UTF-8"), F.col("_r.start") + 1, F.col("_r.end") - F.col("_r.start"))
+    return ex.select(
+        *[c for c in df.columns],
+        F.col("chunk_index").cast("int").alias("chunk_index"),
+        F.make_valid_utf8(raw.cast("string")).alias("chunk_text"),
+        F.col("_r.start").alias("start"),
+        F.col("_r.token_count").alias("token_count"),
+        (F.col("_r.end") - F.col("_r.start")).alias("chunk_size"),
+        F.col("_r.end").alias("end"),
+        F.sha2(raw, 256).alias("content_sha"),
+    )

@@ -129,13 +129,22 @@ def _scan_into(spark, catalog: Catalog, root: str, ws: str, run_dir: str, case_f
 
 
 def chunk_frame(content: DataFrame, files: DataFrame, max_tokens: int = MAX_TOKENS_PER_CHUNK,
-                case_fold: bool = False, rebalance: bool = False) -> DataFrame:
-    """Token chunks of every embeddable file (0 < size <= 256 KiB, no NUL in the first 1 KiB)."""
+                case_fold: bool = False, rebalance: bool = False, bpe_loader=None) -> DataFrame:
+    """Token chunks of every embeddable file (0 < size <= 256 KiB, no NUL in the first 1 KiB).
+
+    ``bpe_loader`` (see :mod:`quarry.operators.bpe_chunking`) cuts by BPE tokens instead of
+    the default white-space tokens.
+    """
     c = content.filter((F.col("size") > 0) & (F.col("size") <= MAX_EMBED_FILE_BYTES)).filter(~is_binary("content"))
     if rebalance:
         c = c.hint("rebalance")
     c = c.select("ws", "relpath", as_text("content").alias("text"))
-    ch = with_chunks(c, "text", max_tokens).drop("text")
+    if bpe_loader is not None:
+        from quarry.operators.bpe_chunking import with_bpe_chunks
+
+        ch = with_bpe_chunks(c, bpe_loader, "text", max_tokens).drop("text")
+    else:
+        ch = with_chunks(c, "text", max_tokens).drop("text")
     return ch.withColumn("file", file_id("ws", "relpath", case_fold))
 
 
@@ -156,14 +165,14 @@ def _check_acceptance(catalog: Catalog, ws: str, report: RunReport) -> None:
 def index_embed(spark: SparkSession, catalog: Catalog, ws: str, embedder: Embedder, model_name: str,
                 artifact_root: str, max_tokens: int = MAX_TOKENS_PER_CHUNK, model_sha: str = "",
                 effective_dim: int | None = None, transform_id_: str = "", case_fold: bool = False,
-                run_id_: str | None = None, rebalance: bool = False) -> RunReport:
+                run_id_: str | None = None, rebalance: bool = False, bpe_loader=None) -> RunReport:
     """Chunk and embed a scanned workspace into ``vector_chunk``, ``vector_model``, ``workspace_vector``."""
     started = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     rid = run_id_ or new_run_id(spark, ws, STEP_EMBED, started)
     report = RunReport(rid, STEP_EMBED, started)
     try:
         _embed_into(spark, catalog, ws, embedder, model_name, f"{artifact_root}/{rid}", max_tokens, model_sha,
-                    effective_dim, transform_id_, case_fold, rebalance, report)
+                    effective_dim, transform_id_, case_fold, rebalance, report, bpe_loader)
         _check_acceptance(catalog, ws, report)
         report.acceptance = "fail" if report.risks else "pass"
         report.finished = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
@@ -176,10 +185,10 @@ def index_embed(spark: SparkSession, catalog: Catalog, ws: str, embedder: Embedd
 
 
 def _embed_into(spark, catalog, ws, embedder, model_name, run_dir, max_tokens, model_sha, effective_dim,
-                transform_id_, case_fold, rebalance, report):
+                transform_id_, case_fold, rebalance, report, bpe_loader=None):
     content = catalog.read("content").filter(F.col("ws") == ws)
     files = catalog.read("file").filter(F.col("ws") == ws)
-    chunks = chunk_frame(content, files, max_tokens, case_fold, rebalance)
+    chunks = chunk_frame(content, files, max_tokens, case_fold, rebalance, bpe_loader)
     slug_row = spark.createDataFrame([(model_name,)], "m string").select(
         model_slug("m").alias("slug"), split_model("m").alias("fv")).first()
     slug, family, version = slug_row["slug"], slug_row["fv"]["family"], slug_row["fv"]["version"]
@@ -233,7 +242,7 @@ def index_all(spark: SparkSession, catalog: Catalog, root: str, ws: str, embedde
     try:
         _embed_into(spark, catalog, ws, embedder, model_name, run_dir, kw.get("max_tokens", MAX_TOKENS_PER_CHUNK),
                     kw.get("model_sha", ""), kw.get("effective_dim"), kw.get("transform_id_", ""), case_fold,
-                    kw.get("rebalance", False), report)
+                    kw.get("rebalance", False), report, kw.get("bpe_loader"))
     except Exception as e:  # noqa: BLE001
         report.risks.append(f"embedding failed: {e}")
         _append_report(catalog, report)
