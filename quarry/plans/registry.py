@@ -217,6 +217,21 @@ FROM v_chunk""")(
         "ws", "relpath", "chunk_index", "start", "end", "token_count", "content_sha", "chunk_size"))
 
 
+def _bpe_loader():
+    from quarry.operators.bpe_chunking import installed_bpe_loader
+    return installed_bpe_loader()
+
+
+if _bpe_loader() is not None:
+    @register("bpe_token_chunks")  # no SQL form of BPE: rows-only check
+    def _bpe_token_chunks(s: SparkSession, d: str) -> DataFrame:
+        from quarry.operators.bpe_chunking import with_bpe_chunks
+
+        f = V.v_embeddable(s, d).select("ws", "relpath", "content").hint("rebalance")
+        return with_bpe_chunks(f, _bpe_loader(), "content", 768).select(
+            "ws", "relpath", "chunk_index", "start", "end", "token_count", "content_sha", "chunk_size")
+
+
 def _snippet_sql(content: str, start: str, end: str) -> str:
     window = f"{content}[({start}) + 1:{end}]"
     text = sql_trim(f"replace(decode({window}), chr(10), ' ')")
