@@ -62,6 +62,7 @@ def _query_blocks(queries: DataFrame, qid_col: str, qvec_col: str, max_block_byt
     n, d = int(stats["n"] or 0), int(stats["d"] or 0)
     if n == 0 or d == 0:
         return []
+    queries = queries.filter(F.size(qvec_col) == d)  # one width per search; NULL vectors drop out here
     per_row = d * 8 + 64
     rows_per_block = max(1, max_block_bytes // per_row)
     n_blocks = (n + rows_per_block - 1) // rows_per_block
