@@ -299,6 +299,17 @@ def _pca_explained(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(rows, "component bigint, explained_variance double")
 
 
+@register("pca_project")  # rows-only: fitted on the table, then every vector is projected
+def _pca_project(s: SparkSession, d: str) -> DataFrame:
+    from quarry.operators.pca import project
+
+    emb = V.table(s, d, "embeddings")
+    res = fit_pca(emb, "embedding", k=8)  # only the d x k model reaches the driver
+    out = project(emb, res, "embedding", "projected")
+    return out.select("vec_id", F.posexplode("projected").alias("component", "value")).select(
+        "vec_id", F.col("component").cast("bigint").alias("component"), _r6("value").alias("value"))
+
+
 # ============================================================================ vector search
 def _q_sql() -> list[float]:
     return _query_vector()
