@@ -39,15 +39,18 @@ def start_catalog_stream(spark: SparkSession, catalog: Catalog, landing_dir: str
                          keys: Sequence[str], order_cols: Sequence[str], mode: str = "upsert",
                          name: str | None = None, available_now: bool = False,
                          max_files_per_trigger: int | None = None,
-                         checkpoint_location: str | None = None) -> StreamingQuery:
-    """Start a stream ``landing_dir (JSON) -> table``; ``available_now`` drains what is there and stops.
+                         checkpoint_location: str | None = None, fmt: str = "json",
+                         options: dict[str, str] | None = None) -> StreamingQuery:
+    """Start a stream ``landing_dir (JSON by default) -> table``; ``available_now`` drains what is there and stops.
 
     The checkpoint defaults to ``<spark.checkpoint.dir>/streams/<name or table>``.
     """
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).format(fmt)
+    for k, v in (options or {}).items():
+        reader = reader.option(k, v)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = reader.json(landing_dir)
+    stream = reader.load(landing_dir)
     ckpt = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/streams/{name or table}"
     writer = stream.writeStream.foreachBatch(apply_batch(catalog, table, keys, order_cols, mode)).option(
         "checkpointLocation", ckpt)
