@@ -39,14 +39,17 @@ def cosine_similarity(a, b) -> Column:
     return F.when(F.size(a) == F.size(b), sim)
 
 
-def cosine_to_query(vec, query: Sequence[float]) -> Column:
-    """Cosine similarity against a literal query; the query norm is folded on the driver."""
+def cosine_to_query(vec, query: Sequence[float], norm_col=None) -> Column:
+    """Cosine similarity against a literal query; the query norm is folded on the driver.
+
+    ``norm_col`` names a stored vector norm (written at index time), so scoring is one dot product.
+    """
     q = [float(x) for x in query]
     qn = sum(x * x for x in q) ** 0.5
     if qn == 0:
         return F.lit(None).cast("double")
     v = _col(vec)
-    vn = norm(v)
+    vn = _col(norm_col) if norm_col is not None else norm(v)
     sim = F.try_divide(dot(v, vector_literal(q)), F.when(vn != 0, vn * F.lit(qn)))
     return F.when(F.size(v) == len(q), sim)
 

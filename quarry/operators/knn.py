@@ -43,7 +43,7 @@ def top_k(df: DataFrame, k: int, score_col: str = "score", tie_col: str = "id",
 
 def vector_search(chunks: DataFrame, query: Sequence[float], k: int, vec_col: str = "vector",
                   filters=None, group_cols: Sequence[str] | None = None, id_col: str = "id",
-                  rank_col: str | None = None) -> DataFrame:
+                  rank_col: str | None = None, norm_col: str | None = None) -> DataFrame:
     """Filter, then score by cosine similarity to ``query``, then keep the top ``k``.
 
     Rows whose vector width differs from the query, or has zero norm, get a NULL
@@ -52,7 +52,9 @@ def vector_search(chunks: DataFrame, query: Sequence[float], k: int, vec_col: st
     df = chunks
     for f in filters or []:
         df = df.filter(f)
-    scored = df.withColumn("score", cosine_to_query(vec_col, query)).filter(F.col("score").isNotNull())
+    if norm_col is None and "norm" in df.columns:
+        norm_col = "norm"
+    scored = df.withColumn("score", cosine_to_query(vec_col, query, norm_col)).filter(F.col("score").isNotNull())
     return top_k(scored, k, "score", id_col, group_cols, rank_col)
 
 

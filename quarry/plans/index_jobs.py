@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarry.constants import CENTROID_KIND, CHUNK_GRANULARITY, MAX_EMBED_FILE_BYTES, MAX_TOKENS_PER_CHUNK
 from quarry.functions.hashing import centroid_id, chunk_id, dir_id, file_id, run_id
 from quarry.functions.text import as_text, is_binary, model_slug, split_model
+from quarry.functions.vectors import norm
 from quarry.operators import edges as E
 from quarry.operators.centroid import centroids
 from quarry.operators.chunking import with_chunks
@@ -199,7 +200,8 @@ def _embed_into(spark, catalog, ws, embedder, model_name, run_dir, max_tokens, m
         "chunk_index", "start", "end", "token_count", "content_sha", F.lit(slug).alias("model"),
         F.lit(model_sha).alias("model_sha"), "native_dim",
         F.lit(effective_dim if effective_dim is not None else embedder.dim).cast("int").alias("effective_dim"),
-        F.lit(transform_id_).alias("transform_id"), "vector", F.lit(now).alias("ts"))
+        F.lit(transform_id_).alias("transform_id"), "vector", F.lit(now).alias("ts"),
+        norm("vector").alias("norm"))  # stored once, so a search is one dot product per chunk
     # persist the embedded chunks once (a written table cuts lineage; a lost executor does not re-embed)
     catalog.replace_workspace("vector_chunk", ws, vecs)
     stored = catalog.read("vector_chunk").filter((F.col("ws") == ws) & (F.col("model") == slug))
