@@ -33,34 +33,17 @@ def union_reports(*reports: DataFrame) -> DataFrame:
     return out
 
 
-def catalog_checks(tables: dict[str, DataFrame], case_fold_ids: bool = True) -> DataFrame:
-    """Every UNIQUE and ASSERT rule of the catalog schema as one violation report.
+def catalog_checks(tables: dict[str, DataFrame]) -> DataFrame:
+    """Every UNIQUE key and ASSERT rule of :mod:`quarry.schemas` as one violation report
+    over the given tables (any subset of the catalogue)."""
+    from quarry.schemas import ASSERTS, UNIQUE_KEYS
 
-    ``tables`` may hold any of: node, workspace, directory, file, vector_model,
-    vector_chunk, workspace_vector.
-    """
     reps = []
-    t = tables
-    if "node" in t:
-        reps += [unique_violations(t["node"], "node", ["name"]),
-                 assert_violations(t["node"], "node", "name <> ''", F.col("name") != "")]
-    if "workspace" in t:
-        reps += [unique_violations(t["workspace"], "workspace", ["node", "path"]),
-                 assert_violations(t["workspace"], "workspace", "path <> ''", F.col("path") != ""),
-                 assert_violations(t["workspace"], "workspace", "node IS NOT NULL", F.col("node").isNotNull())]
-    for name in ("directory", "file"):
-        if name in t:
-            reps += [unique_violations(t[name], name, ["ws", "relpath"]),
-                     unique_violations(t[name], name, ["id"]),
-                     assert_violations(t[name], name, "ws IS NOT NULL", F.col("ws").isNotNull())]
-    if "vector_model" in t:
-        reps += [unique_violations(t["vector_model"], "vector_model", ["id_slug"]),
-                 assert_violations(t["vector_model"], "vector_model", "id_slug <> ''", F.col("id_slug") != "")]
-    if "vector_chunk" in t:
-        reps += [unique_violations(t["vector_chunk"], "vector_chunk",
-                                   ["ws", "file", "granularity", "start", "end", "model"])]
-    if "workspace_vector" in t:
-        reps += [unique_violations(t["workspace_vector"], "workspace_vector", ["ws", "kind", "model"])]
+    for name, df in tables.items():
+        for keys in UNIQUE_KEYS.get(name, []):
+            reps.append(unique_violations(df, name, keys))
+        for rule in ASSERTS.get(name, []):
+            reps.append(assert_violations(df, name, rule, F.expr(rule)))
     return union_reports(*reps)
 
 

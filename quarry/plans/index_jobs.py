@@ -111,9 +111,9 @@ def index_scan(spark: SparkSession, catalog: Catalog, root: str, ws: str, artifa
 def _scan_into(spark, catalog: Catalog, root: str, ws: str, run_dir: str, case_fold: bool, report: RunReport):
     dirs, files, content, rejects = scan_frames(spark, root, ws, content=True, case_fold=case_fold)
     # workspace row: merge keeps the node link, resets VCS fields
-    ws_row = spark.createDataFrame([(ws, root, "", "", "", 0)],
-                                   "id string, path string, vcs string, rev string, content_sha string, seq long")
-    catalog.merge("workspace", ws_row, ["id"], ["seq"], ["path", "vcs", "rev", "content_sha"])
+    ws_row = spark.createDataFrame([(ws, root, None, "", "", "", 0)],
+                                   "id string, path string, node string, vcs string, rev string, content_sha string, seq long")
+    catalog.merge("workspace", ws_row, ["id"], ["seq"], ["path", "node", "vcs", "rev", "content_sha"])
     catalog.replace_workspace("directory", ws, dirs.select("id", "ws", "relpath", "sha"))
     catalog.replace_workspace("file", ws, files)
     catalog.replace_workspace("content", ws, content)

@@ -84,6 +84,10 @@ def test_index_all_end_to_end(spark, tree, tmp_path):
     rels = {r.relation for r in cat.read("edge").collect()}
     assert rels == {"ws_contains_dir", "dir_contains_dir", "dir_contains_file", "file_has_vector", "workspace_has_vector"}
     assert cat.read("run_report").count() == 1
+    from quarry.schemas import SCHEMAS
+    for name, ddl in SCHEMAS.items():
+        if cat.exists(name):
+            assert sorted(cat.read(name).columns) == sorted(spark.createDataFrame([], ddl).columns), name
     # re-running adds no duplicate edges
     J.index_scan(spark, cat, str(tree), "workspace-alpha", str(tmp_path / "runs"))
     e = cat.read("edge")
