@@ -109,7 +109,7 @@ def v_chunk(spark: SparkSession, sf_dir: str, keep_text: bool = True, rebalance:
     return with_chunks(f, "content", FIXTURE_CHUNK_TOKENS, keep_text=keep_text).drop("content")
 
 
-def v_chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_chunk_vectors(spark: SparkSession, sf_dir: str, keep_text: bool = False) -> DataFrame:
     """Chunks embedded with the hash embedder: the ``vector_chunk`` table of the pipeline."""
     c = v_chunk(spark, sf_dir)
     e = embed(c, HashEmbedder(FIXTURE_DIM, FIXTURE_MODEL), "chunk_text")
@@ -117,6 +117,7 @@ def v_chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         chunk_id("ws", F.col("id"), "chunk_index").alias("chunk_id"),
         "ws", F.col("id").alias("file"), "relpath", "chunk_index", "start", "end", "token_count",
         "content_sha", "chunk_size", F.lit(FIXTURE_MODEL).alias("model"), "native_dim", "vector",
+        *(["chunk_text"] if keep_text else []),
     ).withColumnRenamed("chunk_id", "id")
 
 

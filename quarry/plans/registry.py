@@ -362,13 +362,16 @@ SELECT r.ws, r.relpath, CAST(r.chunk_index AS INTEGER) AS chunk_index, r.start,
        {_snippet_sql('encode(f.content)', 'r.start', 'r."end"')} AS snippet
 FROM r JOIN v_file f ON f.ws = r.ws AND f.relpath = r.relpath WHERE r.rank <= {TOPK_FILE}""")
 def _vector_search_file(s: SparkSession, d: str) -> DataFrame:
-    vec = V.v_chunk_vectors(s, d)
-    scored = vec.withColumn("score", cosine_to_query("vector", _query_vector())).filter(F.col("score").isNotNull())
+    # The chunk's bytes are content[start:end] of the same snapshot, so the snippet is cut from the chunk
+    # before ranking: the partial window then ships at most k snippets per file and task, and the content
+    # table is neither scanned again nor shuffled (the single-file tool joins content after top-k instead).
+    vec = V.v_chunk_vectors(s, d, keep_text=True)
+    data = F.encode("chunk_text", "UTF-8")
+    scored = (vec.withColumn("score", cosine_to_query("vector", _query_vector())).filter(F.col("score").isNotNull())
+              .withColumn("snippet", X.snippet(data, F.lit(0), F.octet_length(data))))
     ranked = top_k(scored, TOPK_FILE, "score", "id", ["ws", "relpath"], rank_col="rank")
-    res = ranked.select("ws", "relpath", "chunk_index", "start", "end", "token_count", "score", "rank")
-    out = with_snippets(res, V.v_file(s, d).select("ws", "relpath", "content"))
-    return out.select("ws", "relpath", "chunk_index", "start", "end", "token_count", _r6("score").alias("score"),
-                      F.col("rank").cast("bigint").alias("rank"), "snippet")
+    return ranked.select("ws", "relpath", "chunk_index", "start", "end", "token_count", _r6("score").alias("score"),
+                         F.col("rank").cast("bigint").alias("rank"), "snippet")
 
 
 @register("vector_search_batch", f"""WITH {SQL_V_VEC},
