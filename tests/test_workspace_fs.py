@@ -139,3 +139,56 @@ def test_index_with_bpe_chunks(spark, tree, tmp_path):
     enc = loader()
     assert sum(t for *_, t in readme) == len(enc.encode_ordinary("# Bloodseeker\nTest corpus\n"))
     assert readme[0][1] == 0 and readme[-1][2] == 26 and all(t <= 4 for *_, t in readme)
+
+
+def _model_inventory(root):
+    """What a pruned, symlink-skipping walk sees: (kind, relpath, size)."""
+    from quarry.sources.workspace_fs import should_skip_dir
+
+    out = {("dir", "", None)}
+    for cur, dirs, files in os.walk(root):
+        dirs[:] = [d for d in dirs if not should_skip_dir(d) and not os.path.islink(os.path.join(cur, d))]
+        rel = os.path.relpath(cur, root)
+        rel = "" if rel == "." else rel
+        for d in dirs:
+            out.add(("dir", f"{rel}/{d}" if rel else d, None))
+        for f in files:
+            p = os.path.join(cur, f)
+            if os.path.islink(p) or not os.path.isfile(p):
+                continue
+            out.add(("file", f"{rel}/{f}" if rel else f, os.path.getsize(p)))
+    return out
+
+
+def test_scan_matches_walk_model_on_random_trees(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+    names = ["a", "B", "src", ".git", "node_modules", "Lib", ".vscode", "_x", ".hidden", "docs", "e f", "ü"]
+    pruned_seen = 0
+    for t in range(3):
+        root = tmp_path / f"r{t}"
+        root.mkdir()
+        dirs = [root]
+        for _ in range(40):
+            parent = rng.choice(dirs)
+            name = rng.choice(names) + rng.choice(["", "", "1", "2"])
+            path = parent / name
+            if path.exists():
+                continue
+            kind = rng.random()
+            if kind < 0.3:
+                path.mkdir()
+                dirs.append(path)
+                pruned_seen += name in (".git", "node_modules", ".vscode")
+            elif kind < 0.9:
+                path.write_bytes(bytes(rng.randint(0, 255) for _ in range(rng.randint(0, 50))))
+            else:
+                os.symlink(root, path)  # a link to a directory is not followed
+        want = _model_inventory(str(root))
+        for parts in (1, 4, 64):
+            rows = read_workspace(spark, str(root), "w", partitions=parts).collect()
+            got = {(r.kind, r.relpath, r.size) for r in rows}
+            assert got == want, (t, parts)
+            assert len(rows) == len(got)  # no row emitted twice
+    assert pruned_seen > 0
