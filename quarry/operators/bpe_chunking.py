@@ -87,6 +87,9 @@ def bpe_boundaries(text: Column, loader: Callable, max_tokens: int = MAX_TOKENS_
 def with_bpe_chunks(df: DataFrame, loader: Callable, text_col: str = "text",
                     max_tokens: int = MAX_TOKENS_PER_CHUNK) -> DataFrame:
     """Same output columns as :func:`quarry.operators.chunking.with_chunks`, cut by BPE tokens."""
+    from quarry.session import ship_package
+
+    ship_package(df.sparkSession)  # the loader class is unpickled on executors
     text = F.col(text_col)
     if dict(df.dtypes).get(text_col) == "binary":
         text = as_text(text)

@@ -147,6 +147,9 @@ def embed_column(text: Column | str, embedder: Embedder, batch_size: int = EMBED
 def embed(df: DataFrame, embedder: Embedder, text_col: str = "chunk_text", out_col: str = "vector",
           batch_size: int = EMBED_BATCH_SIZE) -> DataFrame:
     """Append ``out_col`` (``array<float>``) and ``native_dim`` computed from ``text_col``."""
+    from quarry.session import ship_package
+
+    ship_package(df.sparkSession)  # embedders defined in this package are unpickled on executors
     return df.withColumn(out_col, embed_column(text_col, embedder, batch_size)).withColumn(
         "native_dim", F.size(out_col)
     )

@@ -250,6 +250,9 @@ class WorkspaceFsDataSource(DataSource):
 
 
 def register(spark) -> None:
+    from quarry.session import ship_package
+
+    ship_package(spark)  # executors unpickle the reader class from this package
     spark.dataSource.register(WorkspaceFsDataSource)
 
 
