@@ -81,17 +81,19 @@ class Catalog:
     # ---------------------------------------------------------------- keyed maintenance
     def upsert(self, table: str, updates: DataFrame, keys: Sequence[str], order_cols: Sequence[str] | None = None) -> int:
         """Insert or replace whole rows by key (the newest update per key wins)."""
-        if not self.exists(table):
+        v = self.current_version(table)
+        if v is None:
             batch = U.latest_per_key(updates, keys, order_cols) if order_cols else updates.dropDuplicates(list(keys))
             return self.write(table, batch)
-        return self.write(table, U.upsert_table(self.read(table), updates, keys, order_cols))
+        return self.write(table, U.upsert_table(self.read(table, v), updates, keys, order_cols))
 
     def merge(self, table: str, updates: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
               fields: Sequence[str] | None = None) -> int:
         """Update only the supplied (non-NULL) fields; insert new keys."""
-        if not self.exists(table):
+        v = self.current_version(table)
+        if v is None:
             return self.write(table, U.merged_per_key(updates, keys, order_cols, fields))
-        return self.write(table, U.merge_table(self.read(table), updates, keys, order_cols, fields))
+        return self.write(table, U.merge_table(self.read(table, v), updates, keys, order_cols, fields))
 
     def replace_workspace(self, table: str, ws: str, rows: DataFrame) -> int:
         """Replace every row of one workspace (a re-scan drops files deleted on disk).
@@ -103,12 +105,14 @@ class Catalog:
 
     def replace_partitions(self, table: str, rows: DataFrame) -> int:
         """Overwrite exactly the partitions present in ``rows`` (dynamic partition overwrite)."""
-        if not self.exists(table):
+        v = self.current_version(table)
+        if v is None:
             return self.write(table, rows)
         cols = self.partition_cols(table, rows)
-        rows.select(*self.read(table).columns).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(self.path(table))
-        return self.current_version(table)
+        path = self.path(table, v)
+        rows.select(*self.spark.read.parquet(path).columns).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(path)
+        return v
 
     def set_edges(self, ws: str, edges: DataFrame) -> int:
         """Edges ``(relation, in_id, out_id)`` of one workspace, without duplicates.
