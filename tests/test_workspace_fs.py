@@ -18,7 +18,7 @@ from quarry.sources.workspace_fs import read_workspace
 def tree(tmp_path):
     root = tmp_path / "ws"
     (root / "src").mkdir(parents=True)
-    (root / "README.md").write_text("# Bloodseeker\nTest corpus\n")
+    (root / "README.md").write_text("# Sample Repo\nTest corpus\n")
     (root / "src" / "main.go").write_text("package main\nfunc main(){}\n")
     (root / ".hidden").write_text("dot file\n")
     (root / "_under.txt").write_text("underscore\n")
@@ -45,7 +45,7 @@ def test_scan_inventory(spark, tree):
                                  "src/main.go"], parts
     r = files["README.md"]
     assert r.size == 26 and r.lang == "markdown" and r.ws == "alpha"
-    assert r.sha == hashlib.sha256(b"# Bloodseeker\nTest corpus\n").hexdigest()
+    assert r.sha == hashlib.sha256(b"# Sample Repo\nTest corpus\n").hexdigest()
     assert files[".hidden"].lang == "hidden" and files["empty.txt"].size == 0
     root_dir = [x for x in rows if x.kind == "dir" and x.relpath == ""][0]
     assert root_dir.sha == hashlib.sha256(str(tree).encode()).hexdigest()  # a directory 'hash' is its path's hash
@@ -97,13 +97,13 @@ def test_index_all_end_to_end(spark, tree, tmp_path):
     assert [(h.relpath, h.line_number, h.snippet) for h in hits] == [("crlf.txt", 2, "second NEEDLE line")]
     assert T.find_file(cat, "workspace-alpha", "main", "substring").collect()[0].relpath == "src/main.go"
     out = T.read_file(cat, "workspace-alpha", "README.md", 2, 14).collect()[0]
-    assert out.chunk == "Bloodseeker\n" and not out.truncated
+    assert out.chunk == "Sample Repo\n" and not out.truncated
     with pytest.raises(FileNotFoundError):
         T.read_file(cat, "workspace-alpha", "missing.md", 0, 1)
     res = T.workspace_vector_search(cat, "workspace-alpha", "find the readme", const, top_k=3).collect()
     assert len(res) == 3 and all(abs(r.score - 1.0) < 1e-6 for r in res)
     fres = T.file_vector_search(cat, "workspace-alpha", "README.md", "anything", const).collect()
-    assert len(fres) == 1 and fres[0].snippet == "# Bloodseeker Test corpus"
+    assert len(fres) == 1 and fres[0].snippet == "# Sample Repo Test corpus"
     with pytest.raises(LookupError):
         T.workspace_vector_search(cat, "workspace-alpha", "q", const, model_id="vector_model:other")
     d, f = T.workspace_tree(cat, "workspace-alpha")
@@ -137,7 +137,7 @@ def test_index_with_bpe_chunks(spark, tree, tmp_path):
     rows = {(r.relpath, r.chunk_index): r for r in cat.read("vector_chunk").collect()}
     readme = sorted((k[1], v.start, v.end, v.token_count) for k, v in rows.items() if k[0] == "README.md")
     enc = loader()
-    assert sum(t for *_, t in readme) == len(enc.encode_ordinary("# Bloodseeker\nTest corpus\n"))
+    assert sum(t for *_, t in readme) == len(enc.encode_ordinary("# Sample Repo\nTest corpus\n"))
     assert readme[0][1] == 0 and readme[-1][2] == 26 and all(t <= 4 for *_, t in readme)
 
 
