@@ -1,4 +1,4 @@
-"""Randomised checks of the text expressions against small Python models of their rules.
+"""Randomised checks of text expressions and keyed upsert / merge against small Python models of their rules.
 
 Each test evaluates a few hundred seeded random cases in one Spark job.
 """
@@ -130,3 +130,48 @@ def test_chunks_tile_the_text(spark):
             assert r.start == pos and data[r.start:r.end].decode() == r.chunk_text and 1 <= r.token_count <= 5
             pos = r.end
         assert all(r.token_count == 5 for r in rs[:-1])
+
+
+def test_upsert_and_merge_match_model(spark):
+    from quarry.operators.upsert import latest_per_key, merge_table, merged_per_key, upsert_table
+
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        k = rng.choice([0, 0, 0, 1, 2, 3, 4])  # key 0 is hot
+        rows.append((k, rng.randint(0, 30), i, rng.choice([None, "a", "b", "c"]), rng.choice([None, 1.5, 2.5])))
+    df = spark.createDataFrame(rows, "k int, ts int, eid int, f string, v double")
+
+    def order(r):
+        return (r[1], r[2])
+
+    want_rep, want_mer = {}, {}
+    for r in sorted(rows, key=order):
+        want_rep[r[0]] = (r[3], r[4])
+        old = want_mer.get(r[0], (None, None))
+        want_mer[r[0]] = (r[3] if r[3] is not None else old[0], r[4] if r[4] is not None else old[1])
+    got_rep = {r.k: (r.f, r.v) for r in latest_per_key(df, ["k"], ["ts", "eid"], ["f", "v"]).collect()}
+    got_mer = {r.k: (r.f, r.v) for r in merged_per_key(df, ["k"], ["ts", "eid"], ["f", "v"]).collect()}
+    assert got_rep == want_rep and got_mer == want_mer
+
+    # against a stored table: the first half is the table, the second half the incoming batch
+    first, second = df.filter("eid < 200"), df.filter("eid >= 200")
+    base_rep = latest_per_key(first, ["k"], ["ts", "eid"], ["f", "v"])
+    base_mer = merged_per_key(first, ["k"], ["ts", "eid"], ["f", "v"])
+    rep2 = {r.k: (r.f, r.v) for r in upsert_table(base_rep, second.select("k", "ts", "eid", "f", "v"), ["k"], ["ts", "eid"]).collect()}
+    mer2 = {r.k: (r.f, r.v) for r in merge_table(base_mer, second, ["k"], ["ts", "eid"], ["f", "v"]).collect()}
+    last_first = {}
+    for r in sorted([r for r in rows if r[2] < 200], key=order):
+        last_first[r[0]] = (r[3], r[4])
+    want_rep2 = dict(last_first)
+    for r in sorted([r for r in rows if r[2] >= 200], key=order):
+        want_rep2[r[0]] = (r[3], r[4])
+    mer_first = {}
+    for r in sorted([r for r in rows if r[2] < 200], key=order):
+        old = mer_first.get(r[0], (None, None))
+        mer_first[r[0]] = (r[3] if r[3] is not None else old[0], r[4] if r[4] is not None else old[1])
+    want_mer2 = dict(mer_first)
+    for r in sorted([r for r in rows if r[2] >= 200], key=order):
+        old = want_mer2.get(r[0], (None, None))
+        want_mer2[r[0]] = (r[3] if r[3] is not None else old[0], r[4] if r[4] is not None else old[1])
+    assert rep2 == want_rep2 and mer2 == want_mer2
