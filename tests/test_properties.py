@@ -175,3 +175,31 @@ def test_upsert_and_merge_match_model(spark):
         old = want_mer2.get(r[0], (None, None))
         want_mer2[r[0]] = (r[3] if r[3] is not None else old[0], r[4] if r[4] is not None else old[1])
     assert rep2 == want_rep2 and mer2 == want_mer2
+
+
+def test_text_search_matches_model(spark):
+    from quarry.operators.textsearch import search_text
+
+    rng = random.Random(31)
+    words = ["alpha", "Beta", "GAMMA", "needle", "Needle", "x", "  ", "\t", "é"]
+    files = []
+    for i in range(120):
+        lines = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 8))]
+        text = "\n".join(lines) + rng.choice(["", "\n", "\r\n"])
+        files.append((f"w{i % 4}", f"d{i % 3}/f{i:03d}.txt", text, len(text.encode())))
+    content = spark.createDataFrame(files, "ws string, relpath string, content string, size long")
+
+    def model(needle, cs, limit, cap):
+        hits = {}
+        for ws, rel, text, size in sorted(files, key=lambda f: (f[0], f[1])):
+            if size > cap:
+                continue
+            for n, line in enumerate(py_lines(text), 1):
+                if (needle in line) if cs else (needle.lower() in line.lower()):
+                    hits.setdefault(ws, []).append((ws, rel, n, py_trim(line)))
+        return sorted(h for v in hits.values() for h in v[:limit])
+
+    for needle, cs, limit, cap in (("needle", False, 100, 1 << 20), ("Needle", True, 3, 1 << 20), ("a", False, 5, 40)):
+        got = sorted((r.ws, r.relpath, r.line_number, r.snippet)
+                     for r in search_text(content, needle, cs, limit, cap).collect())
+        assert got == model(needle, cs, limit, cap), (needle, cs, limit, cap)
