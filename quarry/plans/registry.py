@@ -329,9 +329,10 @@ def _vector_search_ws(s: SparkSession, d: str, include: DataFrame | None = None)
     cand = vec.join(model, ["ws", "model"], "left_semi")
     if include is not None:
         cand = cand.join(include, "relpath", "left_semi")
-    scored = cand.withColumn("score", cosine_to_query("vector", _query_vector())).filter(F.col("score").isNotNull())
+    # rank on the reported score (6 digits): equal reported scores are tie-broken by chunk id, in any engine
+    scored = cand.withColumn("score", _r6(cosine_to_query("vector", _query_vector()))).filter(F.col("score").isNotNull())
     ranked = top_k(scored, TOPK, "score", "id", ["ws"], rank_col="rank")
-    return ranked.select("ws", "model", "relpath", "chunk_index", _r6("score").alias("score"),
+    return ranked.select("ws", "model", "relpath", "chunk_index", "score",
                          F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -339,7 +340,7 @@ def _vs_sql(extra: str = "") -> str:
     return f"""WITH {SQL_V_VEC},
 m AS (SELECT ws, min(model) AS model FROM v_vec GROUP BY ws),
 s AS (SELECT v.*, {_sql_cos('vector', _query_vector())} AS score FROM v_vec v JOIN m USING (ws, model) WHERE TRUE {extra}),
-r AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY score DESC, id) AS rank FROM s WHERE score IS NOT NULL)
+r AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY round(score, 6) DESC, id) AS rank FROM s WHERE score IS NOT NULL)
 SELECT ws, model, relpath, chunk_index, (round(score, 6) + 0.0) AS score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= {TOPK}"""
 
 
@@ -356,7 +357,7 @@ dots AS (SELECT file, chunk_index, sum(v * {_sql_vec(_query_vector())}[b + 1]) A
 s AS (SELECT c.*, d.dot / (d.vn * {sum(x * x for x in _query_vector()) ** 0.5!r}) AS score,
              {sql_hex_id('vec', 'c.ws', 'c.id', "('chunk#' || lpad(CAST(c.chunk_index AS VARCHAR), 6, '0'))")} AS cid
       FROM v_chunk c JOIN dots d ON d.file = c.id AND d.chunk_index = c.chunk_index WHERE d.vn > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY ws, relpath ORDER BY score DESC, cid) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY ws, relpath ORDER BY round(score, 6) DESC, cid) AS rank FROM s)
 SELECT r.ws, r.relpath, CAST(r.chunk_index AS INTEGER) AS chunk_index, r.start, r."end", r.token_count,
        (round(r.score, 6) + 0.0) AS score, CAST(r.rank AS BIGINT) AS rank,
        {_snippet_sql('encode(f.content)', 'r.start', 'r."end"')} AS snippet
@@ -367,10 +368,10 @@ def _vector_search_file(s: SparkSession, d: str) -> DataFrame:
     # table is neither scanned again nor shuffled (the single-file tool joins content after top-k instead).
     vec = V.v_chunk_vectors(s, d, keep_text=True)
     data = F.encode("chunk_text", "UTF-8")
-    scored = (vec.withColumn("score", cosine_to_query("vector", _query_vector())).filter(F.col("score").isNotNull())
+    scored = (vec.withColumn("score", _r6(cosine_to_query("vector", _query_vector()))).filter(F.col("score").isNotNull())
               .withColumn("snippet", X.snippet(data, F.lit(0), F.octet_length(data))))
     ranked = top_k(scored, TOPK_FILE, "score", "id", ["ws", "relpath"], rank_col="rank")
-    return ranked.select("ws", "relpath", "chunk_index", "start", "end", "token_count", _r6("score").alias("score"),
+    return ranked.select("ws", "relpath", "chunk_index", "start", "end", "token_count", "score",
                          F.col("rank").cast("bigint").alias("rank"), "snippet")
 
 
