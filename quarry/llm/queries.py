@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import quality_rules
+from quarry.llm import quality_rules, token_orc
 from quarry.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,15 @@ def _quality_rules(s: SparkSession, d: str) -> DataFrame:
         quality_rules.passes(quality_rules.DEFAULT).alias("kept"), "fail_bits")
 
 
+# --- 3: token ids in ORC ---------------------------------------------------------------------
+TOKENIZERS = "/opt/tokenizers"
+
+
+@register("op3_token_orc")
+def _token_orc(s: SparkSession, d: str) -> DataFrame:
+    return token_orc.write_and_index(table(s, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", 2)
+
+
 def queries() -> dict[str, Query]:
     def prepared(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
