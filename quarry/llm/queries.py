@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import quality_rules, token_orc
+from quarry.llm import decontaminate, quality_rules, token_orc
 from quarry.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,28 @@ def _quality_rules(s: SparkSession, d: str) -> DataFrame:
         quality_rules.passes(quality_rules.DEFAULT).alias("kept"), "fail_bits")
 
 
+# --- 2: benchmark decontamination ------------------------------------------------------------
+_SQL_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register("op2_decontaminate", rf"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_SQL_AZ}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS g FROM (
+    SELECT item, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all({_SQL_AZ}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dg AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS g FROM (
+    SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM win))),
+h AS (SELECT doc_id, item, i, size FROM dg JOIN win USING (size, g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(t.s, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+""")
+def _decontaminate(s: SparkSession, d: str) -> DataFrame:
+    return decontaminate.report(table(s, d, "documents"), table(s, d, "benchmark"))
+
+
 # --- 3: token ids in ORC ---------------------------------------------------------------------
 TOKENIZERS = "/opt/tokenizers"
 
