@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, quality_rules, token_orc
+from quarry.llm import decontaminate, quality_rules, token_orc, url_rules
 from quarry.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,25 @@ def _token_orc(s: SparkSession, d: str) -> DataFrame:
     return token_orc.write_and_index(table(s, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", 2)
 
 
+# --- 6: URL rules ----------------------------------------------------------------------------
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@register("op6_url_rules", """
+WITH r(rh, rp, verdict) AS (VALUES """ + ", ".join(str(x) for x in URL_RULES) + """),
+p AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS t FROM pages),
+q AS (SELECT page_id, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+m AS (SELECT page_id, arg_max(rh || rp, length(rh || rp) * 10000 + length(rh)) AS rule, arg_max(verdict, length(rh || rp) * 10000 + length(rh)) AS verdict
+      FROM q JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT q.page_id, host, path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM q LEFT JOIN m USING (page_id)
+""")
+def _url_rules(s: SparkSession, d: str) -> DataFrame:
+    rules = s.sql("SELECT * FROM VALUES " + ", ".join(str(x) for x in URL_RULES) + " AS t(host, path, verdict)")
+    return url_rules.judge(table(s, d, "pages").select("page_id", "url"), rules).drop("url")
+
+
 def queries() -> dict[str, Query]:
     def prepared(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
