@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, quality_rules, token_orc, url_rules
+from quarry.llm import decontaminate, quality_rules, token_orc, url_rules, warc
 from quarry.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,17 @@ def _url_rules(s: SparkSession, d: str) -> DataFrame:
     return url_rules.judge(table(s, d, "pages").select("page_id", "url"), rules).drop("url")
 
 
+# --- 10: WARC --------------------------------------------------------------------------------
+@register("op10_warc", """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM m
+""")
+def _warc(s: SparkSession, d: str) -> DataFrame:
+    return warc.archive(table(s, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
     def prepared(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
