@@ -9,9 +9,11 @@ the others are confirmed on their full shingle sets.
 How it stays linear in large groups:
 
 * equal sets are one node (the row with the smallest row number); copies never meet each other;
-* in a band bucket every member is compared with one pivot (a star), not with every other member;
-* after the stars are confirmed and components labelled, only members of one bucket that still carry
-  different labels are compared with each other, so no link between different texts is lost;
+* in a band bucket every member is compared with one pivot, the smallest set (a star), not with every other;
+* after the stars are confirmed and components labelled, members x, y of one bucket can only be an open link
+  if they carry different labels; then one of them, y, is not linked to the pivot p, and since p is no larger
+  than x, a common part that lay inside p would make y at least as similar to p as to x. So x and y share a
+  shingle outside p, and only members that meet in such a shingle are compared: no link is lost;
 * a pivot's comparisons are dealt in portions of ``PORTION`` members, each a sorted stream against one set;
 * hot classes, buckets and hubs are joined to small written tables, where Spark can split them.
 
@@ -25,11 +27,11 @@ component's id is the smallest id of its rows. Extra columns are untouched.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import free_name, materialise, prepare
@@ -167,40 +169,67 @@ def _promising(pairs: DataFrame, nodes: DataFrame, percent: int, m: int) -> Data
     return rows.mapInArrow(run, "a long, b long, portion int")
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b): pairs whose full sets have ``100 * intersection >= percent * union``.
+def _streams(pairs: DataFrame, texts: DataFrame, k: int) -> tuple[DataFrame, Callable]:
+    """Rows (a, portion, b, k1, k2, text), the pivot (b NULL) ahead of its members, and their reader.
 
-    ``docs`` has doc_id and text. A text is used for a node only if its set has the node's digest.
+    The reader yields (pivot, its set, member, its set); a text counts for a node only if its set has the
+    node's digest (another text may carry the same id).
     """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id", "k1", "k2"), "node")
-    texts = materialise(wanted.join(docs, "doc_id").select("node", "k1", "k2", "text"), "near-texts")
-    member = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "portion", "b", "k1", "k2", "text")
-    pivot = pairs.select("a", "portion").distinct().join(texts.withColumnRenamed("node", "a"), "a")
-    pivot = pivot.select("a", "portion", F.lit(None).cast("long").alias("b"), "k1", "k2", "text")
-    rows = pivot.union(member).repartition("a", "portion").sortWithinPartitions("a", "portion", F.col("b").asc_nulls_first())
+    ask = pairs.select(F.col("b").alias("node"), "a", "portion", "b").union(
+        pairs.select("a", "portion").distinct().select(F.col("a").alias("node"), "a", "portion", F.lit(None).cast("long").alias("b")))
+    rows = ask.join(texts, "node").select("a", "portion", "b", "k1", "k2", "text")
+    rows = rows.repartition("a", "portion").sortWithinPartitions("a", "portion", F.col("b").asc_nulls_first())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
         at, held = None, None
         for batch in batches:
             texts = batch.column(5).to_pylist()
-            out = []
             for lo, hi in slices(texts, 2_000_000):
                 sets = shingle_sets(texts[lo:hi], k)
                 cols = [batch.column(i).slice(lo, hi - lo).to_pylist() for i in range(5)]
                 for a, portion, b, k1, k2, s in zip(*cols, sets):
                     if (k1, k2) != _set_key(s):
-                        continue  # another text with the same id
+                        continue
                     if b is None:
                         at, held = (a, portion), s
                     elif at == (a, portion):
-                        common = len(np.intersect1d(held, s, assume_unique=True))
-                        if 100 * common >= percent * (len(held) + len(s) - common):
-                            out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+                        yield a, held, b, s
+
+    return rows, read
+
+
+def _portion(size) -> Column:
+    return F.pmod(F.hash("b"), (F.lit(1) + F.floor(size / PORTION)).cast("int")).cast("int").alias("portion")
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b): pairs whose full sets have ``100 * intersection >= percent * union``."""
+    rows, read = _streams(pairs, texts, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for a, held, b, s in read(batches):
+            common = len(np.intersect1d(held, s, assume_unique=True))
+            if 100 * common >= percent * (len(held) + len(s) - common):
+                out.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _outside(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(a, b, shingle): the shingles of member b that its pivot a lacks."""
+    rows, read = _streams(pairs, texts, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, held, b, s in read(batches):
+            e = np.setdiff1d(s, held, assume_unique=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), a)), pa.array(np.full(len(e), b)), pa.array(e.view(np.int64))],
+                                             ["a", "b", "shingle"])
+
+    return rows.mapInArrow(run, "a long, b long, shingle long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links(a, b)``; label is the smallest node that is reachable.
 
@@ -233,28 +262,31 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, rows: int = 4,
     nodes = materialise(some.groupBy("k1", "k2").agg(
         F.min("row").alias("node"), F.min_by("doc_id", "row").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "near-nodes")
     buckets = _buckets(nodes, bands, rows)
-    stars = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = materialise(stars, "near-stars")
-    members = materialise(buckets.join(stars, "bucket"), "near-members")
-    portion = F.pmod(F.hash("b"), (F.lit(1) + F.floor(F.col("size") / PORTION)).cast("int")).cast("int")
-    pairs = members.where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.max("size").alias("size"))
-    pairs = materialise(_promising(pairs.select("a", "b", portion.alias("portion")), nodes, percent, m), "near-pairs")
-    links = materialise(_confirm(pairs, nodes, docs, k, percent), "near-confirmed")
+    stars = buckets.groupBy("bucket").agg(F.min(F.struct("n", "node")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    stars = materialise(stars.select("bucket", F.col("p.node").alias("a"), "size"), "near-stars")
+    members = buckets.join(stars, "bucket").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.max("size").alias("size"))
+    members = materialise(members.select("a", "b", _portion(F.col("size"))), "near-members")
+    wanted = members.select(F.col("a").alias("node")).union(members.select("b")).distinct().join(nodes.select("node", "doc_id", "k1", "k2"), "node")
+    texts = materialise(wanted.join(docs, "doc_id").select("node", "k1", "k2", "text"), "near-texts")
+    pairs = materialise(_promising(members, nodes, percent, m), "near-pairs")
+    links = materialise(_confirm(pairs, texts, k, percent), "near-confirmed")
     labels = components(links)
-    # what the stars leave open: members of a bucket that still have different labels
-    tagged = members.select("bucket", "node", "n").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    tagged = materialise(tagged, "near-tagged")
-    split = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    groups = tagged.join(split, "bucket").select("bucket", "label").distinct()
-    other = groups.select("bucket", F.col("label").alias("label2"))
-    meet = groups.join(other, "bucket").where("label < label2")
-    left = tagged.select("bucket", "label", F.col("node").alias("a"))
-    right = tagged.select("bucket", F.col("label").alias("label2"), F.col("node").alias("b"))
-    rest = meet.join(left, ["bucket", "label"]).join(right, ["bucket", "label2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    done = members.where("node <> a").select(F.col("a"), F.col("node").alias("b")).distinct()
-    rest = rest.distinct().join(done, ["a", "b"], "left_anti").withColumn("portion", F.pmod(F.hash("b"), F.lit(8)).cast("int"))
-    rest = materialise(_promising(rest, nodes, percent, m), "near-pairs")
-    more = materialise(_confirm(rest, nodes, docs, k, percent), "near-confirmed")
+    # what the stars leave open: pivots whose members still have different labels
+    tagged = members.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    tagged = materialise(tagged.select("a", "b", "portion", "label"), "near-tagged")
+    split = tagged.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a")
+    still = materialise(tagged.join(split, "a"), "near-open")
+    seen = _outside(still.select("a", "b", "portion"), texts, k).join(still.select("a", "b", "label"), ["a", "b"])
+    seen = materialise(seen, "near-outside")
+    shared = seen.groupBy("a", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a", "shingle")
+    seen = materialise(seen.join(shared, ["a", "shingle"]), "near-shared")
+    groups = seen.select("a", "shingle", "label").distinct()
+    meet = groups.join(groups.withColumnRenamed("label", "label2"), ["a", "shingle"]).where("label < label2")
+    rest = (meet.join(seen, ["a", "shingle", "label"])
+            .join(seen.select("a", "shingle", F.col("label").alias("label2"), F.col("b").alias("c")), ["a", "shingle", "label2"])
+            .select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct())
+    rest = materialise(_promising(rest.select("a", "b", _portion(F.lit(8 * PORTION))), nodes, percent, m), "near-pairs")
+    more = materialise(_confirm(rest, texts, k, percent), "near-confirmed")
     if not more.isEmpty():
         labels = components(links.union(more))
     # rows -> nodes -> labels -> smallest id

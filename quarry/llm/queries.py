@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, quality_rules, token_orc, url_rules, warc
+from quarry.llm import decontaminate, near_dedup, quality_rules, token_orc, url_rules, warc
 from quarry.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,25 @@ def _token_orc(s: SparkSession, d: str) -> DataFrame:
     return token_orc.write_and_index(table(s, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", 2)
 
 
+# --- 4: near duplicates ----------------------------------------------------------------------
+@register("op4_near_dedup", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w
+           FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= 85 * (x.n + y.n - common)),
+s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT s.b, r.c FROM r JOIN s ON r.d = s.a),
+m AS (SELECT d AS doc_id, min(c) AS component_id FROM r GROUP BY d)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+""")
+def _near_dedup(s: SparkSession, d: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(s, d, "documents"), 3, 85)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 # --- 6: URL rules ----------------------------------------------------------------------------
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
