@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, near_dedup, quality_rules, token_orc, url_rules, warc
+from quarry.llm import decontaminate, near_dedup, quality_rules, surrogates, token_orc, url_rules, warc
 from quarry.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,16 @@ def _url_rules(s: SparkSession, d: str) -> DataFrame:
     return url_rules.judge(table(s, d, "pages").select("page_id", "url"), rules).drop("url")
 
 
+# --- 9: personal data -------------------------------------------------------------------------
+#: The queries' key; a user passes a secret of their own.
+SURROGATE_KEY = b"key of the registered queries"
+
+
+@register("op9_surrogates")
+def _surrogates(s: SparkSession, d: str) -> DataFrame:
+    return surrogates.replace_entities(table(s, d, "documents").select("doc_id", "text"), SURROGATE_KEY, counts=True)
+
+
 # --- 10: WARC --------------------------------------------------------------------------------
 @register("op10_warc", """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
