@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, near_dedup, quality_rules, surrogates, token_orc, url_rules, warc
+from quarry.llm import decontaminate, near_dedup, piece_codec, quality_rules, surrogates, token_orc, url_rules, warc
 from quarry.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,13 @@ def _url_rules(s: SparkSession, d: str) -> DataFrame:
     return url_rules.judge(table(s, d, "pages").select("page_id", "url"), rules).drop("url")
 
 
+# --- 7: SentencePiece -------------------------------------------------------------------------
+@register("op7_sentencepiece")
+def _sentencepiece(s: SparkSession, d: str) -> DataFrame:
+    found = piece_codec.encode(table(s, d, "documents").select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return found.select("doc_id", "n_tokens", "ids_crc32", "round_trip")
+
+
 # --- 9: personal data -------------------------------------------------------------------------
 #: The queries' key; a user passes a secret of their own.
 SURROGATE_KEY = b"key of the registered queries"
