@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, near_dedup, piece_codec, quality_rules, surrogates, token_orc, url_rules, warc
+from quarry.llm import decontaminate, near_dedup, passages, piece_codec, quality_rules, surrogates, token_orc, url_rules, warc
 from quarry.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +129,12 @@ def _sentencepiece(s: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_crc32", "round_trip")
 
 
+# --- 8: repeated passages ---------------------------------------------------------------------
+@register("op8_passages")
+def _passages(s: SparkSession, d: str) -> DataFrame:
+    return passages.repeated_passages(table(s, d, "documents"))
+
+
 # --- 9: personal data -------------------------------------------------------------------------
 #: The queries' key; a user passes a secret of their own.
 SURROGATE_KEY = b"key of the registered queries"
