@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, near_dedup, passages, piece_codec, quality_rules, surrogates, token_orc, url_rules, warc
+from quarry.llm import decontaminate, near_dedup, passages, piece_codec, quality_gam, quality_rules, surrogates, token_orc, url_rules, warc
 from quarry.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,15 @@ def _near_dedup(s: SparkSession, d: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+# --- 5: quality classifier --------------------------------------------------------------------
+@register("op5_quality_gam")
+def _quality_gam(s: SparkSession, d: str) -> DataFrame:
+    docs, fold = table(s, d, "documents").select("doc_id", "text"), F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    model = quality_gam.train(docs, table(s, d, "labels").where(fold != 0))
+    return quality_gam.score(docs, model).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 # --- 6: URL rules ----------------------------------------------------------------------------
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
