@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +29,27 @@ from pyspark.sql.window import Window
 from quarry.llm.common import prepare, shared_path
 
 #: Distinct chunks remembered per Python worker (about 200 bytes each); the table is emptied when full.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
 #: Characters encoded per call, so that one Arrow batch of long texts needs no more memory than one such slice.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 8_000_000
 
 _STATE: dict[str, ChunkEncoder] = {}
 
 
+class _Numbers(dict):
+    """Numbers strings in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class ChunkEncoder:
-    """Token ids of whole texts, equal to the library's ``encode(text, add_special_tokens=False)``."""
+    """Token ids of whole texts, equal to the library's ``encode(text, add_special_tokens=False)``.
+
+    ``seen`` numbers the words that followed a space; word ``n`` (with its space) has the ids
+    ``flat[start[n]:start[n] + size[n]]``.
+    """
 
     def __init__(self, path: str):
         import os
@@ -44,51 +58,77 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self._lines = partial(getattr(self.lib, "encode_batch_fast", self.lib.encode_batch), add_special_tokens=False)
+        # tokens that begin with a space, which byte-level vocabularies write as U+0120
+        self.leads = np.zeros(self.lib.get_vocab_size(with_added_tokens=True), bool)
+        self.leads[[i for t, i in self.lib.get_vocab(with_added_tokens=False).items() if t.startswith("\u0120")]] = True
         self._empty()
 
     def _empty(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, "<u4") for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        self.seen = _Numbers()
+        self.flat, self.size = np.empty(0, "<u4"), np.empty(0, np.int64)
+        self.cut = np.empty(0, bool)  # whether the space ahead of the word is a cut
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self._lines(texts)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), "<u4", int(size.sum())), size
+
+    def _learn(self) -> None:
+        """Ids of the words numbered since the last call.
+
+        Words are encoded in long lines: every word that begins and ends with a non-space starts a token that
+        holds its leading space, and no other token of it does, so the line's ids fall apart at those tokens.
+        """
+        known = len(self.size)
+        if len(self.seen) == known:
+            return
+        new = list(islice(self.seen, known, None))
+        cut = np.fromiter((bool(w) and not (w[0].isspace() or w[-1].isspace()) for w in new), bool, len(new))
+        good = [w for w, c in zip(new, cut.tolist()) if c]
+        lines = [good[k:k + 1000] for k in range(0, len(good), 1000)]
+        flat, sizes = [], []
+        for line, found in zip(lines, self._lines(["".join([" " + w for w in line]) for line in lines])):
+            ids = np.array(found.ids, "<u4")
+            begin = np.flatnonzero(self.leads[ids])
+            size = np.diff(begin, append=len(ids))
+            if len(size) != len(line):
+                raise ValueError("the tokenizer does not keep a leading space in a word's first token")
+            flat.append(ids)
+            sizes.append(size)
+        size = np.zeros(len(new), np.int64)
+        if sizes:
+            size[cut] = np.concatenate(sizes)
+        self.flat = np.concatenate([self.flat, *flat])
+        self.size, self.cut = np.concatenate([self.size, size]), np.concatenate([self.cut, cut])
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per text); every text ends with ``end_id``."""
         if len(self.seen) > CACHE_CHUNKS:
             self._empty()
-        chunks = [self._chunks(t) for t in texts]
-        new = sorted({c for row in chunks for c in row if c not in self.seen})
-        for c, ids in zip(new, self._whole(new)):
-            self.seen[c] = len(self.parts)
-            self.parts.append(ids)
-        if "" not in self.seen:
-            self.seen[""] = len(self.parts)
-            self.parts.append(np.empty(0, "<u4"))
-        get = self.seen.__getitem__
-        out, sizes, end = [], np.empty(len(texts), np.int64), np.array([end_id], "<u4")
-        parts = self.parts
-        for k, row in enumerate(chunks):
-            ids = np.concatenate([*[parts[i] for i in map(get, row)], end])
-            out.append(ids)
-            sizes[k] = len(ids)
+        ask = self.seen.__getitem__
+        firsts, numbers = [], []
+        for t in texts:
+            first, *rest = t.split(" ")
+            firsts.append(first)
+            numbers.append(np.fromiter(map(ask, rest), np.int64, len(rest)))
+        self._learn()
+        # a space that touches other white space is no cut: such texts are encoded whole
+        odd = [k for k, (f, n) in enumerate(zip(firsts, numbers)) if len(n) and (not f or f[-1].isspace() or not self.cut[n].all())]
+        for k in odd:
+            firsts[k], numbers[k] = texts[k], numbers[k][:0]
+        head, head_size = self._whole(firsts)
+        start, head_start = np.cumsum(self.size) - self.size, np.cumsum(head_size) - head_size
+        out, sizes = [], np.empty(len(texts), np.int64)
+        end = np.array([end_id], "<u4")
+        for k, n in enumerate(numbers):
+            size = self.size[n]
+            total = int(size.sum())
+            at = np.repeat(start[n] - (np.cumsum(size) - size), size) + np.arange(total)
+            out += [head[head_start[k]:head_start[k] + head_size[k]], self.flat[at], end]
+            sizes[k] = head_size[k] + total + 1
         return (np.concatenate(out) if out else np.empty(0, "<u4")), sizes
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        parts = text.split(" ")
-        chunks = [parts[0], *[" " + p for p in parts[1:]]]
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts) and len(parts) > 1:
-            # a space that touches other white space is no cut: join what it separates
-            joined = [chunks[0]]
-            for left, p, c in zip(parts, parts[1:], chunks[1:]):
-                if not left or not p or left[-1].isspace() or p[0].isspace():
-                    joined[-1] += c
-                else:
-                    joined.append(c)
-            return joined
-        return chunks
-
 
 def encoder(path: str) -> ChunkEncoder:
     if path not in _STATE:
