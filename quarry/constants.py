@@ -30,17 +30,13 @@ SKIP_DIR_NAMES = (".git", ".hg", ".svn", "node_modules", ".idea", ".vscode")
 # --- fixed values: Unicode white space (the set trimmed by the text tools) ----------------
 # tab, LF, VT, FF, CR, space, NEL, NBSP, OGHAM SPACE MARK, EN QUAD..HAIR SPACE,
 # LINE SEPARATOR, PARAGRAPH SEPARATOR, NARROW NBSP, MEDIUM MATH SPACE, IDEOGRAPHIC SPACE.
-# Written with \x{..} escapes, understood alike by Java regex and RE2.
-UNICODE_SPACE_CLASS = (
-    r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
-
-# the same set as plain characters, for set-based trimming
 UNICODE_SPACE_CHARS = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680"
     + "".join(chr(c) for c in range(0x2000, 0x200B))
     + "\u2028\u2029\u202f\u205f\u3000"
 )
+# the same set as a character class, with \x{..} escapes that Java and RE2 expressions share
+UNICODE_SPACE_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in UNICODE_SPACE_CHARS) + "]"
 
 # --- fixed values: terminal escape sequences, removed in this order ----------------------
 ANSI_OSC = r"\x1b\][^\x07]*(\x07|\x1b\\)"
@@ -48,21 +44,12 @@ ANSI_CSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]"
 ANSI_CSI_8BIT = r"\x{9b}[0-9;?]*[ -/]*[@-~]"
 ANSI_SS3 = r"\x1bO[^\n]"
 
-# --- fixed values: limits ------------------------------------------------------------------
+# --- fixed values: chunk size, batch sizes, markers ------------------------------------------------------------------
 MAX_TOKENS_PER_CHUNK = 768
-MAX_EMBED_FILE_BYTES = 256 * 1024
-BINARY_SNIFF_BYTES = 1024
 EMBED_BATCH_SIZE = 16
 PCA_EMBED_BATCH_SIZE = 128
-PCA_SAMPLE_CAP = 50_000
 PCA_PADDED_WIDTH = 1024
-TEXT_SEARCH_MAX_FILE_BYTES = 1 << 20
-ROW_LIMIT_CAP = 100
 TOPK_DEFAULT = 5
-TOPK_CAP_FILE = 20
-TOPK_CAP_WORKSPACE = 50
-SLICE_CAP_CHARS = 60 * 1024
-SNIPPET_MAX_BYTES = 512
 SNIPPET_ELLIPSIS = "…"
 EOF_MARKER = "<|EOF|>"
 TRUNCATED_MARKER = ". . .truncated"
@@ -78,16 +65,3 @@ TOKEN_PATTERN = "[^ \t\r\n]+[ \t\r\n]*|[ \t\r\n]+"
 # --- hash embedder: words are maximal runs of non-blank characters ------------------------
 WORD_PATTERN = "[^ \t\r\n]+"
 
-
-def clamp_limit(requested: int | None, cap: int = ROW_LIMIT_CAP) -> int:
-    """Row-limit argument rule: <=0 or above the cap means the cap."""
-    if requested is None or requested <= 0 or requested > cap:
-        return cap
-    return int(requested)
-
-
-def clamp_topk(requested: int | None, cap: int) -> int:
-    """Top-k argument rule: <=0 means the default, above the cap means the cap."""
-    if requested is None or requested <= 0:
-        return TOPK_DEFAULT
-    return min(int(requested), cap)

@@ -23,7 +23,7 @@ def detect_language(path) -> Column:
     lang_map = F.create_map(*[F.lit(x) for kv in LANGUAGE_BY_EXTENSION.items() for x in kv])
     return (
         F.when(ext == "", F.lit(LANGUAGE_NO_EXTENSION))
-        .otherwise(F.coalesce(F.try_element_at(lang_map, ext), F.substring(ext, 2, 1 << 20)))
+        .otherwise(F.coalesce(F.try_element_at(lang_map, ext), F.substring(ext, 2, F.char_length(ext))))
     )
 
 
@@ -70,7 +70,7 @@ def relative_to(root, path) -> Column:
     p = _col(path)
     return (
         F.when(p == r, F.lit(""))
-        .when(F.startswith(p, F.concat(r, F.lit("/"))), F.substring(p, F.length(r) + 2, 1 << 30))
+        .when(F.startswith(p, F.concat(r, F.lit("/"))), F.substring(p, F.length(r) + 2, F.length(p)))
         .otherwise(F.lit(None).cast("string"))
     )
 

@@ -10,12 +10,8 @@ from quarry.constants import (
     ANSI_CSI_8BIT,
     ANSI_OSC,
     ANSI_SS3,
-    BINARY_SNIFF_BYTES,
     EOF_MARKER,
-    MODEL_RECORD_PREFIX,
-    SLICE_CAP_CHARS,
     SNIPPET_ELLIPSIS,
-    SNIPPET_MAX_BYTES,
     TRUNCATED_MARKER,
     UNICODE_SPACE_CHARS,
 )
@@ -40,9 +36,8 @@ def as_bytes(text) -> Column:
 
 
 def is_binary(content) -> Column:
-    """A NUL byte within the first 1024 bytes."""
-    head = F.substring(_col(content), 1, BINARY_SNIFF_BYTES).cast("string")
-    return F.locate("\u0000", head) > 0
+    """A NUL byte anywhere in the file."""
+    return F.locate("\u0000", _col(content).cast("string")) > 0
 
 
 def byte_prefix(text, n: int) -> Column:
@@ -50,8 +45,8 @@ def byte_prefix(text, n: int) -> Column:
     return F.make_valid_utf8(F.substring(as_bytes(text), 1, n).cast("string"))
 
 
-def snippet(content, start, end) -> Column:
-    """Bytes ``[start, end)`` of a file as one trimmed line, cut to 512 bytes plus ``…``.
+def snippet(content, start, end, max_bytes: int | None = None) -> Column:
+    """Bytes ``[start, end)`` of a file as one trimmed line; ``max_bytes`` cuts it and appends ``…``.
 
     Out-of-range windows give ``''``; the window is clamped to the file.
     """
@@ -61,33 +56,31 @@ def snippet(content, start, end) -> Column:
     e = F.least(_col(end), n)
     window = F.substring(data, s + 1, e - s)
     text = go_trim(F.replace(as_text(window), F.lit("\n"), F.lit(" ")))
-    cut = F.when(
-        F.octet_length(text) > SNIPPET_MAX_BYTES,
-        F.concat(byte_prefix(text, SNIPPET_MAX_BYTES), F.lit(SNIPPET_ELLIPSIS)),
-    ).otherwise(text)
+    cut = text if max_bytes is None else F.when(
+        F.octet_length(text) > max_bytes, F.concat(byte_prefix(text, max_bytes), F.lit(SNIPPET_ELLIPSIS))).otherwise(text)
     return F.when((s >= n) | (s >= e), F.lit("")).otherwise(cut)
 
 
-def _clamped_range(start, end, length):
+def _clamped_range(start, end, length, most: int | None):
     s = F.greatest(_col(start), F.lit(0))
     e = F.greatest(F.greatest(_col(end), F.lit(0)), s)
     s = F.least(s, length)
     e = F.least(e, length)
-    truncated = (e - s) > SLICE_CAP_CHARS
-    e = F.when(truncated, s + SLICE_CAP_CHARS).otherwise(e)
+    truncated = F.lit(False) if most is None else (e - s) > most
+    e = e if most is None else F.when(truncated, s + most).otherwise(e)
     return s, e, truncated
 
 
-def read_slice(text, start, end) -> Column:
+def read_slice(text, start, end, max_chars: int | None = None) -> Column:
     """Characters ``[start, end)`` of a text as ``struct<chunk, truncated>``.
 
     Negative offsets become 0, ``end < start`` becomes ``start``, both clamp to
-    the length; more than 61 440 characters are cut. ``<|EOF|>`` is appended when
-    the slice reaches the end, ``. . .truncated`` when it was cut.
+    the length. ``max_chars`` cuts the slice. ``<|EOF|>`` is appended when the slice
+    reaches the end, ``. . .truncated`` when it was cut.
     """
     t = _col(text)
     length = F.char_length(t)
-    s, e, truncated = _clamped_range(start, end, length)
+    s, e, truncated = _clamped_range(start, end, length, max_chars)
     body = F.substring(t, s + 1, e - s)
     chunk = F.concat(
         body,
@@ -97,14 +90,14 @@ def read_slice(text, start, end) -> Column:
     return F.struct(chunk.alias("chunk"), truncated.alias("truncated"))
 
 
-def read_slice_hex(content, start, end) -> Column:
+def read_slice_hex(content, start, end, max_digits: int | None = None) -> Column:
     """Hex-digit range ``[start, end)`` of file bytes (lower-case), same clamps and markers.
 
     Offsets count hex digits: an odd start drops the first nibble of its byte.
     """
     data = _col(content)
     total = F.octet_length(data) * 2
-    s, e, truncated = _clamped_range(start, end, total)
+    s, e, truncated = _clamped_range(start, end, total, max_digits)
     nibbles = e - s
     byte_start = F.floor(s / 2).cast("int")
     byte_end = F.least(F.floor((e + 1) / 2).cast("int"), F.octet_length(data))
@@ -118,13 +111,6 @@ def read_slice_hex(content, start, end) -> Column:
     return F.struct(chunk.alias("chunk"), truncated.alias("truncated"))
 
 
-def contains_text(line, needle: str, case_sensitive: bool = False) -> Column:
-    """Literal containment (never a pattern); case-insensitive by folding both sides."""
-    if case_sensitive:
-        return F.contains(_col(line), F.lit(needle))
-    return F.contains(F.lower(_col(line)), F.lower(F.lit(needle)))
-
-
 def strip_ansi(s) -> Column:
     """Remove OSC, CSI, 8-bit CSI and SS3 escape sequences, in that order."""
     out = _col(s)
@@ -145,16 +131,10 @@ def split_model(model) -> Column:
     m = _col(model)
     pos = F.instr(m, "-")
     family = F.when(pos == 0, model_slug(m)).otherwise(F.substring_index(m, "-", 1))
-    version = F.when(pos == 0, F.lit("base")).otherwise(F.substring(m, pos + 1, 1 << 30))
+    version = F.when(pos == 0, F.lit("base")).otherwise(F.substring(m, pos + 1, F.char_length(m)))
     return F.struct(family.alias("family"), version.alias("version"))
 
 
-def strip_model_prefix(candidate) -> Column:
-    """``vector_model:abc`` -> ``abc``; other values are only trimmed."""
-    c = go_trim(_col(candidate))
-    return F.when(F.startswith(c, F.lit(MODEL_RECORD_PREFIX)), F.substring(c, len(MODEL_RECORD_PREFIX) + 1, 1 << 30)).otherwise(c)
-
-
 def clean_labels(labels) -> Column:
     """Trim each label and drop blanks (duplicates stay); an empty result is NULL."""
     cleaned = F.filter(F.transform(_col(labels), lambda x: go_trim(x)), lambda x: x != "")
@@ -168,9 +148,4 @@ def normalize_filters(values) -> Column:
 
 def normalize_filter_list(values: list[str] | None) -> list[str]:
     """Driver-side form of :func:`normalize_filters` for literal argument lists."""
-    out: list[str] = []
-    for v in values or []:
-        t = v.strip()
-        if t and t not in out:
-            out.append(t)
-    return out
+    return [t for t in dict.fromkeys(v.strip() for v in values or []) if t]

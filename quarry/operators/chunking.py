@@ -9,15 +9,22 @@ from quarry.constants import MAX_TOKENS_PER_CHUNK, TOKEN_PATTERN
 from quarry.functions.text import as_text
 
 
-def chunk_texts(text: Column, max_tokens: int = MAX_TOKENS_PER_CHUNK, token_pattern: str = TOKEN_PATTERN) -> Column:
-    """Array of chunk strings, each holding up to ``max_tokens`` consecutive tokens.
+#: Chunks whose lengths are summed together before single chunks are.
+_BLOCK = 128
 
-    One regex pass in the JVM: a bounded repetition of the (lossless) token
-    pattern consumes ``max_tokens`` tokens per match, so the matches tile the text.
-    """
-    if max_tokens < 1:
-        raise ValueError("max_tokens must be positive")
-    return F.regexp_extract_all(text, F.lit(f"(?:{token_pattern}){{1,{max_tokens}}}"), 0)
+
+def _starts(lens: Column) -> Column:
+    """Running sum ahead of each element: block totals first, then inside the block, so the work stays near linear."""
+    add = lambda a, x: a + x
+    zero = F.lit(0).cast("bigint")
+    n_blocks = F.ceil(F.size(lens) / _BLOCK).cast("int")
+    totals = F.transform(F.sequence(F.lit(0), F.greatest(n_blocks - 1, F.lit(0))),
+                         lambda b: F.aggregate(F.slice(lens, b * _BLOCK + 1, F.lit(_BLOCK)), zero, add))
+    # one-element arrays bind what the inner lambdas use more than once
+    return F.flatten(F.transform(F.array(totals), lambda t: F.flatten(F.transform(
+        t, lambda _, b: F.transform(F.array(F.aggregate(F.slice(t, 1, b), zero, add)), lambda base: F.transform(
+            F.array(F.slice(lens, b * _BLOCK + 1, F.lit(_BLOCK))), lambda part: F.transform(
+                part, lambda _x, i: base + F.aggregate(F.slice(part, 1, i), zero, add))))[0][0]))))
 
 
 def with_chunks(
@@ -37,25 +44,23 @@ def with_chunks(
     text = F.col(text_col)
     if dict(df.dtypes).get(text_col) == "binary":
         text = as_text(text)
-    # materialise the chunk array once: lambdas below refer to it by column, not by expression
-    staged = df.withColumn("_chunks", chunk_texts(text, max_tokens, token_pattern))
+    if max_tokens < 1:
+        raise ValueError("max_tokens must be positive")
+    # tokens are split once and chunks cut by index; every stage is a column, so lambdas refer to values
+    staged = df.withColumn("_toks", F.regexp_extract_all(text, F.lit(token_pattern), 0))
+    n_chunks = F.ceil(F.size("_toks") / max_tokens).cast("int")
+    staged = staged.withColumn("_chunks", F.when(F.size("_toks") > 0, F.transform(
+        F.sequence(F.lit(0), F.greatest(n_chunks - 1, F.lit(0))),
+        lambda i: F.array_join(F.slice("_toks", i * max_tokens + 1, F.lit(max_tokens)), ""))).otherwise(F.array().cast("array<string>")))
+    staged = staged.withColumn("_n", F.size("_toks")).drop("_toks")
     staged = staged.withColumn("_lens", F.transform("_chunks", lambda c: F.octet_length(c).cast("bigint")))
-    chunks, lens = F.col("_chunks"), F.col("_lens")
-    # every chunk but the last holds exactly max_tokens tokens; only the last is counted
-    rows = F.transform(
-        chunks,
-        lambda c, i: F.struct(
-            i.alias("chunk_index"),
-            c.alias("chunk_text"),
-            F.aggregate(F.slice(lens, 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("start"),
-            F.when(i < F.size(chunks) - 1, F.lit(max_tokens))
-            .otherwise(F.size(F.regexp_extract_all(c, F.lit(token_pattern), 0)))
-            .alias("token_count"),
-        ),
-    )
+    staged = staged.withColumn("_starts", _starts(F.col("_lens")))
+    rows = F.transform("_chunks", lambda c, i: F.struct(
+        i.alias("chunk_index"), c.alias("chunk_text"), F.get(F.col("_starts"), i).alias("start"),
+        F.least(F.lit(max_tokens), F.col("_n") - i * max_tokens).cast("int").alias("token_count")))
     out = (
         staged.withColumn("_chunk", F.explode(rows))
-        .drop("_chunks", "_lens")
+        .drop("_chunks", "_lens", "_starts", "_n")
         .select("*", "_chunk.*")
         .drop("_chunk")
         .withColumn("chunk_size", F.octet_length("chunk_text").cast("bigint"))

@@ -13,6 +13,10 @@ from quarry.functions.hashing import dir_id
 from quarry.functions.paths import parent_path
 
 
+SCAN_RELATIONS = ("ws_contains_dir", "dir_contains_dir", "dir_contains_file")
+VECTOR_RELATIONS = ("file_has_vector", "workspace_has_vector")
+
+
 def _edge(df: DataFrame, relation: str, in_col, out_col) -> DataFrame:
     return df.select(F.lit(relation).alias("relation"), in_col.alias("in_id"), out_col.alias("out_id"))
 

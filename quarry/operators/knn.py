@@ -5,10 +5,10 @@
 * one query per group (per workspace, per file): ``row_number() <= k`` over a
   window, which Spark plans with a map-side ``WindowGroupLimit`` so a hot group
   ships at most k rows per task through the shuffle;
-* many queries: the query matrix is size-checked and broadcast, every task
-  scores its Arrow batches with one matrix product and keeps a running top-k per
-  query (ties kept), then a per-query window picks the final k. No query x chunk
-  pairs are ever materialised.
+* many queries: they pass the driver one tile at a time (a bounded number of
+  vectors of one width, broadcast), every task scores small blocks of chunks with
+  one matrix product and keeps exactly k rows per query, ties broken by id, then a
+  per-query window picks the final k. No query x chunk pairs are materialised.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.functions.vectors import cosine_to_query
 
-DEFAULT_MAX_QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+#: Values (queries x width) of one tile, and scores (chunks x queries) that a task holds at once.
+TILE_VALUES = 1 << 20
+BLOCK_SCORES = 1 << 21
 
 
 def top_k(df: DataFrame, k: int, score_col: str = "score", tie_col: str = "id",
@@ -58,124 +61,82 @@ def vector_search(chunks: DataFrame, query: Sequence[float], k: int, vec_col: st
     return top_k(scored, k, "score", id_col, group_cols, rank_col)
 
 
-def _query_blocks(queries: DataFrame, qid_col: str, qvec_col: str, max_block_bytes: int):
-    """Collect the (size-checked) query matrix in blocks of at most ``max_block_bytes``."""
-    stats = queries.agg(F.count("*").alias("n"), F.max(F.size(qvec_col)).alias("d")).collect()[0]
-    n, d = int(stats["n"] or 0), int(stats["d"] or 0)
-    if n == 0 or d == 0:
-        return []
-    queries = queries.filter(F.size(qvec_col) == d)  # one width per search; NULL vectors drop out here
-    per_row = d * 8 + 64
-    rows_per_block = max(1, max_block_bytes // per_row)
-    n_blocks = (n + rows_per_block - 1) // rows_per_block
-    blocks = []
-    if n_blocks == 1:
-        parts = [queries]
-    else:
-        keyed = queries.withColumn("_blk", F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_blocks)))
-        parts = [keyed.filter(F.col("_blk") == b).drop("_blk") for b in range(n_blocks)]
-    for part in parts:
-        rows = part.select(qid_col, F.col(qvec_col).cast("array<double>").alias("_q")).collect()
-        if not rows:
-            continue
-        ids = [r[0] for r in rows]
-        mat = np.array([r[1] for r in rows], dtype=np.float64)
-        blocks.append((ids, mat))
-    return blocks
+def _tiles(queries: DataFrame, qid_col: str, qvec_col: str):
+    """(ids, unit column matrix) per tile: queries of one width, streamed partition by partition."""
+    rows = queries.select(qid_col, F.col(qvec_col).cast("array<double>").alias("_q")).filter(F.size("_q") > 0)
+    ids, vecs = [], []
+    for qid, vec in rows.sortWithinPartitions(F.size("_q")).toLocalIterator():
+        if vecs and (len(vec) != len(vecs[0]) or (len(vecs) + 1) * len(vec) > TILE_VALUES):
+            yield from _unit(ids, vecs)
+            ids, vecs = [], []
+        ids.append(qid)
+        vecs.append(vec)
+    yield from _unit(ids, vecs)
+
+
+def _unit(ids: list, vecs: list):
+    m = np.array(vecs, dtype=np.float64)
+    if len(vecs):
+        norm = np.linalg.norm(m, axis=1)
+        keep = norm > 0
+        if keep.any():
+            yield [q for q, ok in zip(ids, keep) if ok], (m[keep] / norm[keep, None]).T.copy()
 
 
 def batch_knn(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "vector",
-              qid_col: str = "query_id", qvec_col: str = "query_vector", carry_cols: Sequence[str] = (),
-              max_block_bytes: int = DEFAULT_MAX_QUERY_BLOCK_BYTES) -> DataFrame:
+              qid_col: str = "query_id", qvec_col: str = "query_vector", carry_cols: Sequence[str] = ()) -> DataFrame:
     """Top-``k`` chunks by cosine similarity for every query row.
 
-    Output: ``qid_col, id_col, *carry_cols, score, rank``. Queries with a zero
-    vector get no rows; chunks whose width differs from the queries are skipped.
+    Output: ``qid_col, id_col, *carry_cols, score, rank``. A query is answered from
+    the chunks of its own width; queries with a NULL or zero vector get no rows.
     """
     spark = chunks.sparkSession
-    blocks = _query_blocks(queries, qid_col, qvec_col, max_block_bytes)
-    qid_type = queries.schema[qid_col].dataType
-    carry_fields = [chunks.schema[c] for c in carry_cols]
-    out_schema = T.StructType(
-        [T.StructField(qid_col, qid_type), T.StructField(id_col, chunks.schema[id_col].dataType)]
-        + [T.StructField(f.name, f.dataType) for f in carry_fields]
-        + [T.StructField("score", T.DoubleType())]
-    )
-    if not blocks:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-    d = blocks[0][1].shape[1]
+    fields = [T.StructField(qid_col, queries.schema[qid_col].dataType), T.StructField(id_col, chunks.schema[id_col].dataType)]
+    fields += [T.StructField(c, chunks.schema[c].dataType) for c in carry_cols] + [T.StructField("score", T.DoubleType())]
+    out_schema = T.StructType(fields)
     arrow_schema = to_arrow_schema(out_schema)
-    results = []
-    for ids, mat in blocks:
-        qn = np.linalg.norm(mat, axis=1)
-        keep = qn > 0
-        qids = [q for q, ok in zip(ids, keep) if ok]
-        qmat = (mat[keep] / qn[keep, None]).T.copy()  # d x Q, unit columns
-        if not qids:
-            continue
-        bc = spark.sparkContext.broadcast((qids, qmat))
-        kk = int(k)
-
-        def score_partition(batches, bc=bc, kk=kk, arrow_schema=arrow_schema):
+
+    def scorer(bc):
+        def best(pool: pa.Table) -> pa.Table:
+            """The first k rows per query by (score descending, id)."""
+            pool = pool.take(pc.sort_indices(pool, sort_keys=[("_j", "ascending"), ("score", "descending"), (id_col, "ascending")]))
+            j = pool["_j"].to_numpy()
+            first = np.searchsorted(j, j, side="left")
+            return pool.filter(pa.array(np.arange(len(j)) - first < k))
+
+        def run(batches):
             q_ids, q = bc.value
-            nq = q.shape[1]
-            pool: list[tuple[np.ndarray, np.ndarray, pa.Table]] = []  # (score, query index, rows)
-            pooled = 0
-
-            def prune(pool):
-                cs = np.concatenate([p[0] for p in pool])
-                cq = np.concatenate([p[1] for p in pool])
-                rows = pa.concat_tables([p[2] for p in pool])
-                order = np.lexsort((-cs, cq))
-                cs, cq = cs[order], cq[order]
-                starts = np.searchsorted(cq, np.arange(nq), side="left")
-                ends = np.searchsorted(cq, np.arange(nq), side="right")
-                keep = []
-                for j in range(nq):
-                    a, b = int(starts[j]), int(ends[j])
-                    if a == b:
+            d, nq = q.shape
+            pool = None
+            step = max(1, BLOCK_SCORES // nq)
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    rb = whole.slice(at, step)
+                    v = rb.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rb.num_rows, d)
+                    norm = np.linalg.norm(v, axis=1)
+                    ok = norm > 0
+                    s = np.full((rb.num_rows, nq), -np.inf)
+                    s[ok] = (v[ok] / norm[ok, None]) @ q
+                    take = min(k, rb.num_rows)
+                    kth = np.partition(s, rb.num_rows - take, axis=0)[rb.num_rows - take]
+                    rr, qq = np.nonzero((s >= kth[None, :]) & np.isfinite(s))
+                    if rr.size == 0:
                         continue
-                    kth = cs[min(a + kk, b) - 1]
-                    # everything at or above the kth best score stays (ties are kept)
-                    stop = a + int(np.searchsorted(-cs[a:b], -kth, side="right"))
-                    keep.append(np.arange(a, stop))
-                sel = np.concatenate(keep) if keep else np.zeros(0, dtype=np.int64)
-                return [(cs[sel], cq[sel], rows.take(pa.array(order[sel])))]
-
-            for rb in batches:
-                n = rb.num_rows
-                if n == 0:
-                    continue
-                v = rb.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, d)
-                vn = np.linalg.norm(v, axis=1)
-                ok = vn > 0
-                s = np.full((n, nq), -np.inf)
-                s[ok] = (v[ok] / vn[ok, None]) @ q
-                take = min(kk, n)
-                kth = np.partition(s, n - take, axis=0)[n - take]  # kth best score per query in this batch
-                rr, qq = np.nonzero((s >= kth[None, :]) & np.isfinite(s))
-                if rr.size == 0:
-                    continue
-                rows = pa.Table.from_batches([rb.select([id_col, *carry_cols])]).take(pa.array(rr))
-                pool.append((s[rr, qq], qq, rows))
-                pooled += rr.size
-                if pooled > 8 * kk * nq + 4096:
-                    pool = prune(pool)
-                    pooled = pool[0][0].size
-            if not pool:
-                return
-            cs, cq, rows = prune(pool)[0]
-            cols = {qid_col: pa.array([q_ids[j] for j in cq], type=arrow_schema.field(qid_col).type),
-                    **{c: rows.column(c) for c in [id_col, *carry_cols]},
-                    "score": pa.array(cs, type=pa.float64())}
-            yield from pa.Table.from_pydict(cols, schema=arrow_schema).to_batches()
-
-        src = chunks.filter(F.size(vec_col) == d).select(id_col, vec_col, *carry_cols)
-        cands = src.mapInArrow(score_partition, out_schema)
-        results.append(cands)
-    if not results:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-    cands = results[0]
-    for r in results[1:]:
-        cands = cands.unionByName(r)
-    return top_k(cands, k, "score", id_col, [qid_col], rank_col="rank")
+                    rows = pa.Table.from_batches([rb.select([id_col, *carry_cols])]).take(pa.array(rr))
+                    rows = rows.append_column("_j", pa.array(qq)).append_column("score", pa.array(s[rr, qq]))
+                    pool = best(rows if pool is None else pa.concat_tables([pool, rows]))
+            if pool is not None:
+                ids = pa.array([q_ids[j] for j in pool["_j"].to_pylist()], type=arrow_schema.field(qid_col).type)
+                cols = {qid_col: ids} | {c: pool[c] for c in [id_col, *carry_cols, "score"]}
+                yield from pa.Table.from_pydict(cols, schema=arrow_schema).to_batches()
+        return run
+
+    found = None
+    for ids, matrix in _tiles(queries, qid_col, qvec_col):
+        bc = spark.sparkContext.broadcast((ids, matrix))
+        src = chunks.filter(F.size(vec_col) == matrix.shape[0]).select(id_col, vec_col, *carry_cols)
+        part = src.mapInArrow(scorer(bc), out_schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], T.StructType([*fields, T.StructField("rank", T.IntegerType())]))
+    return top_k(found, k, "score", id_col, [qid_col], rank_col="rank")

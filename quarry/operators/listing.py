@@ -7,18 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.constants import ROW_LIMIT_CAP, clamp_limit
 from quarry.functions.paths import leaf_name, parent_path
 
 MATCH_TYPES = ("exact", "prefix", "suffix", "substring")
 
 
-def first_n(df: DataFrame, n: int, order: Sequence[Column], group_cols: Sequence[str] | None = None) -> DataFrame:
+def first_n(df: DataFrame, n: int | None, order: Sequence[Column], group_cols: Sequence[str] | None = None) -> DataFrame:
     """First ``n`` rows in ``order`` overall (``TakeOrderedAndProject``) or per group.
 
     Per group, ``row_number() <= n`` is planned with a map-side ``WindowGroupLimit``:
-    a hot group sends at most ``n`` rows per task through the shuffle.
+    a hot group sends at most ``n`` rows per task through the shuffle. ``None`` keeps every row.
     """
+    if n is None:
+        return df.orderBy(*(group_cols or ()), *order)
+    if n < 1:
+        raise ValueError("a limit is a positive number, or None for all rows")
     if not group_cols:
         return df.orderBy(*order).limit(n)
     w = Window.partitionBy(*group_cols).orderBy(*order)
@@ -81,9 +84,9 @@ def tree_directories(dirs: DataFrame, ws: str | None = None) -> DataFrame:
     d = dirs if ws is None else dirs.filter(F.col("ws") == ws)
     entries = d.select("ws", "relpath", leaf_name("relpath").alias("name"), parent_path("relpath").alias("parent"),
                        F.col("sha"))
-    roots = d.select("ws").distinct().join(d.filter(F.col("relpath") == "").select("ws"), "ws", "left_anti").select(
-        "ws", F.lit("").alias("relpath"), F.lit("/").alias("name"), F.lit("").alias("parent"),
-        F.lit(None).cast("string").alias("sha"))
+    rootless = d.groupBy("ws").agg(F.max(F.col("relpath") == "").alias("has_root")).filter(~F.col("has_root"))
+    roots = rootless.select("ws", F.lit("").alias("relpath"), F.lit("/").alias("name"), F.lit("").alias("parent"),
+                            F.lit(None).cast("string").alias("sha"))
     return entries.unionByName(roots).orderBy("ws", "relpath")
 
 
@@ -111,15 +114,14 @@ def path_predicate(query: str, match_type: str | None = "substring") -> Column:
         return F.endswith(rel, F.lit(q))
     if mt == "substring":
         return F.contains(rel, F.lit(q))
-    raise ValueError(f"unsupported matchType {match_type!r}")
+    raise ValueError(f"no such way to match a path: {match_type!r}")
 
 
-def find_file(files: DataFrame, query: str, match_type: str | None = "substring", limit: int | None = ROW_LIMIT_CAP,
+def find_file(files: DataFrame, query: str, match_type: str | None = "substring", limit: int | None = None,
               ws: str | None = None) -> DataFrame:
-    """Files whose path matches, ordered by path, at most ``limit`` (per workspace when ``ws`` is None)."""
-    n = clamp_limit(limit)
+    """Files whose path matches, ordered by path, at most ``limit`` of them when given (per workspace when ``ws`` is None)."""
     df = files.filter(path_predicate(query, match_type))
     if ws is not None:
         df = df.filter(F.col("ws") == ws.strip())
-        return first_n(df.select("ws", "relpath", "lang", "size", "sha"), n, [F.col("relpath")])
-    return first_n(df.select("ws", "relpath", "lang", "size", "sha"), n, [F.col("relpath")], ["ws"])
+        return first_n(df.select("ws", "relpath", "lang", "size", "sha"), limit, [F.col("relpath")])
+    return first_n(df.select("ws", "relpath", "lang", "size", "sha"), limit, [F.col("relpath")], ["ws"])

@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import as_text, read_slice, read_slice_hex, snippet
+from quarry.functions.text import as_text, go_trim, read_slice, read_slice_hex, snippet
 
 
 def read_slices(content: DataFrame, requests: DataFrame, hex_mode: bool = False,
-                content_col: str = "content") -> DataFrame:
+                content_col: str = "content", max_chars: int | None = None) -> DataFrame:
     """Answer ``requests (ws, relpath, start, end, …)`` from the content table.
 
     Relative paths only; a request whose file is not catalogued gets
     ``found = false`` and no chunk (the single-file API raises instead).
     """
-    req = requests.withColumn("relpath", F.trim(F.col("relpath")))
+    req = requests.withColumn("relpath", go_trim(F.col("relpath")))
     joined = req.join(content.select("ws", "relpath", F.col(content_col).alias("_data")), ["ws", "relpath"], "left")
     data = F.col("_data")
     if hex_mode:
         if dict(content.dtypes).get(content_col) != "binary":
             data = F.encode(data, "UTF-8")
-        sl = read_slice_hex(data, "start", "end")
+        sl = read_slice_hex(data, "start", "end", max_chars)
     else:
         if dict(content.dtypes).get(content_col) == "binary":
             data = as_text(data)
-        sl = read_slice(data, "start", "end")
+        sl = read_slice(data, "start", "end", max_chars)
     return joined.withColumn("_s", sl).select(
         *[c for c in req.columns],
         F.col("_data").isNotNull().alias("found"),
@@ -36,18 +36,18 @@ def read_slices(content: DataFrame, requests: DataFrame, hex_mode: bool = False,
 
 
 def read_file(content: DataFrame, ws: str, relpath: str, start: int, end: int, hex_mode: bool = False,
-              content_col: str = "content") -> DataFrame:
+              content_col: str = "content", max_chars: int | None = None) -> DataFrame:
     """Single-file slice read; the path must be relative and catalogued."""
     rel = relpath.strip()
     if not rel:
         raise ValueError("relPath is required")
     if rel.startswith("/"):
-        raise ValueError("path provided is not relative")
+        raise ValueError("only paths relative to the workspace can be read")
     spark = content.sparkSession
     req = spark.createDataFrame([(ws.strip(), rel, int(start), int(end))], "ws string, relpath string, start int, end int")
     # filter the content table first: partition pruning on ws, pushed relpath filter; the join is then tiny
     one = content.filter((F.col("ws") == ws.strip()) & (F.col("relpath") == rel))
-    out = read_slices(one, req, hex_mode, content_col)
+    out = read_slices(one, req, hex_mode, content_col, max_chars)
     if out.filter("found").limit(1).count() == 0:
         raise FileNotFoundError(f"file {rel} not found in workspace {ws}")
     return out.select(F.col("relpath").alias("rel_path"), "chunk", "hex", "truncated")

@@ -38,10 +38,20 @@ def merged_per_key(updates: DataFrame, keys: Sequence[str], order_cols: Sequence
     return updates.groupBy(*keys).agg(*aggs)
 
 
+def newest(updates: DataFrame, keys: Sequence[str], order_cols: Sequence[str] | None) -> DataFrame:
+    """One row per key: the newest by ``order_cols``; without an order, a key with two different rows is an error."""
+    if order_cols:
+        return latest_per_key(updates, keys, order_cols)
+    rest = [c for c in updates.columns if c not in keys]
+    one = updates.distinct().groupBy(*keys).agg(F.first(F.struct(*rest)).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    row = F.when(F.col("_n") == 1, F.col("_r")).otherwise(F.raise_error(F.lit("an upsert without an order has two rows for one key")))
+    return one.select(*keys, row.alias("_r")).select(*keys, "_r.*")
+
+
 def upsert_table(existing: DataFrame, updates: DataFrame, keys: Sequence[str],
                  order_cols: Sequence[str] | None = None) -> DataFrame:
     """Rows of ``existing`` whose key is not updated, plus the newest update per key."""
-    batch = latest_per_key(updates, keys, order_cols) if order_cols else updates.dropDuplicates(list(keys))
+    batch = newest(updates, keys, order_cols)
     if order_cols:
         batch = batch.drop(*[c for c in order_cols if c in batch.columns and c not in existing.columns])
     kept = existing.join(batch.select(*keys), list(keys), "left_anti")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.constants import MAX_EMBED_FILE_BYTES, UNICODE_SPACE_CLASS
+from quarry.constants import UNICODE_SPACE_CLASS
 from quarry.functions.hashing import chunk_id, content_sha, dir_id, file_id, path_sha
 from quarry.functions.paths import ancestors, detect_language, has_skipped_dir, is_pruned_file
 from quarry.functions.text import is_binary
@@ -92,20 +92,13 @@ def v_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_embeddable(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = v_file(spark, sf_dir)
-    return f.filter((F.col("size") > 0) & (F.col("size") <= MAX_EMBED_FILE_BYTES)).filter(
+    return f.filter(F.col("size") > 0).filter(
         ~is_binary(F.encode("content", "UTF-8")))
 
 
-def v_chunk(spark: SparkSession, sf_dir: str, keep_text: bool = True, rebalance: bool = True) -> DataFrame:
-    """Token chunks of the embeddable files.
-
-    ``rebalance`` spreads the files over evenly sized partitions (AQE ``REBALANCE``)
-    before the per-row heavy work (chunking, embedding): the driver's tables are
-    single files with few row groups, so the scan alone gives fewer tasks than cores.
-    """
+def v_chunk(spark: SparkSession, sf_dir: str, keep_text: bool = True) -> DataFrame:
+    """Token chunks of the embeddable files; the scan's splits set the parallelism, no text is shuffled."""
     f = v_embeddable(spark, sf_dir).drop("sha")
-    if rebalance:
-        f = f.hint("rebalance")
     return with_chunks(f, "content", FIXTURE_CHUNK_TOKENS, keep_text=keep_text).drop("content")
 
 
@@ -266,7 +259,7 @@ def sql_v_chunk(max_tokens: int = FIXTURE_CHUNK_TOKENS) -> str:
     return SQL_V_FILE + f""",
 v_emb AS (
   SELECT * FROM v_file
-  WHERE size > 0 AND size <= {MAX_EMBED_FILE_BYTES} AND strpos(substr(content, 1, 1024), chr(0)) = 0),
+  WHERE size > 0 AND strpos(content, chr(0)) = 0),
 v_tok AS (
   SELECT id, ws, relpath, doc_id, regexp_extract_all(content, '{TOKEN_SQL}') AS toks FROM v_emb),
 v_chunk0 AS (

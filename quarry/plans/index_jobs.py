@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.constants import CENTROID_KIND, CHUNK_GRANULARITY, MAX_EMBED_FILE_BYTES, MAX_TOKENS_PER_CHUNK
+from quarry.constants import CENTROID_KIND, CHUNK_GRANULARITY, MAX_TOKENS_PER_CHUNK
 from quarry.functions.hashing import centroid_id, chunk_id, dir_id, file_id, run_id
 from quarry.functions.text import as_text, is_binary, model_slug, split_model
 from quarry.functions.vectors import norm
@@ -99,7 +99,7 @@ def index_scan(spark: SparkSession, catalog: Catalog, root: str, ws: str, artifa
     report = RunReport(rid, STEP_SCAN, started)
     try:
         _scan_into(spark, catalog, root, ws, f"{artifact_root}/{rid}", case_fold, report)
-        report.acceptance, report.finished = "pass", _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        report.acceptance, report.finished = "fail" if report.risks else "pass", _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     except Exception as e:  # noqa: BLE001 - recorded in the report, then raised
         report.risks.append(str(e))
         _append_report(catalog, report)
@@ -118,7 +118,7 @@ def _scan_into(spark, catalog: Catalog, root: str, ws: str, run_dir: str, case_f
     catalog.replace_workspace("file", ws, files)
     catalog.replace_workspace("content", ws, content)
     d, f = catalog.read("directory").filter(F.col("ws") == ws), catalog.read("file").filter(F.col("ws") == ws)
-    catalog.set_edges(ws, E.scan_edges(d, f, case_fold))
+    catalog.set_edges(ws, E.scan_edges(d, f, case_fold), E.SCAN_RELATIONS)
     n_rejects = rejects.count()
     if n_rejects:
         report.risks.append(f"{n_rejects} unreadable entries (see rejects artefact)")
@@ -126,26 +126,14 @@ def _scan_into(spark, catalog: Catalog, root: str, ws: str, run_dir: str, case_f
     report.artifact_paths.append(write_artifact(
         f.select("relpath", "size", "mtime", F.col("sha").alias("hash"), "lang"), run_dir, "files.ndjson"))
     report.artifact_paths.append(write_artifact(
-        d.select("relpath", F.col("sha").alias("hash"), F.lit(None).cast("timestamp").alias("mtime")), run_dir, "dirs.ndjson"))
+        dirs.select("relpath", F.col("sha").alias("hash"), "mtime"), run_dir, "dirs.ndjson"))
 
 
 def chunk_frame(content: DataFrame, files: DataFrame, max_tokens: int = MAX_TOKENS_PER_CHUNK,
-                case_fold: bool = False, rebalance: bool = False, bpe_loader=None) -> DataFrame:
-    """Token chunks of every embeddable file (0 < size <= 256 KiB, no NUL in the first 1 KiB).
-
-    ``bpe_loader`` (see :mod:`quarry.operators.bpe_chunking`) cuts by BPE tokens instead of
-    the default white-space tokens.
-    """
-    c = content.filter((F.col("size") > 0) & (F.col("size") <= MAX_EMBED_FILE_BYTES)).filter(~is_binary("content"))
-    if rebalance:
-        c = c.hint("rebalance")
-    c = c.select("ws", "relpath", as_text("content").alias("text"))
-    if bpe_loader is not None:
-        from quarry.operators.bpe_chunking import with_bpe_chunks
-
-        ch = with_bpe_chunks(c, bpe_loader, "text", max_tokens).drop("text")
-    else:
-        ch = with_chunks(c, "text", max_tokens).drop("text")
+                case_fold: bool = False) -> DataFrame:
+    """Token chunks of every file that has bytes and no NUL among them."""
+    c = content.filter(F.col("size") > 0).filter(~is_binary("content")).select("ws", "relpath", as_text("content").alias("text"))
+    ch = with_chunks(c, "text", max_tokens).drop("text")
     return ch.withColumn("file", file_id("ws", "relpath", case_fold))
 
 
@@ -166,14 +154,14 @@ def _check_acceptance(catalog: Catalog, ws: str, report: RunReport) -> None:
 def index_embed(spark: SparkSession, catalog: Catalog, ws: str, embedder: Embedder, model_name: str,
                 artifact_root: str, max_tokens: int = MAX_TOKENS_PER_CHUNK, model_sha: str = "",
                 effective_dim: int | None = None, transform_id_: str = "", case_fold: bool = False,
-                run_id_: str | None = None, rebalance: bool = False, bpe_loader=None) -> RunReport:
+                run_id_: str | None = None) -> RunReport:
     """Chunk and embed a scanned workspace into ``vector_chunk``, ``vector_model``, ``workspace_vector``."""
     started = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     rid = run_id_ or new_run_id(spark, ws, STEP_EMBED, started)
     report = RunReport(rid, STEP_EMBED, started)
     try:
         _embed_into(spark, catalog, ws, embedder, model_name, f"{artifact_root}/{rid}", max_tokens, model_sha,
-                    effective_dim, transform_id_, case_fold, rebalance, report, bpe_loader)
+                    effective_dim, transform_id_, case_fold, report)
         _check_acceptance(catalog, ws, report)
         report.acceptance = "fail" if report.risks else "pass"
         report.finished = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
@@ -186,10 +174,10 @@ def index_embed(spark: SparkSession, catalog: Catalog, ws: str, embedder: Embedd
 
 
 def _embed_into(spark, catalog, ws, embedder, model_name, run_dir, max_tokens, model_sha, effective_dim,
-                transform_id_, case_fold, rebalance, report, bpe_loader=None):
+                transform_id_, case_fold, report):
     content = catalog.read("content").filter(F.col("ws") == ws)
     files = catalog.read("file").filter(F.col("ws") == ws)
-    chunks = chunk_frame(content, files, max_tokens, case_fold, rebalance, bpe_loader)
+    chunks = chunk_frame(content, files, max_tokens, case_fold)
     slug_row = spark.createDataFrame([(model_name,)], "m string").select(
         model_slug("m").alias("slug"), split_model("m").alias("fv")).first()
     slug, family, version = slug_row["slug"], slug_row["fv"]["family"], slug_row["fv"]["version"]
@@ -206,7 +194,7 @@ def _embed_into(spark, catalog, ws, embedder, model_name, run_dir, max_tokens, m
     catalog.replace_workspace("vector_chunk", ws, vecs)
     stored = catalog.read("vector_chunk").filter((F.col("ws") == ws) & (F.col("model") == slug))
     if stored.limit(1).count() == 0:
-        raise RuntimeError("no embeddable files discovered")
+        raise RuntimeError(f"workspace {ws} holds no file that can be embedded")
     cents = centroids(stored)
     native = cents.select("native_dim").first()["native_dim"]
     model_row = spark.createDataFrame(
@@ -219,7 +207,7 @@ def _embed_into(spark, catalog, ws, embedder, model_name, run_dir, max_tokens, m
         F.lit(now).alias("ts"))
     catalog.upsert("workspace_vector", wsv, ["ws", "kind", "model"])
     catalog.set_edges(ws, E.file_has_vector(stored).unionByName(
-        E.workspace_has_vector(catalog.read("workspace_vector").filter(F.col("ws") == ws))))
+        E.workspace_has_vector(catalog.read("workspace_vector").filter(F.col("ws") == ws))), E.VECTOR_RELATIONS)
     report.artifact_paths.append(write_artifact(
         stored.select("relpath", F.col("chunk_index").alias("index"), "start", "end", "token_count", "content_sha",
                       (F.col("end") - F.col("start")).alias("size"), "vector", "native_dim"),
@@ -243,14 +231,18 @@ def index_all(spark: SparkSession, catalog: Catalog, root: str, ws: str, embedde
         raise
     try:
         _embed_into(spark, catalog, ws, embedder, model_name, run_dir, kw.get("max_tokens", MAX_TOKENS_PER_CHUNK),
-                    kw.get("model_sha", ""), kw.get("effective_dim"), kw.get("transform_id_", ""), case_fold,
-                    kw.get("rebalance", False), report, kw.get("bpe_loader"))
+                    kw.get("model_sha", ""), kw.get("effective_dim"), kw.get("transform_id_", ""), case_fold, report)
     except Exception as e:  # noqa: BLE001
         report.risks.append(f"embedding failed: {e}")
         _append_report(catalog, report)
         raise
-    _check_acceptance(catalog, ws, report)
-    report.acceptance = "fail" if report.risks else "pass"
-    report.finished = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    _append_report(catalog, report)
+    try:
+        _check_acceptance(catalog, ws, report)
+    except Exception as e:  # noqa: BLE001
+        report.risks.append(f"acceptance checks failed: {e}")
+        raise
+    finally:
+        report.acceptance = "fail" if report.risks else "pass"
+        report.finished = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        _append_report(catalog, report)
     return report

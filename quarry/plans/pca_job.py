@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from quarry.constants import PCA_EMBED_BATCH_SIZE, PCA_SAMPLE_CAP
+from quarry.constants import PCA_EMBED_BATCH_SIZE
 from quarry.operators.embedding import Embedder, embed
 from quarry.operators.pca import PcaResult, fit_pca, write_model
 from quarry.sources.ndjson import read_texts
 
 
 def fit_pca_on_corpus(spark: SparkSession, corpus_path: str, embedder: Embedder, out_path: str,
-                      name: str, k: int | None = None, max_texts: int | None = PCA_SAMPLE_CAP) -> tuple[PcaResult, str]:
+                      name: str, k: int | None = None, max_texts: int | None = None) -> tuple[PcaResult, str]:
     """Returns the fitted model and its transform id. ``k`` defaults to min(n, d).
 
     The embedded sample is written to ``<out_path>_sample`` once, so the mean and

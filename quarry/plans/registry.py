@@ -13,7 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.constants import SLICE_CAP_CHARS
 from quarry.functions import hashing as H
 from quarry.functions import paths as P
 from quarry.functions import text as X
@@ -23,9 +22,9 @@ from quarry.operators.centroid import centroids, column_mean, explode_vector
 from quarry.operators.chunking import text_lines
 from quarry.operators.edges import dir_contains_dir, dir_contains_file, ws_contains_dir
 from quarry.operators.embedding import HashEmbedder, embed
-from quarry.operators.knn import batch_knn, top_k
+from quarry.operators.knn import batch_knn, vector_search
 from quarry.operators.pca import fit_pca
-from quarry.operators.reading import read_slices, with_snippets
+from quarry.operators.reading import read_slices
 from quarry.plans import fixtures as V
 from quarry.plans.fixtures import (
     FIXTURE_DIM, FIXTURE_MODEL, SQL_SPACE, SQL_V_DEN, SQL_V_DEN_WS, SQL_V_DIR, SQL_V_FILE, SQL_V_NODE, SQL_V_PAGES,
@@ -41,6 +40,8 @@ ORACLES: dict[str, str] = {}
 QUERY_TEXT = "workspace vector search over indexed files"
 TOPK = 5
 TOPK_FILE = 3
+SLICE_CHARS = 61_440  # longest slice that the slice queries ask for
+SNIPPET_BYTES = 512
 
 
 def register(name: str, sql: str | None = None):
@@ -167,42 +168,42 @@ register("text_lines", f"WITH {SQL_V_FILE} {sql_lines('v_file')}")(
 
 
 # ============================================================================ path search
-def _find_sql(pred: str) -> str:
+def _find_sql(pred: str, limit: int | str = "rn") -> str:
     return f"""WITH {SQL_V_FILE}
 SELECT ws, relpath, lang, size, sha FROM (
   SELECT *, row_number() OVER (PARTITION BY ws ORDER BY relpath) AS rn FROM v_file WHERE {pred}) t
-WHERE rn <= 100"""
+WHERE rn <= {limit}"""
 
 
 register("find_file_exact", _find_sql("relpath = 'src/f121.md'"))(
     lambda s, d: listing.find_file(V.v_file(s, d), " src/f121.md ", "exact"))
 register("find_file_prefix", _find_sql("starts_with(relpath, 'src/lib/')"))(
     lambda s, d: listing.find_file(V.v_file(s, d), "src/lib/", "Prefix"))
-register("find_file_suffix", _find_sql("suffix(relpath, '.md')"))(
-    lambda s, d: listing.find_file(V.v_file(s, d), ".md", "suffix"))
+register("find_file_suffix", _find_sql("suffix(relpath, '.md')", 3))(  # ordered limit, as asked
+    lambda s, d: listing.find_file(V.v_file(s, d), ".md", "suffix", limit=3))
 register("find_file_substring", _find_sql("contains(relpath, 'f1')"))(
     lambda s, d: listing.find_file(V.v_file(s, d), "f1", None))
 
 
 # ============================================================================ text search
-def _search_sql(src_cte: str, src: str, pred: str, size_cap: int, per: str = "ws", order: str = "relpath, line_number") -> str:
+def _search_sql(src_cte: str, src: str, pred: str, size_cap: int | str = "size", limit: int | str = "rn", per: str = "ws", order: str = "relpath, line_number") -> str:
     return f"""WITH {src_cte},
 lines AS ({sql_lines(f"(SELECT * FROM {src} WHERE size <= {size_cap})")})
 SELECT ws, relpath, line_number, {sql_trim('line')} AS snippet FROM (
   SELECT *, row_number() OVER (PARTITION BY {per} ORDER BY {order}) AS rn FROM lines WHERE {pred}) t
-WHERE rn <= 100"""
+WHERE rn <= {limit}"""
 
 
-register("text_search_ci", _search_sql(SQL_V_FILE, "v_file", "contains(lower(line), lower('The'))", 1 << 20))(
+register("text_search_ci", _search_sql(SQL_V_FILE, "v_file", "contains(lower(line), lower('The'))"))(
     lambda s, d: textsearch.search_text(V.v_file(s, d), "The", case_sensitive=False))
-register("text_search_cs", _search_sql(SQL_V_FILE, "v_file", "contains(line, 'the')", 1 << 20))(
-    lambda s, d: textsearch.search_text(V.v_file(s, d), "the", case_sensitive=True, limit=0))
-register("text_search_maxbytes", _search_sql(SQL_V_FILE, "v_file", "contains(lower(line), lower('É'))", 4096))(
+register("text_search_cs", _search_sql(SQL_V_FILE, "v_file", "contains(line, 'the')", limit=7))(
+    lambda s, d: textsearch.search_text(V.v_file(s, d), "the", case_sensitive=True, limit=7))
+register("text_search_maxbytes", _search_sql(SQL_V_FILE, "v_file", "contains(lower(line), lower('É'))", 4096, 500))(
     lambda s, d: textsearch.search_text(V.v_file(s, d), "É", case_sensitive=False, limit=500, max_file_bytes=4096))
-register("text_search_file", _search_sql(SQL_V_FILE, "v_file", "contains(lower(line), lower('Ou'))", 1 << 62,
+register("text_search_file", _search_sql(SQL_V_FILE, "v_file", "contains(lower(line), lower('Ou'))",
                                          per="ws, relpath", order="line_number"))(
     lambda s, d: textsearch.search_file_text(V.v_file(s, d), "Ou"))
-register("html_text_search", _search_sql(SQL_V_PAGES, "v_pages", "contains(lower(line), lower('<LI>'))", 1 << 20))(
+register("html_text_search", _search_sql(SQL_V_PAGES, "v_pages", "contains(lower(line), lower('<LI>'))"))(
     lambda s, d: textsearch.search_text(V.v_pages(s, d), "<LI>"))
 
 
@@ -217,37 +218,28 @@ FROM v_chunk""")(
         "ws", "relpath", "chunk_index", "start", "end", "token_count", "content_sha", "chunk_size"))
 
 
-def _bpe_loader():
-    from quarry.operators.bpe_chunking import installed_bpe_loader
-    return installed_bpe_loader()
-
-
-if _bpe_loader() is not None:
-    @register("bpe_token_chunks")  # no SQL form of BPE: rows-only check
-    def _bpe_token_chunks(s: SparkSession, d: str) -> DataFrame:
-        from quarry.operators.bpe_chunking import with_bpe_chunks
-
-        f = V.v_embeddable(s, d).select("ws", "relpath", "content").hint("rebalance")
-        return with_bpe_chunks(f, _bpe_loader(), "content", 768).select(
-            "ws", "relpath", "chunk_index", "start", "end", "token_count", "content_sha", "chunk_size")
-
-
-def _snippet_sql(content: str, start: str, end: str) -> str:
+def _snippet_sql(content: str, start: str, end: str, most: int | None = None) -> str:
     window = f"{content}[({start}) + 1:{end}]"
     text = sql_trim(f"replace(decode({window}), chr(10), ' ')")
     b = f"encode({text})"
+    if most is None:
+        return text
     cut = (f"coalesce(try(decode({b}[1:512])), try(decode({b}[1:511])) || chr(65533), "
            f"try(decode({b}[1:510])) || chr(65533), try(decode({b}[1:509])) || chr(65533))")
-    return f"(CASE WHEN strlen({text}) > 512 THEN {cut} || '…' ELSE {text} END)"
+    return f"(CASE WHEN strlen({text}) > {most} THEN {cut} || '…' ELSE {text} END)"
+
+
+def _chunk_snippets(s: SparkSession, d: str) -> DataFrame:
+    """Snippets cut from the chunks' own bytes in the pass that makes the chunks: no join with the files."""
+    data = F.encode("chunk_text", "UTF-8")
+    return V.v_chunk(s, d).select("ws", "relpath", "chunk_index",
+                                  X.snippet(data, F.lit(0), F.octet_length(data), SNIPPET_BYTES).alias("snippet"))
 
 
 register("chunk_snippet", f"""WITH {sql_v_chunk()}
 SELECT c.ws, c.relpath, CAST(c.chunk_index AS INTEGER) AS chunk_index,
-       {_snippet_sql('encode(f.content)', 'c.start', 'c."end"')} AS snippet
-FROM v_chunk c JOIN v_file f ON c.ws = f.ws AND c.relpath = f.relpath""")(
-    lambda s, d: with_snippets(V.v_chunk(s, d, keep_text=False).select("ws", "relpath", "chunk_index", "start", "end"),
-                               V.v_file(s, d).select("ws", "relpath", "content")).select(
-        "ws", "relpath", "chunk_index", "snippet"))
+       {_snippet_sql('encode(f.content)', 'c.start', 'c."end"', SNIPPET_BYTES)} AS snippet
+FROM v_chunk c JOIN v_file f ON c.ws = f.ws AND c.relpath = f.relpath""")(_chunk_snippets)
 
 register("hash_embed", f"""
 SELECT item_id, CAST(i - 1 AS BIGINT) AS dim_index, (round(v[i], 6) + 0.0) AS value
@@ -311,10 +303,6 @@ def _pca_project(s: SparkSession, d: str) -> DataFrame:
 
 
 # ============================================================================ vector search
-def _q_sql() -> list[float]:
-    return _query_vector()
-
-
 register("cosine_scores", f"""WITH {SQL_V_VEC}
 SELECT vec_id, (round({_sql_cos('vector', _query_vector())}, 6) + 0.0) AS score FROM v_vec""")(
     lambda s, d: V.v_vec(s, d).select("vec_id", _r6(cosine_to_query("vector", _query_vector())).alias("score")))
@@ -329,10 +317,8 @@ def _vector_search_ws(s: SparkSession, d: str, include: DataFrame | None = None)
     cand = vec.join(model, ["ws", "model"], "left_semi")
     if include is not None:
         cand = cand.join(include, "relpath", "left_semi")
-    # rank on the reported score (6 digits): equal reported scores are tie-broken by chunk id, in any engine
-    scored = cand.withColumn("score", _r6(cosine_to_query("vector", _query_vector()))).filter(F.col("score").isNotNull())
-    ranked = top_k(scored, TOPK, "score", "id", ["ws"], rank_col="rank")
-    return ranked.select("ws", "model", "relpath", "chunk_index", "score",
+    ranked = vector_search(cand, _query_vector(), TOPK, group_cols=["ws"], rank_col="rank")
+    return ranked.select("ws", "model", "relpath", "chunk_index", _r6("score").alias("score"),
                          F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -340,7 +326,7 @@ def _vs_sql(extra: str = "") -> str:
     return f"""WITH {SQL_V_VEC},
 m AS (SELECT ws, min(model) AS model FROM v_vec GROUP BY ws),
 s AS (SELECT v.*, {_sql_cos('vector', _query_vector())} AS score FROM v_vec v JOIN m USING (ws, model) WHERE TRUE {extra}),
-r AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY round(score, 6) DESC, id) AS rank FROM s WHERE score IS NOT NULL)
+r AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY score DESC, id) AS rank FROM s WHERE score IS NOT NULL)
 SELECT ws, model, relpath, chunk_index, (round(score, 6) + 0.0) AS score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= {TOPK}"""
 
 
@@ -357,22 +343,20 @@ dots AS (SELECT file, chunk_index, sum(v * {_sql_vec(_query_vector())}[b + 1]) A
 s AS (SELECT c.*, d.dot / (d.vn * {sum(x * x for x in _query_vector()) ** 0.5!r}) AS score,
              {sql_hex_id('vec', 'c.ws', 'c.id', "('chunk#' || lpad(CAST(c.chunk_index AS VARCHAR), 6, '0'))")} AS cid
       FROM v_chunk c JOIN dots d ON d.file = c.id AND d.chunk_index = c.chunk_index WHERE d.vn > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY ws, relpath ORDER BY round(score, 6) DESC, cid) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY ws, relpath ORDER BY score DESC, cid) AS rank FROM s)
 SELECT r.ws, r.relpath, CAST(r.chunk_index AS INTEGER) AS chunk_index, r.start, r."end", r.token_count,
        (round(r.score, 6) + 0.0) AS score, CAST(r.rank AS BIGINT) AS rank,
        {_snippet_sql('encode(f.content)', 'r.start', 'r."end"')} AS snippet
 FROM r JOIN v_file f ON f.ws = r.ws AND f.relpath = r.relpath WHERE r.rank <= {TOPK_FILE}""")
 def _vector_search_file(s: SparkSession, d: str) -> DataFrame:
-    # The chunk's bytes are content[start:end] of the same snapshot, so the snippet is cut from the chunk
-    # before ranking: the partial window then ships at most k snippets per file and task, and the content
-    # table is neither scanned again nor shuffled (the single-file tool joins content after top-k instead).
+    # The chunk's bytes are content[start:end] of the same snapshot: the partial window ships at most k chunks per
+    # file and task, their snippets are cut after ranking, and the content table is not scanned again.
     vec = V.v_chunk_vectors(s, d, keep_text=True)
     data = F.encode("chunk_text", "UTF-8")
-    scored = (vec.withColumn("score", _r6(cosine_to_query("vector", _query_vector()))).filter(F.col("score").isNotNull())
-              .withColumn("snippet", X.snippet(data, F.lit(0), F.octet_length(data))))
-    ranked = top_k(scored, TOPK_FILE, "score", "id", ["ws", "relpath"], rank_col="rank")
-    return ranked.select("ws", "relpath", "chunk_index", "start", "end", "token_count", "score",
-                         F.col("rank").cast("bigint").alias("rank"), "snippet")
+    ranked = vector_search(vec, _query_vector(), TOPK_FILE, group_cols=["ws", "relpath"], rank_col="rank")
+    return ranked.select("ws", "relpath", "chunk_index", "start", "end", "token_count", _r6("score").alias("score"),
+                         F.col("rank").cast("bigint").alias("rank"),
+                         X.snippet(data, F.lit(0), F.octet_length(data)).alias("snippet"))
 
 
 @register("vector_search_batch", f"""WITH {SQL_V_VEC},
@@ -393,7 +377,7 @@ def _vector_search_batch(s: SparkSession, d: str) -> DataFrame:
 # ============================================================================ slice reads
 def _slice_requests(f: DataFrame, hex_mode: bool) -> DataFrame:
     start = (F.col("doc_id") % 5) * 100 - 50
-    span = (F.when(F.col("doc_id") % 3 == 0, F.lit(SLICE_CAP_CHARS + 8000 if not hex_mode else SLICE_CAP_CHARS + 9))
+    span = (F.when(F.col("doc_id") % 3 == 0, F.lit(SLICE_CHARS + 8000 if not hex_mode else SLICE_CHARS + 9))
             .when(F.col("doc_id") % 3 == 1, F.lit(201)).otherwise(F.lit(-10)))
     if hex_mode:
         start = start + 1
@@ -401,15 +385,15 @@ def _slice_requests(f: DataFrame, hex_mode: bool) -> DataFrame:
 
 
 def _slice_sql(hex_mode: bool) -> str:
-    span = f"CASE WHEN doc_id % 3 = 0 THEN {SLICE_CAP_CHARS + (9 if hex_mode else 8000)} WHEN doc_id % 3 = 1 THEN 201 ELSE -10 END"
+    span = f"CASE WHEN doc_id % 3 = 0 THEN {SLICE_CHARS + (9 if hex_mode else 8000)} WHEN doc_id % 3 = 1 THEN 201 ELSE -10 END"
     st = f"((doc_id % 5) * 100 - 50{' + 1' if hex_mode else ''})"
     clamp = f"""
 req AS (SELECT ws, relpath, doc_id, CAST({st} AS INTEGER) AS start, CAST({st} + {span} AS INTEGER) AS "end", content FROM v_file),
 c0 AS (SELECT *, greatest(start, 0) AS s0, greatest(greatest("end", 0), greatest(start, 0)) AS e0,
               {"strlen(content) * 2" if hex_mode else "length(content)"} AS total FROM req),
 c1 AS (SELECT *, least(s0, total) AS s1, least(e0, total) AS e1 FROM c0),
-c2 AS (SELECT *, (e1 - s1) > {SLICE_CAP_CHARS} AS truncated,
-              CASE WHEN (e1 - s1) > {SLICE_CAP_CHARS} THEN s1 + {SLICE_CAP_CHARS} ELSE e1 END AS e2 FROM c1)"""
+c2 AS (SELECT *, (e1 - s1) > {SLICE_CHARS} AS truncated,
+              CASE WHEN (e1 - s1) > {SLICE_CHARS} THEN s1 + {SLICE_CHARS} ELSE e1 END AS e2 FROM c1)"""
     if hex_mode:
         body = ("substr(lower(hex(encode(content)[s1 // 2 + 1:least((e2 + 1) // 2, strlen(content))])), "
                 "CAST(s1 % 2 AS INTEGER) + 1, e2 - s1)")
@@ -424,10 +408,10 @@ FROM c2"""
 
 register("read_slice", _slice_sql(False))(
     lambda s, d: read_slices(V.v_file(s, d).select("ws", "relpath", "content"),
-                             _slice_requests(V.v_file(s, d), False), hex_mode=False))
+                             _slice_requests(V.v_file(s, d), False), hex_mode=False, max_chars=SLICE_CHARS))
 register("read_slice_hex", _slice_sql(True))(
     lambda s, d: read_slices(V.v_file(s, d).select("ws", "relpath", "content"),
-                             _slice_requests(V.v_file(s, d), True), hex_mode=True))
+                             _slice_requests(V.v_file(s, d), True), hex_mode=True, max_chars=SLICE_CHARS))
 
 register("file_exists", f"""WITH {SQL_V_FILE}
 SELECT l.doc_id, EXISTS (SELECT 1 FROM v_file f WHERE f.ws = 'src' || CAST(l.doc_id % 20 AS VARCHAR)

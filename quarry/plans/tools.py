@@ -1,8 +1,7 @@
 """User-level retrieval tools over a :class:`~quarry.sources.catalog.Catalog`.
 
-Argument rules follow the indexer's tools: row limits <=0 or >100 mean 100;
-top-k <=0 means 5, capped at 20 (file) / 50 (workspace); blank required
-arguments are errors. Results are DataFrames; nothing is collected here
+Limits are what the caller passes: None means all rows for listings and searches
+and five results for a vector search. Blank required arguments are errors. Results are DataFrames; nothing is collected here
 except the tiny model-resolution lookups.
 """
 
@@ -13,10 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.constants import (
-    MODEL_RECORD_PREFIX, TOPK_CAP_FILE, TOPK_CAP_WORKSPACE, clamp_topk,
-)
-from quarry.functions.text import normalize_filter_list
+from quarry.constants import MODEL_RECORD_PREFIX, TOPK_DEFAULT
+from quarry.functions.text import go_trim, model_slug, normalize_filter_list
 from quarry.operators import listing, reading, textsearch
 from quarry.operators.embedding import Embedder, embed
 from quarry.operators.knn import vector_search
@@ -36,7 +33,7 @@ def register_nodes(catalog: Catalog, registrations: DataFrame, order_col: str =
 
     Absent optional fields are NULL, so re-registering without ``kind`` clears it.
     """
-    from quarry.functions.text import clean_labels, go_trim
+    from quarry.functions.text import clean_labels
 
     have = set(registrations.columns)
 
@@ -59,15 +56,14 @@ def register_workspaces(catalog: Catalog, registrations: DataFrame, order_col: s
     """Upsert ``workspace`` rows (path, node; VCS fields reset) and ``on_node`` edges."""
     from quarry.operators.edges import on_node
     r = registrations.select(
-        F.col("id"), F.trim("path").alias("path"), F.trim("node").alias("node"),
+        go_trim(F.col("id")).alias("id"), go_trim(F.col("path")).alias("path"), go_trim(F.col("node")).alias("node"),
         F.lit("").alias("vcs"), F.lit("").alias("rev"), F.lit("").alias("content_sha"), F.col(order_col))
-    bad = r.filter((F.col("path") == "") | F.col("node").isNull() | (F.col("node") == "")).limit(1).count()
+    bad = r.filter(F.col("id").isNull() | (F.col("id") == "") | F.col("path").isNull() | (F.col("path") == "") | F.col("node").isNull() | (F.col("node") == "")).limit(1).count()
     if bad:
-        raise ValueError("workspaceId, path and nodeId are required")
+        raise ValueError("a workspace needs an id, a path and a node")
     latest = latest_per_key(r, ["id"], [order_col], ["path", "node", "vcs", "rev", "content_sha"])
     v = catalog.upsert("workspace", latest, ["id"])
-    # one (ws, on_node) edge partition per registered workspace, replaced in place
-    catalog.replace_partitions("edge", on_node(latest).withColumn("ws", F.col("in_id")))
+    catalog.replace_edges(on_node(latest).withColumn("ws", F.col("in_id")), ["on_node"])
     return v
 
 
@@ -110,20 +106,24 @@ def read_file(catalog: Catalog, ws: str, relpath: str, start: int, end: int, hex
 
 
 # ------------------------------------------------------------------ vector search
+def match_model(models: DataFrame, candidate) -> DataFrame:
+    """Rows of ``models(model)`` that ``candidate`` (a column) names: by id with or without its table prefix, by slug, or by name."""
+    name = go_trim(candidate)
+    bare = F.when(F.startswith(name, F.lit(MODEL_RECORD_PREFIX)), F.substring(name, len(MODEL_RECORD_PREFIX) + 1, F.char_length(name))).otherwise(name)
+    return models.filter((F.col("model") == bare) | (F.col("model") == model_slug(bare)))
+
+
 def resolve_model(chunks: DataFrame, candidate: str | None = None) -> str:
-    """The model to search: the smallest model id present in ``chunks`` (already scoped),
-    or the candidate (slug / id, ``vector_model:`` prefix stripped) if it is used there."""
+    """The model to search: the smallest model id present in ``chunks`` (already scoped), or the one that
+    ``candidate`` names (id, slug or model name) if it is used there."""
     if candidate is not None and candidate.strip():
-        cand = candidate.strip()
-        if cand.startswith(MODEL_RECORD_PREFIX):
-            cand = cand[len(MODEL_RECORD_PREFIX):]
-        hit = chunks.filter(F.col("model") == cand).select("model").limit(1).collect()
-        if not hit:
-            raise LookupError(f"no model matching {candidate!r} found in workspace")
-        return hit[0][0]
+        hit = match_model(chunks, F.lit(candidate)).agg(F.min("model")).first()[0]
+        if hit is None:
+            raise LookupError(f"nothing in this scope was embedded with {candidate!r}")
+        return hit
     row = chunks.agg(F.min("model").alias("m")).collect()[0]
     if row["m"] is None:
-        raise LookupError("no vector model found for workspace")
+        raise LookupError("this scope has no embedded chunks")
     return row["m"]
 
 
@@ -133,7 +133,7 @@ def _query_vector(spark, embedders: dict[str, Embedder] | Embedder, model: str,
         raise LookupError(f"no embedder for model {model!r}")
     v = embed(spark.createDataFrame([(query,)], "t string"), emb, "t", "v").select("v").first()["v"]
     if not v:
-        raise ValueError("embedding returned empty vector")
+        raise ValueError("the embedder gave no vector for the query")
     return [float(x) for x in v]
 
 
@@ -141,7 +141,7 @@ def workspace_vector_search(catalog: Catalog, ws: str, query: str, embedders, to
                             model_id: str | None = None, file_filter: Sequence[str] | None = None) -> DataFrame:
     """Top-k chunks of one workspace by cosine similarity (filters applied before ranking)."""
     ws, query = _required(ws, "workspaceId"), _required(query, "query")
-    k = clamp_topk(top_k, TOPK_CAP_WORKSPACE)
+    k = TOPK_DEFAULT if top_k is None else top_k
     chunks = catalog.read("vector_chunk").filter(F.col("ws") == ws)
     model = resolve_model(chunks, model_id)
     qv = _query_vector(catalog.spark, embedders, model, query)
@@ -150,7 +150,7 @@ def workspace_vector_search(catalog: Catalog, ws: str, query: str, embedders, to
     cand = chunks
     if include:
         inc = catalog.spark.createDataFrame([(p,) for p in include], "relpath string")
-        cand = cand.join(F.broadcast(inc), "relpath", "left_semi") if len(include) <= 100_000 else cand.join(inc, "relpath", "left_semi")
+        cand = cand.join(inc, "relpath", "left_semi")
     res = vector_search(cand, qv, k, "vector", filters, id_col="id")
     return res.select("score", F.col("relpath").alias("file"), "start", "end",
                       F.col("token_count").alias("tokenCount"), F.col("content_sha").alias("contentSha"))
@@ -160,7 +160,7 @@ def file_vector_search(catalog: Catalog, ws: str, relpath: str, query: str, embe
                        model_id: str | None = None) -> DataFrame:
     """Top-k chunks of one file with snippets (content joined after ranking: at most k rows)."""
     ws, rel, query = _required(ws, "workspaceId"), _required(relpath, "relpath"), _required(query, "query")
-    k = clamp_topk(top_k, TOPK_CAP_FILE)
+    k = TOPK_DEFAULT if top_k is None else top_k
     files = catalog.read("file").filter((F.col("ws") == ws) & (F.col("relpath") == rel))
     if files.limit(1).count() == 0:
         raise FileNotFoundError(f"file {rel} not found in workspace {ws}")
@@ -170,5 +170,5 @@ def file_vector_search(catalog: Catalog, ws: str, relpath: str, query: str, embe
     res = vector_search(chunks, qv, k, "vector", [F.col("model") == model], id_col="id")
     out = reading.with_snippets(res.select("ws", "relpath", "id", "score", "start", "end", "token_count", "content_sha"),
                                 catalog.read("content").filter((F.col("ws") == ws) & (F.col("relpath") == rel)))
-    return out.select("score", F.col("content_sha").alias("contentSha"), "start", "end",
-                      F.col("token_count").alias("tokenCount"), "snippet").orderBy(F.col("score").desc())
+    return out.orderBy(F.col("score").desc(), "id").select("score", F.col("content_sha").alias("contentSha"), "start", "end",
+                                                           F.col("token_count").alias("tokenCount"), "snippet")

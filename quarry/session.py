@@ -8,6 +8,7 @@ it is unset (local runs and tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -38,13 +39,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``; a local temp folder only when unset."""
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    A local session (one machine, as in tests) gets a temporary folder when it is unset; on a cluster that is an
+    error, since executors would not see the driver's folder.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         try:
             root = spark.conf.get("spark.checkpoint.dir", None)
         except Exception:  # noqa: BLE001
             root = None
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = _LOCAL_ROOT.setdefault("dir", tempfile.mkdtemp(prefix="quarry-ckpt-"))
     return root

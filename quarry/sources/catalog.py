@@ -1,26 +1,24 @@
-"""A versioned Parquet catalog on a shared file system.
+"""Parquet tables on a shared file system, written in batches that never change.
 
-Small keyed tables (nodes, workspaces, models, centroids, run reports) are
-rewritten whole: every write goes to a new version directory
-``<root>/<table>/v=<n>`` and a one-line pointer ``<root>/<table>/_current``
-then names it, so readers never see a half-written table and a failed job
-leaves the previous version live (written tables also cut lineage).
+A write goes to a new folder ``<root>/<table>/b=<n>`` and is then entered in ``<root>/<table>/log/<n>`` (its schema;
+Spark's ``_SUCCESS`` there makes the batch live). Nothing live is changed, so readers keep what they opened and a
+failed job changes nothing. Only a missing folder counts as a missing table; every other error is raised.
 
-Workspace-scoped tables (directories, files, content, chunks, edges) are
-partitioned by ``ws`` (edges by ``ws`` and ``relation``); re-indexing one
-workspace overwrites only its partitions (dynamic partition overwrite), so
-the cost of a scan grows with that workspace, not with the catalogue.
+A table without a ``ws`` column is its last batch. A table with one keeps rows below ``ws=<id>`` in each batch, and a
+workspace's rows are those of the last batch that has its folder; a batch that empties a workspace has an empty
+folder for it. Replacing a workspace therefore writes that workspace only, and deleted rows go.
 
-Upsert and merge are ``left_anti`` + ``unionByName`` / full outer join; a
-table format with row-level MERGE can replace this class without changing callers.
+Reads use the written schema: a workspace called ``007`` stays a string, and a filter on ``ws`` prunes folders.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.operators import upsert as U
 
@@ -32,44 +30,72 @@ class Catalog:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_current"
+    # ---------------------------------------------------------------- folders
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _fs(self):
+        return self._path(self.root).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _names(self, folder: str) -> list[str]:
+        fs = self._fs()
+        return [x.getPath().getName() for x in fs.listStatus(self._path(folder))] if fs.exists(self._path(folder)) else []
+
+    def _folder(self, ws: str) -> str:
+        utils = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        return f"ws={utils.getPartitionPathString('ws', ws).removeprefix('ws=')}"
+
+    def versions(self, table: str) -> list[int]:
+        """Live batches, ascending."""
+        fs, log = self._fs(), f"{self.root}/{table}/log"
+        return sorted(int(n) for n in self._names(log) if fs.exists(self._path(f"{log}/{n}/_SUCCESS")))
 
     def current_version(self, table: str) -> int | None:
-        try:
-            rows = self.spark.read.text(self._pointer(table)).collect()  # one line
-        except Exception:  # noqa: BLE001 - no pointer yet
-            return None
-        return int(rows[0][0]) if rows else None
+        return max(self.versions(table), default=None)
 
     def exists(self, table: str) -> bool:
         return self.current_version(table) is not None
 
-    def path(self, table: str, version: int | None = None) -> str:
-        v = self.current_version(table) if version is None else version
-        if v is None:
-            raise KeyError(f"table {table} does not exist")
-        return f"{self.root}/{table}/v={v:06d}"
-
+    # ---------------------------------------------------------------- read and write
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self.path(table, version))
-
-    @staticmethod
-    def partition_cols(table: str, df: DataFrame) -> list[str]:
-        if table == EDGES:
-            return ["ws", "relation"]
-        return ["ws"] if "ws" in df.columns else []
-
-    def write(self, table: str, df: DataFrame) -> int:
-        """Write a new version and switch the pointer to it; returns the version."""
-        v = (self.current_version(table) or 0) + 1
-        w = df.write.mode("overwrite")
-        cols = self.partition_cols(table, df)
-        if cols:
-            w = w.partitionBy(*cols)
-        w.parquet(f"{self.root}/{table}/v={v:06d}")
-        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(
-            self._pointer(table))
+        """The table as of its last batch, or as of batch ``version``."""
+        live = [v for v in self.versions(table) if version is None or v <= version]
+        if not live:
+            raise KeyError(f"table {table} does not exist")
+        base = f"{self.root}/{table}"
+        entry = self.spark.read.text(f"{base}/log/{live[-1]}").first()[0]
+        schema = T.StructType.fromJson(json.loads(entry))
+        if "ws" not in schema.names:
+            return self.spark.read.schema(schema).parquet(f"{base}/b={live[-1]}")
+        last: dict[str, int] = {}
+        for v in live:
+            last |= {n: v for n in self._names(f"{base}/b={v}") if n.startswith("ws=")}
+        paths = [f"{base}/b={v}/{n}" for n, v in sorted(last.items()) if self._names(f"{base}/b={v}/{n}")]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        full = T.StructType([*schema.fields, T.StructField("b", T.IntegerType())])
+        return self.spark.read.schema(full).option("basePath", base).parquet(*paths).select(*schema.names)
+
+    def write(self, table: str, df: DataFrame, workspaces: Sequence[str] = ()) -> int:
+        """A new batch; returns its number.
+
+        It replaces the whole table, or, with a ``ws`` column, the workspaces in ``df`` and in ``workspaces``.
+        """
+        by_ws = "ws" in df.columns
+        names = [c for c in df.columns if c != "ws"] + (["ws"] if by_ws else [])
+        if by_ws:
+            df = df.withColumn("ws", F.col("ws").cast("string"))
+        # past every folder that any writer has begun, so that no two batches share one
+        begun = [int(n[2:]) for n in self._names(f"{self.root}/{table}") if n.startswith("b=")]
+        v = max([0, *begun, *self.versions(table)]) + 1
+        path = f"{self.root}/{table}/b={v}"
+        w = df.select(*names).write.mode("errorifexists")
+        (w.partitionBy("ws") if by_ws else w).parquet(path)
+        for ws in workspaces:
+            self._fs().mkdirs(self._path(f"{path}/{self._folder(ws)}"))
+        fields = [{**json.loads(df.schema[c].json()), "nullable": True} for c in names]
+        entry = self.spark.createDataFrame([(json.dumps({"type": "struct", "fields": fields}),)], "value string")
+        entry.coalesce(1).write.mode("errorifexists").text(f"{self.root}/{table}/log/{v}")
         return v
 
     def sql(self, query: str, tables: Sequence[str], **args) -> DataFrame:
@@ -81,44 +107,30 @@ class Catalog:
     # ---------------------------------------------------------------- keyed maintenance
     def upsert(self, table: str, updates: DataFrame, keys: Sequence[str], order_cols: Sequence[str] | None = None) -> int:
         """Insert or replace whole rows by key (the newest update per key wins)."""
-        v = self.current_version(table)
-        if v is None:
-            batch = U.latest_per_key(updates, keys, order_cols) if order_cols else updates.dropDuplicates(list(keys))
-            return self.write(table, batch)
-        return self.write(table, U.upsert_table(self.read(table, v), updates, keys, order_cols))
+        if not self.exists(table):
+            return self.write(table, U.newest(updates, keys, order_cols))
+        return self.write(table, U.upsert_table(self.read(table), updates, keys, order_cols))
 
     def merge(self, table: str, updates: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
               fields: Sequence[str] | None = None) -> int:
         """Update only the supplied (non-NULL) fields; insert new keys."""
-        v = self.current_version(table)
-        if v is None:
+        if not self.exists(table):
             return self.write(table, U.merged_per_key(updates, keys, order_cols, fields))
-        return self.write(table, U.merge_table(self.read(table, v), updates, keys, order_cols, fields))
+        return self.write(table, U.merge_table(self.read(table), updates, keys, order_cols, fields))
 
     def replace_workspace(self, table: str, ws: str, rows: DataFrame) -> int:
-        """Replace every row of one workspace (a re-scan drops files deleted on disk).
-
-        Only the workspace's partition directories are rewritten (dynamic partition
-        overwrite into the live version); other workspaces are not read or written.
-        """
-        return self.replace_partitions(table, rows.filter(F.col("ws") == ws))
-
-    def replace_partitions(self, table: str, rows: DataFrame) -> int:
-        """Overwrite exactly the partitions present in ``rows`` (dynamic partition overwrite)."""
-        v = self.current_version(table)
-        if v is None:
-            return self.write(table, rows)
-        cols = self.partition_cols(table, rows)
-        path = self.path(table, v)
-        rows.select(*self.spark.read.parquet(path).columns).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(path)
-        return v
-
-    def set_edges(self, ws: str, edges: DataFrame) -> int:
-        """Edges ``(relation, in_id, out_id)`` of one workspace, without duplicates.
-
-        Each relation present in ``edges`` replaces that (workspace, relation)
-        partition, so re-running a job leaves exactly one copy of each edge.
-        """
-        e = U.distinct_edges(edges).withColumn("ws", F.lit(ws))
-        return self.replace_workspace(EDGES, ws, e.select("relation", "in_id", "out_id", "ws"))
+        """Replace every row of one workspace, also when ``rows`` has none for it."""
+        return self.write(table, rows.filter(F.col("ws") == ws), [ws])
+
+    def replace_edges(self, edges: DataFrame, relations: Sequence[str], workspaces: Sequence[str] = ()) -> int:
+        """Replace ``relations`` in the workspaces of ``edges(relation, in_id, out_id, ws)`` and in ``workspaces``."""
+        rows = edges.select("relation", "in_id", "out_id", "ws").distinct()
+        if self.exists(EDGES):
+            named = rows.select("ws").union(self.spark.createDataFrame([(w,) for w in workspaces], "ws string")).distinct()
+            kept = self.read(EDGES).filter(~F.col("relation").isin(*relations)).join(named, "ws", "left_semi")
+            rows = rows.unionByName(kept)
+        return self.write(EDGES, rows, workspaces)
+
+    def set_edges(self, ws: str, edges: DataFrame, relations: Sequence[str]) -> int:
+        """The edges of one workspace for ``relations``, without duplicates; a relation without edges is emptied."""
+        return self.replace_edges(U.distinct_edges(edges).withColumn("ws", F.lit(ws)), relations, [ws])

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.constants import PCA_SAMPLE_CAP
 
-
-def read_texts(spark: SparkSession, path: str, max_texts: int | None = PCA_SAMPLE_CAP) -> DataFrame:
+def read_texts(spark: SparkSession, path: str, max_texts: int | None = None) -> DataFrame:
     """``text`` of every line whose JSON object has a non-empty *string* ``text``.
 
     Malformed lines and non-string ``text`` values are skipped (no coercion of
-    numbers to strings); the first ``max_texts`` texts in file order are kept
-    (``<= 0`` or None: all). No line-length limit.
+    numbers to strings); all are read unless ``max_texts`` asks for that
+    many (any of them: a distributed read has no file order). No line-length limit.
     """
     lines = spark.read.text(path)
     v = F.try_parse_json(F.col("value"))
@@ -21,7 +19,7 @@ def read_texts(spark: SparkSession, path: str, max_texts: int | None = PCA_SAMPL
     texts = lines.select(
         F.when(F.schema_of_variant(field) == "STRING", F.variant_get(v, "$.text", "string")).alias("text")
     ).filter(F.col("text").isNotNull() & (F.col("text") != ""))
-    if max_texts is not None and max_texts > 0:
+    if max_texts is not None:
         texts = texts.limit(int(max_texts))
     return texts
 

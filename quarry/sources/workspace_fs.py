@@ -98,7 +98,6 @@ class WorkspaceFsReader(DataSourceReader):
         self.with_content = str(options.get("content", "false")).lower() == "true"
         self.with_hash = str(options.get("hash", "true")).lower() == "true"
         self.target = int(options.get("partitions", "32"))
-        self.max_content_bytes = int(options.get("maxContentBytes", "-1"))
 
     # -------------------------------------------------------------- planning (driver)
     def partitions(self):
@@ -171,7 +170,7 @@ class WorkspaceFsReader(DataSourceReader):
         full = self._full(rel)
         try:
             h = hashlib.sha256()
-            keep = self.with_content and (self.max_content_bytes < 0 or st.st_size <= self.max_content_bytes)
+            keep = self.with_content
             parts = [] if keep else None
             with open(full, "rb") as f:
                 while True:
@@ -256,13 +255,10 @@ def register(spark) -> None:
     spark.dataSource.register(WorkspaceFsDataSource)
 
 
-def read_workspace(spark, root: str, ws: str, content: bool = False, partitions: int | None = None,
-                   max_content_bytes: int | None = None):
+def read_workspace(spark, root: str, ws: str, content: bool = False, partitions: int | None = None):
     """The inventory of ``root`` as a DataFrame (see module docs)."""
     register(spark)
     r = spark.read.format("workspace_fs").option("root", root).option("ws", ws).option(
         "content", "true" if content else "false")
     r = r.option("partitions", str(partitions or 2 * spark.sparkContext.defaultParallelism))
-    if max_content_bytes is not None:
-        r = r.option("maxContentBytes", str(max_content_bytes))
     return r.load()

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import upsert as U
@@ -39,9 +40,9 @@ def test_catalog_versions_and_edges(spark, tmp_path):
     assert _rows(cat.read("node"))["a"]["name"] == "y"
     assert _rows(cat.read("node", version=1))["a"]["name"] == "x"  # older version stays readable
     e = spark.createDataFrame([("r", "a", "b"), ("r", "a", "b")], "relation string, in_id string, out_id string")
-    cat.set_edges("w1", e)
-    cat.set_edges("w1", e)
-    cat.set_edges("w2", e)
+    cat.set_edges("w1", e, ["r"])
+    cat.set_edges("w1", e, ["r"])
+    cat.set_edges("w2", e, ["r"])
     assert cat.read("edge").count() == 2  # one copy per workspace, however often a job re-runs
 
 
@@ -70,8 +71,8 @@ def test_registration_tools(spark, tmp_path):
         [("w1", "/srv/a", "n1", 1), ("w2", "/srv/b", "n2", 2)], "id string, path string, node string, seq long"))
     T.register_workspaces(cat, spark.createDataFrame([("w1", "/srv/a2", "n2", 3)], "id string, path string, node string, seq long"))
     cat.write("den", spark.createDataFrame([("d1", "Den One")], "id string, name string"))
-    cat.replace_partitions("edge", spark.createDataFrame(
-        [("den_has_workspace", "d1", "w2", "w2")], "relation string, in_id string, out_id string, ws string"))
+    cat.replace_edges(spark.createDataFrame(
+        [("den_has_workspace", "d1", "w2", "w2")], "relation string, in_id string, out_id string, ws string"), ["den_has_workspace"])
     ws = [(r.id, r.path, r.node_id, r.node_name, r.den_id) for r in T.list_workspaces(cat).collect()]
     assert ws == [("w1", "/srv/a2", "n2", "Beta", None), ("w2", "/srv/b", "n2", "Beta", "d1")]
     assert [r.id for r in T.list_workspaces(cat, den_id="d1").collect()] == ["w2"]
@@ -101,7 +102,57 @@ def test_read_file_rejects_absolute_paths(spark):
     content = spark.createDataFrame([("w", "a.txt", b"hello")], "ws string, relpath string, content binary")
     assert read_file(content, "w", "a.txt", 1, 3).collect()[0].chunk == "el"
     assert read_file(content, "w", "a.txt", 1, 4, hex_mode=True).collect()[0].chunk == "865"
-    with _pytest.raises(ValueError, match="not relative"):
+    with _pytest.raises(ValueError, match="relative to the workspace"):
         read_file(content, "w", "/etc/passwd", 0, 1)
     with _pytest.raises(FileNotFoundError):
         read_file(content, "w", "b.txt", 0, 1)
+
+
+@pytest.mark.parametrize("ws", ["007", "2024-01-01", "1e3", "a=b/c %41", "true"])
+def test_workspace_ids_stay_text(spark, tmp_path, ws):
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    cat.replace_workspace("file", ws, spark.createDataFrame([(ws, "a")], "ws string, relpath string"))
+    assert [tuple(r) for r in cat.read("file").select("ws", "relpath").collect()] == [(ws, "a")]
+    assert cat.read("file").filter(F.col("ws") == "alpha").count() == 0
+    cat.replace_workspace("file", "alpha", spark.createDataFrame([("alpha", "b")], "ws string, relpath string"))
+    assert sorted(r.ws for r in cat.read("file").collect()) == sorted([ws, "alpha"])
+
+
+def test_emptied_workspace_and_relation(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    none = spark.createDataFrame([], "ws string, relpath string")
+    cat.write("file", spark.createDataFrame([("w1", "a"), ("w2", "b")], "ws string, relpath string"))
+    before = cat.read("file")
+    cat.replace_workspace("file", "w1", none)
+    assert [tuple(r) for r in cat.read("file").select("ws", "relpath").collect()] == [("w2", "b")]
+    assert before.count() == 2  # an open reader keeps what it opened
+    cat.replace_workspace("file", "w2", none)
+    assert cat.read("file").count() == 0 and cat.read("file").columns == ["relpath", "ws"]
+    e = spark.createDataFrame([("r", "a", "b"), ("s", "a", "c")], "relation string, in_id string, out_id string")
+    cat.set_edges("w1", e, ["r", "s"])
+    cat.set_edges("w1", e.filter("relation = 'none'"), ["r"])
+    assert [r.relation for r in cat.read("edge").collect()] == ["s"]
+
+
+def test_unfinished_batch_is_not_live_and_nothing_is_overwritten(spark, tmp_path):
+    import shutil
+
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    cat.write("node", spark.createDataFrame([("a",), ("b",)], "id string"))
+    cat.write("node", spark.createDataFrame([("c",)], "id string"))
+    shutil.rmtree(tmp_path / "cat" / "node" / "log" / "2")  # as if the second writer had died before the entry
+    assert sorted(r.id for r in cat.read("node").collect()) == ["a", "b"]
+    assert cat.write("node", spark.createDataFrame([("d",)], "id string")) == 3
+    assert [r.id for r in cat.read("node").collect()] == ["d"]
+    (tmp_path / "cat" / "node" / "log" / "3" / "_SUCCESS").unlink()
+    (tmp_path / "cat" / "node" / "log" / "1" / "_SUCCESS").unlink()
+    with pytest.raises(KeyError):
+        cat.read("node")
+
+
+def test_upsert_without_order_refuses_two_rows_per_key(spark):
+    base = spark.createDataFrame([("a", 1)], "id string, v int")
+    same = spark.createDataFrame([("a", 2), ("a", 2)], "id string, v int")
+    assert [tuple(r) for r in U.upsert_table(base, same, ["id"]).collect()] == [("a", 2)]
+    with pytest.raises(Exception, match="two rows for one key"):
+        U.upsert_table(base, spark.createDataFrame([("a", 2), ("a", 3)], "id string, v int"), ["id"]).collect()

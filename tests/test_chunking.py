@@ -60,27 +60,19 @@ def test_chunker_plan_stays_in_jvm(spark):
     assert "Python" not in plan and "Generate" in plan
 
 
-def test_bpe_chunker_with_installed_vocabulary(spark):
-    import pytest as _pytest
-
-    from quarry.operators.bpe_chunking import installed_bpe_loader, with_bpe_chunks
-
-    loader = installed_bpe_loader()
-    if loader is None:
-        _pytest.skip("no local BPE vocabulary")
-    text = "hello world " * 3000
-    multi = "Grüße aus Köln — ünïcödé " * 200
-    df = spark.createDataFrame([(1, text), (2, multi), (3, "")], "id long, text string")
-    rows = sorted(with_bpe_chunks(df, loader, "text", 768).collect(), key=lambda r: (r.id, r.chunk_index))
-    enc = loader()
-    for doc_id, src in ((1, text), (2, multi)):
-        rs = [r for r in rows if r.id == doc_id]
-        data = src.encode()
-        pos = 0
-        for r in rs:
-            assert 1 <= r.token_count <= 768 and r.start == pos and r.end > r.start
-            pos = r.end
-        assert pos == len(data)
-        assert sum(r.token_count for r in rs) == len(enc.encode_ordinary(src))
-        assert b"".join(data[r.start:r.end] for r in rs) == data
-    assert not [r for r in rows if r.id == 3]
+def test_long_texts_in_linear_time(spark):
+    import time
+
+    from quarry.operators.chunking import with_chunks
+
+    took = []
+    for words in (250_000, 1_000_000):
+        df = spark.range(1).select(F.concat(F.repeat(F.lit("wörd one "), words // 2), F.lit(" end")).alias("text"))
+        for n in (64, 768, 10_000, 100_000):
+            began = time.time()
+            r = with_chunks(df, "text", n).agg(F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("t"), F.max("end").alias("e"),
+                                               F.sum("chunk_size").alias("b")).first()
+            if n == 64:
+                took.append(time.time() - began)
+            assert (r.n, r.t, r.e) == (-(-(words + 1) // n), words + 1, r.b) and r.b == words // 2 * 10 + 4
+    assert took[1] < 12 * max(took[0], 1)

@@ -96,8 +96,10 @@ def test_read_slice_rules(one_row):
 
 def test_read_slice_cap(one_row):
     text = "a" * 70000
-    rows = one_row([(text,)], "t string", X.read_slice("t", F.lit(10), F.lit(69000)).alias("r"))
+    rows = one_row([(text,)], "t string", X.read_slice("t", F.lit(10), F.lit(69000), 61440).alias("r"),
+                   X.read_slice("t", F.lit(10), F.lit(69000)).alias("whole"))
     assert rows[0].r.truncated and rows[0].r.chunk == "a" * 61440 + ". . .truncated"
+    assert rows[0].whole.chunk == "a" * 68990 and not rows[0].whole.truncated
 
 
 def test_read_slice_hex_odd_offsets(one_row):
@@ -111,7 +113,7 @@ def test_snippet_rules(one_row):
     body = ("é" * 300).encode()  # 600 bytes, a cut at 512 falls on a character boundary
     odd = ("a" + "é" * 300).encode()  # the cut at 512 splits a character
     rows = one_row([(b"  line one\nline two \n", 0, 100), (b"abc", 5, 9), (b"abc", 2, 1), (body, 0, 600),
-                    (odd, 0, 601)], "d binary, s int, e int", X.snippet("d", "s", "e").alias("x"))
+                    (odd, 0, 601)], "d binary, s int, e int", X.snippet("d", "s", "e", 512).alias("x"))
     assert rows[0].x == "line one line two"
     assert rows[1].x == "" and rows[2].x == ""
     assert rows[3].x == "é" * 256 + "…"
@@ -121,7 +123,7 @@ def test_snippet_rules(one_row):
 def test_is_binary_and_invalid_utf8(one_row):
     rows = one_row([(b"ab\x00cd",), (b"x" * 2000 + b"\x00",), (b"\xff\xfeok",)], "d binary",
                    X.is_binary("d").alias("b"), X.as_text("d").alias("t"))
-    assert [r.b for r in rows] == [True, False, False]
+    assert [r.b for r in rows] == [True, True, False]
     assert rows[2].t.endswith("ok") and "�" in rows[2].t
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from quarry.operators import knn
 from quarry.operators.knn import batch_knn, top_k, vector_search
 
 
@@ -20,7 +21,9 @@ def _brute(vecs, ids, q, k):
     return out
 
 
-def test_batch_knn_matches_brute_force(spark):
+def test_batch_knn_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(knn, "TILE_VALUES", 160)
+    monkeypatch.setattr(knn, "BLOCK_SCORES", 5000)
     rng = np.random.default_rng(7)
     n, d, nq, k = 3000, 16, 25, 7
     vecs = rng.normal(size=(n, d)).astype(np.float32)
@@ -32,7 +35,7 @@ def test_batch_knn_matches_brute_force(spark):
     q[4] = vecs[10]
     chunks = spark.createDataFrame([(ids[i], vecs[i].tolist()) for i in range(n)], "id string, vector array<float>").repartition(6)
     queries = spark.createDataFrame([(j, q[j].tolist()) for j in range(nq)], "query_id int, query_vector array<double>")
-    res = batch_knn(chunks, queries, k, max_block_bytes=64 * 20).collect()  # forces several query blocks
+    res = batch_knn(chunks, queries, k).collect()  # several tiles of queries
     got = {}
     for r in sorted(res, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.id)
@@ -62,3 +65,17 @@ def test_topk_plans(spark):
     assert "TakeOrderedAndProject" in single
     grouped = top_k(df, 5, group_cols=["g"])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in grouped and "CartesianProduct" not in grouped
+
+
+def test_equal_vectors_and_mixed_widths(spark):
+    same = spark.range(20_000).select(F.format_string("c%05d", "id").alias("id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    wide = spark.createDataFrame([("w", [1.0, 0.0, 0.0])], "id string, vector array<double>")
+    queries = [(j, [1.0, 2.0]) for j in range(50)] + [(90, [2.0, 0.0, 0.0]), (91, None), (92, [1.0] * 7)]
+    q = spark.createDataFrame(queries, "query_id int, query_vector array<double>")
+    got = {}
+    for r in batch_knn(same.unionByName(wide).repartition(4), q, 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    assert set(got) == {*range(50), 90} and got[90] == [(1, "w")]
+    assert all(sorted(got[j]) == [(i + 1, f"c{i:05d}") for i in range(5)] for j in range(50))
+    plan = batch_knn(same, q, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan

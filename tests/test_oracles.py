@@ -21,13 +21,13 @@ def duck():
 
 
 def _names():
-    from __spark_entry__ import queries
+    from quarry.plans.registry import queries
     return sorted(queries())
 
 
 @pytest.mark.parametrize("name", _names())
 def test_query_matches_oracle(spark, duck, name):
-    from __spark_entry__ import oracle_sql, queries
+    from quarry.plans.registry import oracle_sql, queries
 
     df = queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]

@@ -13,7 +13,7 @@ def _plan(df) -> str:
 
 
 def test_no_cartesian_no_row_udf(spark):
-    from __spark_entry__ import queries
+    from quarry.plans.registry import queries
 
     for name, q in queries().items():
         if name == "pca_explained":
@@ -25,7 +25,7 @@ def test_no_cartesian_no_row_udf(spark):
 
 
 def test_scans_are_pruned(spark):
-    from __spark_entry__ import queries
+    from quarry.plans.registry import queries
 
     plan = _plan(queries()["run_ids"](spark, SF))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
@@ -34,16 +34,26 @@ def test_scans_are_pruned(spark):
 
 
 def test_per_group_topk_limits_before_shuffle(spark):
-    from __spark_entry__ import queries
+    from quarry.plans.registry import queries
 
-    for name in ("find_file_substring", "text_search_ci", "vector_search_ws", "vector_search_file"):
+    for name in ("find_file_suffix", "text_search_cs", "vector_search_ws", "vector_search_file"):
         plan = _plan(queries()[name](spark, SF))
         assert "WindowGroupLimit" in plan and "Partial" in plan, name
 
 
 def test_centroid_partial_aggregation(spark):
-    from __spark_entry__ import queries
+    from quarry.plans.registry import queries
 
     plan = _plan(queries()["workspace_centroid"](spark, SF))
     assert "partial_aggregate_metrics" in plan or "partial_" in plan
     assert "Generate" not in plan.split("ObjectHashAggregate")[-1]  # no per-element explode under the aggregate
+
+
+def test_no_exchange_carries_file_content(spark):
+    from quarry.plans.registry import queries
+
+    for name in ("token_chunks", "chunk_snippet", "embed_pipeline", "embeddable_files", "text_search_maxbytes"):
+        plan = _plan(queries()[name](spark, SF))
+        for line in plan.split("\n"):
+            assert "Exchange" not in line or ("content" not in line and "chunk_text" not in line), name
+        assert "REBALANCE" not in plan.upper(), name

@@ -7,7 +7,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from quarry.constants import SLICE_CAP_CHARS, UNICODE_SPACE_CHARS
+from quarry.constants import UNICODE_SPACE_CHARS
+
+SLICE_CAP_CHARS = 61_440
 from quarry.functions import text as X
 from quarry.operators.chunking import text_lines, with_chunks
 
@@ -70,8 +72,8 @@ def test_slices_match_model(spark):
     rng = random.Random(11)
     cases = [(t, rng.randint(-5, 70), rng.randint(-5, 80)) for t in _texts(rng, 300)]
     df = spark.createDataFrame(cases, "t string, a int, b int")
-    rows = df.select("t", "a", "b", X.read_slice("t", "a", "b").alias("c"),
-                     X.read_slice_hex(F.encode("t", "UTF-8"), "a", "b").alias("h")).collect()
+    rows = df.select("t", "a", "b", X.read_slice("t", "a", "b", SLICE_CAP_CHARS).alias("c"),
+                     X.read_slice_hex(F.encode("t", "UTF-8"), "a", "b", SLICE_CAP_CHARS).alias("h")).collect()
     for r in rows:
         assert (r.c.chunk, r.c.truncated) == py_slice(r.t, r.a, r.b), (r.t, r.a, r.b)
         assert r.h.chunk == py_hex(r.t.encode(), r.a, r.b), (r.t, r.a, r.b)
@@ -80,7 +82,7 @@ def test_slices_match_model(spark):
 def test_slice_cap_model(spark):
     t = "é" * 70000
     rows = spark.createDataFrame([(t, 5, 69000), (t, -1, 200000)], "t string, a int, b int").select(
-        X.read_slice("t", "a", "b").alias("c"), X.read_slice_hex(F.encode("t", "UTF-8"), "a", "b").alias("h")).collect()
+        X.read_slice("t", "a", "b", SLICE_CAP_CHARS).alias("c"), X.read_slice_hex(F.encode("t", "UTF-8"), "a", "b", SLICE_CAP_CHARS).alias("h")).collect()
     assert (rows[0].c.chunk, rows[0].c.truncated) == py_slice(t, 5, 69000)
     assert rows[1].h.chunk == py_hex(t.encode(), -1, 200000)
 
@@ -97,7 +99,7 @@ def test_snippets_match_model(spark):
         if len(cuts) > 2:
             cases.append((data, cuts[1], cuts[-1] + 3))
     rows = spark.createDataFrame(cases, "d binary, s int, e int").select(
-        "d", "s", "e", X.snippet("d", "s", "e").alias("x")).collect()
+        "d", "s", "e", X.snippet("d", "s", "e", 512).alias("x")).collect()
     for r in rows:
         assert r.x == py_snippet(bytes(r.d), r.s, r.e), (bytes(r.d), r.s, r.e)
 

@@ -16,7 +16,7 @@ m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 q = m.queries()
-names = [n for n in ("vector_search_batch", "bpe_token_chunks", "hash_embed") if n in q]
+names = [n for n in ("vector_search_batch", "hash_embed") if n in q]
 for n in names:
     assert q[n](spark, "{SF}").count() > 0, n
 print("OK", len(names))

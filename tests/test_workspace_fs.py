@@ -125,22 +125,6 @@ def test_case_fold_collision_is_reported(spark, tmp_path):
     assert ok.acceptance == "pass", ok.risks  # ids keep case by default: no collision
 
 
-def test_index_with_bpe_chunks(spark, tree, tmp_path):
-    from quarry.operators.bpe_chunking import installed_bpe_loader
-
-    loader = installed_bpe_loader()
-    if loader is None:
-        pytest.skip("no local BPE vocabulary")
-    const = embedder_from_function(lambda texts: np.ones((len(texts), 3), dtype=np.float32), 3, "ones")
-    cat = Catalog(spark, str(tmp_path / "catalog"))
-    J.index_all(spark, cat, str(tree), "w", const, "m", str(tmp_path / "runs"), bpe_loader=loader, max_tokens=4)
-    rows = {(r.relpath, r.chunk_index): r for r in cat.read("vector_chunk").collect()}
-    readme = sorted((k[1], v.start, v.end, v.token_count) for k, v in rows.items() if k[0] == "README.md")
-    enc = loader()
-    assert sum(t for *_, t in readme) == len(enc.encode_ordinary("# Sample Repo\nTest corpus\n"))
-    assert readme[0][1] == 0 and readme[-1][2] == 26 and all(t <= 4 for *_, t in readme)
-
-
 def _model_inventory(root):
     """What a pruned, symlink-skipping walk sees: (kind, relpath, size)."""
     from quarry.sources.workspace_fs import should_skip_dir
