@@ -75,7 +75,7 @@ def workspace_acceptance(catalog, ws: str, discovered_files: int | None = None)
     """
     files = catalog.read("file").filter(F.col("ws") == ws)
     dirs = catalog.read("directory").filter(F.col("ws") == ws)
-    edges = catalog.read("edge").filter(F.col("relation") == "ws_contains_dir")
+    edges = catalog.read("edge").filter((F.col("ws") == ws) & (F.col("relation") == "ws_contains_dir"))
     chunks = catalog.read("vector_chunk").filter(F.col("ws") == ws)
     content = catalog.read("content").filter(F.col("ws") == ws).select("relpath", "content")
     recomputed = F.sha2(F.substring(F.col("content"), F.col("start") + 1, F.col("end") - F.col("start")), 256)

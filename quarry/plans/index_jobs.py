@@ -42,6 +42,7 @@ class RunReport:
     artifact_paths: list[str] = field(default_factory=list)
     risks: list[str] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
+    discovered_files: int | None = None  # counted on the scan's inventory, not on the catalogue
 
     def row(self):
         return (self.run_id, self.step, self.started, self.finished, self.acceptance, self.artifact_paths,
@@ -119,6 +120,7 @@ def _scan_into(spark, catalog: Catalog, root: str, ws: str, run_dir: str, case_f
     catalog.replace_workspace("content", ws, content)
     d, f = catalog.read("directory").filter(F.col("ws") == ws), catalog.read("file").filter(F.col("ws") == ws)
     catalog.set_edges(ws, E.scan_edges(d, f, case_fold), E.SCAN_RELATIONS)
+    report.discovered_files = files.count()
     n_rejects = rejects.count()
     if n_rejects:
         report.risks.append(f"{n_rejects} unreadable entries (see rejects artefact)")
@@ -141,7 +143,7 @@ def _check_acceptance(catalog: Catalog, ws: str, report: RunReport) -> None:
     """Run the workspace acceptance checks; a failed check fails the run (rows: one per check)."""
     from quarry.operators.quality import catalog_checks, workspace_acceptance
 
-    for r in workspace_acceptance(catalog, ws).collect():
+    for r in workspace_acceptance(catalog, ws, report.discovered_files).collect():
         report.notes.append(f"{r.check_name}: {r.actual}/{r.expected}")
         if not r.ok:
             report.risks.append(f"acceptance check failed: {r.check_name}")

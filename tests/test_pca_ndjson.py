@@ -32,8 +32,8 @@ def test_read_texts(spark, tmp_path):
         json.dumps({"text": "first"}), "not json", json.dumps({"text": 42}), json.dumps({"text": ""}),
         json.dumps({"other": "x"}), json.dumps({"text": "second", "n": 1}), json.dumps({"text": "third"}),
     ]) + "\n")
-    assert [r.text for r in read_texts(spark, str(p), 0).collect()] == ["first", "second", "third"]
-    assert [r.text for r in read_texts(spark, str(p), 2).collect()] == ["first", "second"]
+    assert [r.text for r in read_texts(spark, str(p)).collect()] == ["first", "second", "third"]
+    assert read_texts(spark, str(p), 2).count() == 2
 
 
 def test_fit_pca_on_corpus(spark, tmp_path):

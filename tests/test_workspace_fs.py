@@ -29,7 +29,7 @@ def tree(tmp_path):
     (root / "web" / "Node_Modules" / "pkg").mkdir(parents=True)
     (root / "web" / "Node_Modules" / "pkg" / "x.js").write_text("x")
     (root / "bin.dat").write_bytes(b"\x00\x01binary")
-    (root / "big.txt").write_text("word " * 60000)  # 300 000 bytes > 256 KiB
+    (root / "big.txt").write_text("word " * 60000)  # a file of many chunks
     (root / "crlf.txt").write_bytes(b"first line\r\nsecond NEEDLE line\r\n")
     os.symlink(root / "README.md", root / "link.md")
     return root
@@ -67,13 +67,13 @@ def test_index_all_end_to_end(spark, tree, tmp_path):
     cat = Catalog(spark, str(tmp_path / "catalog"))
     rep = J.index_all(spark, cat, str(tree), "workspace-alpha", const, "nomic-embed-text-v1.5", str(tmp_path / "runs"))
     assert rep.acceptance == "pass" and rep.finished is not None and rep.run_id.startswith("RUN-")
-    assert any(n.startswith("chunk content_sha recomputes: 5/5") for n in rep.notes), rep.notes
+    assert "chunk content_sha recomputes: 84/84" in rep.notes and "files catalogued: 8/8" in rep.notes, rep.notes
     assert len(rep.artifact_paths) == 3
     files = cat.read("file")
     assert files.count() == 8
     chunks = cat.read("vector_chunk").collect()
-    # embeddable: non-empty, <= 256 KiB, no NUL -> README.md, main.go, .hidden, _under.txt, crlf.txt
-    assert sorted({c.relpath for c in chunks}) == [".hidden", "README.md", "_under.txt", "crlf.txt", "src/main.go"]
+    # embeddable: non-empty, no NUL, of any size
+    assert sorted({c.relpath for c in chunks}) == [".hidden", "README.md", "_under.txt", "big.txt", "crlf.txt", "src/main.go"]
     assert all(c.model == "nomic-embed-text-v1-5" and c.native_dim == 4 for c in chunks)
     wsv = cat.read("workspace_vector").collect()
     assert len(wsv) == 1 and wsv[0].sample == len(chunks)
@@ -88,6 +88,8 @@ def test_index_all_end_to_end(spark, tree, tmp_path):
     for name, ddl in SCHEMAS.items():
         if cat.exists(name):
             assert sorted(cat.read(name).columns) == sorted(spark.createDataFrame([], ddl).columns), name
+    dirs_file = [p for p in rep.artifact_paths if p.endswith("dirs.ndjson")][0]
+    assert all(r.mtime for r in spark.read.json(dirs_file).collect())
     # re-running adds no duplicate edges
     J.index_scan(spark, cat, str(tree), "workspace-alpha", str(tmp_path / "runs"))
     e = cat.read("edge")
