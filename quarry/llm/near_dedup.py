@@ -9,11 +9,13 @@ the others are confirmed on their full shingle sets.
 How it stays linear in large groups:
 
 * equal sets are one node (the row with the smallest row number); copies never meet each other;
-* in a band bucket every member is compared with one pivot, the smallest set (a star), not with every other;
-* after the stars are confirmed and components labelled, members x, y of one bucket can only be an open link
-  if they carry different labels; then one of them, y, is not linked to the pivot p, and since p is no larger
-  than x, a common part that lay inside p would make y at least as similar to p as to x. So x and y share a
-  shingle outside p, and only members that meet in such a shingle are compared: no link is lost;
+* in a band bucket every member is compared with one pivot (a star), not with every other: the member that shares
+  most buckets with others, so that the copies of one text meet at the text nearest to all of them;
+* after the stars are confirmed and components labelled, members x, y of one pivot can only be an open link if they
+  carry different labels. Their shingles are put in one order: first those that the pivot lacks, rare ones ahead,
+  then the pivot's. Linked sets must meet within a short prefix of that order, at places that leave enough
+  shingles for the required common part; copies of the pivot's text with changes of their own fill that prefix
+  with shingles nobody shares. Only members that do meet are compared, so no link is lost;
 * a pivot's comparisons are dealt in portions of ``PORTION`` members, each a sorted stream against one set;
 * hot classes, buckets and hubs are joined to small written tables, where Spark can split them.
 
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm.common import free_name, materialise, prepare
 from quarry.llm.shingles import mix, shingle_sets
@@ -217,17 +220,52 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _outside(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(a, b, shingle): the shingles of member b that its pivot a lacks."""
+def _prefixes(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, shingle, lacks, place, out, n): for every member b of pivot a the ``out`` shingles that a lacks (``place``
+    not known yet), and as many of a's, in hash order, as the prefix of b still needs."""
     rows, read = _streams(pairs, texts, k)
+    schema = "a long, b long, shingle long, lacks boolean, place int, out int, n int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, held, b, s in read(batches):
             e = np.setdiff1d(s, held, assume_unique=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), a)), pa.array(np.full(len(e), b)), pa.array(e.view(np.int64))],
-                                             ["a", "b", "shingle"])
+            prefix = len(s) - -(-percent * len(s) // 100) + 1
+            more = np.intersect1d(s, held, assume_unique=True)[:max(0, prefix - len(e))]
+            size = len(e) + len(more)
+            place = np.concatenate([np.zeros(len(e), np.int32), len(e) + 1 + np.arange(len(more), dtype=np.int32)]).astype(np.int32)
+            fill = lambda v, t: pa.array(np.full(size, v, t))
+            yield pa.RecordBatch.from_arrays(
+                [fill(a, np.int64), fill(b, np.int64), pa.array(np.concatenate([e, more]).view(np.int64)), pa.array(place == 0), pa.array(place),
+                 fill(len(e), np.int32), fill(len(s), np.int32)], ["a", "b", "shingle", "lacks", "place", "out", "n"])
+
+    return rows.mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, "a long, b long, shingle long")
+
+def _open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): members of one pivot with different labels whose prefixes meet."""
+    tagged = members.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    tagged = materialise(tagged.select("a", "b", "portion", "label"), "near-tagged")
+    split = tagged.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a")
+    still = materialise(tagged.join(split, "a"), "near-open")
+    seen = _prefixes(still.select("a", "b", "portion"), texts, k, percent).join(still.select("a", "b", "label"), ["a", "b"])
+    seen = materialise(seen, "near-prefixes")
+    shared = seen.groupBy("a", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("times"))
+    seen = seen.join(shared.where("lo < hi").select("a", "shingle", "times"), ["a", "shingle"])
+    # shingles that meet no other label come first in the order: they are gone already but keep their places
+    mine = Window.partitionBy("a", "b", "lacks")
+    rank = F.row_number().over(mine.orderBy("times", "shingle")) + F.col("out") - F.count(F.lit(1)).over(mine)
+    seen = seen.withColumn("place", F.when(F.col("lacks"), rank).otherwise(F.col("place")))
+    seen = seen.withColumn("rest", F.col("n") - F.col("place") + 1).where(F.col("rest") * 100 >= F.col("n") * percent)
+    seen = materialise(seen.select("a", "b", "label", "shingle", "rest", "n"), "near-shared")
+    # a common part needs percent / (100 + percent) of both sizes, and has at most ``rest`` shingles from here on
+    enough = lambda r, x, y: F.col(r) * (100 + percent) >= (F.col(x) + F.col(y)) * percent
+    groups = seen.groupBy("a", "shingle", "label").agg(F.max("rest").alias("rest"), F.min("n").alias("n"))
+    other = groups.select("a", "shingle", F.col("label").alias("label2"), F.col("rest").alias("rest2"), F.col("n").alias("n2"))
+    meet = groups.join(other, ["a", "shingle"]).where((F.col("label") < F.col("label2")) & enough("rest", "n", "n2") & enough("rest2", "n", "n2"))
+    meet = meet.select("a", "shingle", "label", "label2")
+    right = seen.select("a", "shingle", F.col("label").alias("label2"), F.col("b").alias("c"), F.col("rest").alias("rest2"), F.col("n").alias("n2"))
+    both = meet.join(seen, ["a", "shingle", "label"]).join(right, ["a", "shingle", "label2"]).where(enough("rest", "n", "n2") & enough("rest2", "n", "n2"))
+    return both.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -262,30 +300,20 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, rows: int = 4,
     nodes = materialise(some.groupBy("k1", "k2").agg(
         F.min("row").alias("node"), F.min_by("doc_id", "row").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "near-nodes")
     buckets = _buckets(nodes, bands, rows)
-    stars = buckets.groupBy("bucket").agg(F.min(F.struct("n", "node")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = materialise(stars.select("bucket", F.col("p.node").alias("a"), "size"), "near-stars")
-    members = buckets.join(stars, "bucket").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.max("size").alias("size"))
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowded = materialise(buckets.join(materialise(sizes, "near-sizes"), "bucket"), "near-buckets")
+    weight = materialise(crowded.groupBy("node").agg(F.sum("size").alias("weight")), "near-weights")
+    stars = crowded.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("node"))).alias("p"))
+    stars = materialise(stars.select("bucket", (-F.col("p.col2")).alias("a")), "near-stars")
+    members = crowded.join(stars, "bucket").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.max("size").alias("size"))
     members = materialise(members.select("a", "b", _portion(F.col("size"))), "near-members")
     wanted = members.select(F.col("a").alias("node")).union(members.select("b")).distinct().join(nodes.select("node", "doc_id", "k1", "k2"), "node")
     texts = materialise(wanted.join(docs, "doc_id").select("node", "k1", "k2", "text"), "near-texts")
     pairs = materialise(_promising(members, nodes, percent, m), "near-pairs")
     links = materialise(_confirm(pairs, texts, k, percent), "near-confirmed")
     labels = components(links)
-    # what the stars leave open: pivots whose members still have different labels
-    tagged = members.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    tagged = materialise(tagged.select("a", "b", "portion", "label"), "near-tagged")
-    split = tagged.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a")
-    still = materialise(tagged.join(split, "a"), "near-open")
-    seen = _outside(still.select("a", "b", "portion"), texts, k).join(still.select("a", "b", "label"), ["a", "b"])
-    seen = materialise(seen, "near-outside")
-    shared = seen.groupBy("a", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a", "shingle")
-    seen = materialise(seen.join(shared, ["a", "shingle"]), "near-shared")
-    groups = seen.select("a", "shingle", "label").distinct()
-    meet = groups.join(groups.withColumnRenamed("label", "label2"), ["a", "shingle"]).where("label < label2")
-    rest = (meet.join(seen, ["a", "shingle", "label"])
-            .join(seen.select("a", "shingle", F.col("label").alias("label2"), F.col("b").alias("c")), ["a", "shingle", "label2"])
-            .select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct())
-    rest = materialise(_promising(rest.select("a", "b", _portion(F.lit(8 * PORTION))), nodes, percent, m), "near-pairs")
+    rest = _open_pairs(members, labels, texts, k, percent).withColumn("portion", _portion(F.lit(8 * PORTION)))
+    rest = materialise(_promising(rest, nodes, percent, m), "near-pairs")
     more = materialise(_confirm(rest, texts, k, percent), "near-confirmed")
     if not more.isEmpty():
         labels = components(links.union(more))
