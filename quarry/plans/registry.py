@@ -17,7 +17,7 @@ from quarry.functions import hashing as H
 from quarry.functions import paths as P
 from quarry.functions import text as X
 from quarry.functions.vectors import cosine_to_query
-from quarry.operators import listing, quality, textsearch, upsert
+from quarry.operators import edges, listing, quality, textsearch, upsert
 from quarry.operators.centroid import centroids, column_mean, explode_vector
 from quarry.operators.chunking import text_lines
 from quarry.operators.edges import dir_contains_dir, dir_contains_file, ws_contains_dir
@@ -575,6 +575,76 @@ def _acceptance(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+# ============================================================================ ids, names, remaining edges
+register("edges_file_has_vector", f"""WITH {sql_v_chunk()}
+SELECT 'file_has_vector' AS relation, id AS in_id, {sql_hex_id('vec', 'ws', 'id', V.sql_chunk_label('chunk_index'))} AS out_id FROM v_chunk""")(
+    lambda s, d: edges.file_has_vector(V.v_chunk_vectors(s, d)))
+
+register("edges_workspace_has_vector", f"""WITH {SQL_V_VEC}
+SELECT DISTINCT 'workspace_has_vector' AS relation, ws AS in_id, {sql_hex_id('wsv', 'ws', 'model', "'centroid@file'")} AS out_id FROM v_vec""")(
+    lambda s, d: edges.workspace_has_vector(centroids(V.v_vec(s, d)).withColumn("id", H.centroid_id("ws", "model"))))
+
+register("edges_on_node", f"""WITH {SQL_V_WORKSPACE}
+SELECT 'on_node' AS relation, id AS in_id, node AS out_id FROM v_workspace WHERE node IS NOT NULL""")(
+    lambda s, d: edges.on_node(V.v_workspace(s, d)))
+
+register("relative_paths", """
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN url END AS rel FROM pages""")(
+    lambda s, d: V.table(s, d, "pages").select("page_id", P.relative_to(
+        F.lit("/srv/root//"), F.when(F.col("page_id") % 3 == 0, F.lit("/srv/root"))
+        .when(F.col("page_id") % 3 == 1, F.concat(F.lit("/srv/root/"), "url")).otherwise(F.concat(F.lit("/srv/rooted/"), "url"))).alias("rel")))
+
+register("binary_sniff", "SELECT conv_id, turn, conv_id % 3 = 0 AS is_binary FROM conversations")(
+    lambda s, d: V.table(s, d, "conversations").select("conv_id", "turn", X.is_binary(F.encode(F.concat(
+        F.repeat(F.coalesce("text", F.lit("")), 9), F.when(F.col("conv_id") % 3 == 0, F.lit("\x00")).otherwise(F.lit(""))), "UTF-8")).alias("is_binary")))
+
+register("filter_lists", """
+SELECT doc_id, CASE WHEN quality = 1 THEN 'f' || CAST(doc_id % 50 AS VARCHAR) || ',g' ELSE 'g' END AS filters FROM labels""")(
+    lambda s, d: V.table(s, d, "labels").select("doc_id", F.array_join(F.sort_array(X.normalize_filters(F.array(
+        F.when(F.col("quality") == 1, F.concat(F.lit(" f"), (F.col("doc_id") % 50).cast("string"), F.lit("\t"))).otherwise(F.lit("  ")),
+        F.lit("g"), F.lit("\u00a0g "), F.lit("")))), ",").alias("filters")))
+
+register("transform_ids", "SELECT item_id, 'pca@' || substr(sha256(text), 1, 8) AS transform FROM benchmark")(
+    lambda s, d: V.table(s, d, "benchmark").select("item_id", H.transform_id("text", "pca").alias("transform")))
+
+register("resolve_model_name", f"""WITH {SQL_V_VEC}
+SELECT ws, form, model FROM (SELECT DISTINCT ws, model FROM v_vec) v, (VALUES ('id'), ('name'), ('prefixed')) f(form)""")(
+    lambda s, d: _resolved_names(s, d))
+
+
+def _resolved_names(s: SparkSession, d: str) -> DataFrame:
+    """Every model of every workspace, found by its id, by a name that maps to its slug, and by its record id."""
+    from quarry.plans.tools import match_model
+
+    models = V.v_vec(s, d).select("ws", "model").distinct()
+    forms = F.explode(F.map_from_arrays(F.array(F.lit("id"), F.lit("name"), F.lit("prefixed"), F.lit("none")), F.array(
+        F.concat(F.lit("\u00a0"), "model"), F.concat(F.upper("model"), F.lit("_ ")), F.concat(F.lit("vector_model:"), "model"), F.lit("other"))))
+    asked = models.select("ws", "model", forms.alias("form", "candidate"))
+    return match_model(asked, F.col("candidate")).select("ws", "form", "model")
+
+
+register("node_register_fields", f"""
+SELECT id, r.name AS name, r.os AS os, r.cpu AS cpu, r.labels AS labels
+FROM (SELECT id, arg_max({{'name': name, 'os': os, 'cpu': cpu, 'labels': labels}}, seq) AS r
+      FROM (SELECT CAST(s_nationkey AS VARCHAR) AS id, s_suppkey AS seq, {sql_trim('s_name')} AS name,
+                   CASE WHEN s_suppkey % 2 = 0 THEN 'linux' END AS os, CAST(NULL AS VARCHAR) AS cpu,
+                   CASE WHEN s_suppkey % 3 = 0 THEN 'a,' || {sql_trim('s_name')} END AS labels
+            FROM supplier) t GROUP BY id) g""")(
+    lambda s, d: _registered_fields(s, d))
+
+
+def _registered_fields(s: SparkSession, d: str) -> DataFrame:
+    """Registrations with optional fields and labels, through the rule that the registration tool applies."""
+    from quarry.plans.tools import clean_nodes
+
+    r = V.table(s, d, "supplier").select(
+        F.concat(F.lit(" "), F.col("s_nationkey").cast("string")).alias("id"), F.concat("s_name", F.lit("\t")).alias("name"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.lit(" linux")).otherwise(F.lit(" ")).alias("os"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit(" a "), F.lit(""), F.col("s_name"))).otherwise(F.array(F.lit(" "))).alias("labels"),
+        F.col("s_suppkey").alias("seq"))
+    return clean_nodes(r).select("id", "name", "os", "cpu", F.array_join("labels", ",").alias("labels"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -28,11 +28,8 @@ def _required(value: str | None, name: str) -> str:
 
 
 # ------------------------------------------------------------------ registration (batch)
-def register_nodes(catalog: Catalog, registrations: DataFrame, order_col: str = "seq") -> int:
-    """Upsert ``node`` rows (replace semantics): blank name -> node id; labels trimmed, blanks dropped.
-
-    Absent optional fields are NULL, so re-registering without ``kind`` clears it.
-    """
+def clean_nodes(registrations: DataFrame, order_col: str = "seq") -> DataFrame:
+    """The newest registration per id: blank name -> node id; labels trimmed, blanks dropped; absent fields NULL."""
     from quarry.functions.text import clean_labels
 
     have = set(registrations.columns)
@@ -48,8 +45,12 @@ def register_nodes(catalog: Catalog, registrations: DataFrame, order_col: str =
         clean_labels(opt("labels", "array<string>")).alias("labels"),
         F.col(order_col).alias("_order"),
     ).filter(F.col("id") != "")
-    latest = latest_per_key(rows, ["id"], ["_order"], ["name", "kind", "os", "cpu", "ram_gb", "labels"])
-    return catalog.upsert("node", latest, ["id"])
+    return latest_per_key(rows, ["id"], ["_order"], ["name", "kind", "os", "cpu", "ram_gb", "labels"])
+
+
+def register_nodes(catalog: Catalog, registrations: DataFrame, order_col: str = "seq") -> int:
+    """Upsert ``node`` rows (replace semantics), so re-registering without ``kind`` clears it."""
+    return catalog.upsert("node", clean_nodes(registrations, order_col), ["id"])
 
 
 def register_workspaces(catalog: Catalog, registrations: DataFrame, order_col: str = "seq") -> int:
