@@ -10,13 +10,13 @@ import json
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.constants import PCA_PADDED_WIDTH
-from quarry.functions.vectors import vector_literal
 from quarry.operators.centroid import column_mean
 
 
@@ -57,16 +57,17 @@ def fit_pca(df: DataFrame, vec_col: str = "vector", k: int | None = None) -> Pca
 
 
 def project(df: DataFrame, result: PcaResult, vec_col: str = "vector", out_col: str = "projected") -> DataFrame:
-    """``(v - mean) @ components`` as ``array<double>``, in the JVM (the model is a literal of d*k values)."""
-    mean = vector_literal(result.mean)
-    centred = F.zip_with(F.col(vec_col).cast("array<double>"), mean, lambda a, b: a - b)
-    cols = [vector_literal(result.components[:, j]) for j in range(result.components.shape[1])]
-    staged = df.withColumn("_c", centred)
-    proj = F.array(*[
-        F.aggregate(F.zip_with(F.col("_c"), c, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x) for c in cols
-    ])
-    return staged.withColumn(out_col, proj).drop("_c")
+    """``(v - mean) @ components`` as ``array<double>``: one matrix product per Arrow batch, the model broadcast once."""
+    model = df.sparkSession.sparkContext.broadcast((result.mean, result.components))
 
+    @F.pandas_udf("array<double>")
+    def run(vectors: pd.Series) -> pd.Series:
+        mean, components = model.value
+        known = [v for v in vectors if v is not None]
+        got = iter((np.stack(known).astype(np.float64) - mean) @ components if known else ())
+        return pd.Series([None if v is None else next(got) for v in vectors], dtype=object)
+
+    return df.withColumn(out_col, run(F.col(vec_col)))
 
 
 def write_model(spark, result: PcaResult, path: str, name: str) -> str:

@@ -302,6 +302,29 @@ def _pca_project(s: SparkSession, d: str) -> DataFrame:
         "vec_id", F.col("component").cast("bigint").alias("component"), _r6("value").alias("value"))
 
 
+@register("pca_axes", """
+SELECT CAST(i AS BIGINT) AS a, CAST(j AS BIGINT) AS b, TRUE AS holds FROM range(8) r(i), range(8) q(j) WHERE i <= j""")
+def _pca_axes(s: SparkSession, d: str) -> DataFrame:
+    """The projected vectors' covariances over the total variance: the explained shares on the diagonal, else 0 (to 1e-6)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from quarry.operators.pca import project
+
+    emb = V.table(s, d, "embeddings")
+    res = fit_pca(emb, "embedding", k=8)
+    out = project(emb, res, "embedding", "p")
+    pairs = [(i, j) for i in range(8) for j in range(i, 8)]
+    spread = Summarizer.variance(array_to_vector(F.col("embedding").cast("array<double>")))
+    total = F.aggregate(vector_to_array(spread), F.lit(0.0), lambda x, y: x + y)
+    covs = out.agg(*[F.covar_samp(F.col("p")[i], F.col("p")[j]).alias(f"c{i}_{j}") for i, j in pairs], total.alias("total"))
+    rows = F.array(*[F.struct(
+        F.lit(i).cast("bigint").alias("a"), F.lit(j).cast("bigint").alias("b"),
+        (F.abs(F.col(f"c{i}_{j}") / F.col("total") - F.lit(float(res.explained_variance[i]) if i == j else 0.0)) < 1e-6).alias("holds"))
+        for i, j in pairs])
+    return covs.select(F.inline(rows))
+
+
 # ============================================================================ vector search
 register("cosine_scores", f"""WITH {SQL_V_VEC}
 SELECT vec_id, (round({_sql_cos('vector', _query_vector())}, 6) + 0.0) AS score FROM v_vec""")(
