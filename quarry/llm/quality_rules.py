@@ -144,4 +144,6 @@ def keep_good(df: DataFrame, policy: Policy = DEFAULT, id_col: str = "doc_id", t
     """The rows of ``df`` (all columns, unchanged) that pass ``policy``; computed in place, without a join."""
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(text_col).alias("__t"))
     led = ledger(row, "__row", "__t", rules)
-    return led.where(passes(policy, rules)).select("__row.*")
+    # a filter would be pushed below the measurements and take a copy of them along, words split anew per shingle;
+    # exploding one row or none stays above them
+    return led.select(F.explode(F.when(passes(policy, rules), F.array("__row"))).alias("__row")).select("__row.*")
