@@ -8,7 +8,12 @@ surrogates everywhere (coreference), and different ones of a format get differen
 
 Collision check: the distinct entities of the corpus are gathered with map-side aggregation; a surrogate that
 equals an entity of the corpus, or its own original, or another surrogate, is drawn again with the next
-attempt number until none is left. Only those few exceptions are joined back to their documents.
+attempt number until none is left. A format whose strings run out, or that has no exchangeable character, gets
+wider: surrogates of it are one character longer with every further draw, so each entity settles. Only those few
+exceptions are joined back to their documents.
+
+Letters of other scripts are exchanged among the letters of their case in their part of the code table. A secret
+that is one mark over and over (``********``) is a mask, not a secret, and stays.
 
 Defined results: NULL and empty texts stay as they are. Whole texts are searched. NULL ids, repeated rows and
 extra columns are kept unchanged. An empty table gives an empty result.
@@ -17,7 +22,9 @@ extra columns are kept unchanged. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,6 +53,34 @@ CLASSES = (
     "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
 )
 _CLASS = {ch: c for c in CLASSES for ch in c}
+#: Scripts with many letters of one kind: (first, last).
+_WIDE_SCRIPTS = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+#: Attempts from here on are drawn from wider formats.
+WIDER = 1_000_000
+
+
+@lru_cache(maxsize=None)
+def _part(block: int, category: str) -> str:
+    chars = (chr(i) for i in range(block * 128, block * 128 + 128))
+    return "".join(ch for ch in chars if unicodedata.category(ch) == category and ch not in _CLASS)
+
+
+@lru_cache(maxsize=None)
+def _script(first: int, last: int) -> str:
+    return "".join(map(chr, range(first, last + 1)))
+
+
+def _class(ch: str) -> str | None:
+    """The characters with which ``ch`` may be exchanged; None if it stays."""
+    if ch in _CLASS:
+        return _CLASS[ch]
+    if not (ch.isalpha() or ch.isdecimal()):
+        return None
+    for first, last in _WIDE_SCRIPTS:
+        if first <= ord(ch) <= last:
+            return _script(first, last)
+    part = _part(ord(ch) // 128, unicodedata.category(ch))
+    return part if len(part) > 1 else None
 
 _WORD = r"[^\W\d_]+"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
@@ -70,6 +105,8 @@ def entities(text: str | None) -> Iterator[tuple[str, str, int, int]]:
         return
     for m in PATTERN.finditer(text):
         kind = m.lastgroup if m.lastgroup != "title" else "name"
+        if kind == "secret" and len(set(m[kind])) == 1 and not m[kind][0].isalnum():
+            continue
         a, b = m.span(kind)
         yield kind, normal(kind, m[kind], m["title"]), a, b
 
@@ -110,7 +147,7 @@ class Permutation:
 
     def string(self, s: str, tweak: str) -> str:
         """Permute the characters of ``s`` inside their classes, as one number in mixed radix."""
-        classes = [_CLASS.get(ch) for ch in s]
+        classes = [_class(ch) for ch in s]
         n = x = 0
         size = 1
         for ch, c in zip(s, classes):
@@ -139,6 +176,11 @@ def _luhn(digits: str) -> int:
 def surrogate_form(key: bytes, kind: str, form: str, attempt: int) -> str:
     """The surrogate of a normal form, in normal form."""
     p, tweak = Permutation(key), f"{kind}|{attempt}"
+    more = attempt - WIDER + 1 if attempt >= WIDER else 0
+    if kind in ("secret", "name") and not any(map(_class, form.split("|", 1)[1] if kind == "name" else form)):
+        more = attempt + 1  # nothing to exchange
+    if more:
+        return _wider(key, kind, form, tweak, more)
     if kind == "email":
         local, domain = form.rsplit("@", 1)
         body, tld = domain.rsplit(".", 1)
@@ -166,6 +208,27 @@ def surrogate_form(key: bytes, kind: str, form: str, attempt: int) -> str:
     return p.string(form, tweak)
 
 
+def _wider(key: bytes, kind: str, form: str, tweak: str, more: int) -> str:
+    """A surrogate with ``more`` characters than the format of ``form``; again one for each form."""
+    p = Permutation(key)
+    if kind == "email":
+        local, domain = form.rsplit("@", 1)
+        body, tld = domain.rsplit(".", 1)
+        return f"{p.string(local + 'b' * more, tweak)}@{p.string(body, f'domain|{tweak}')}.{tld}"
+    if kind == "card":
+        shift = (int(form[-1]) - _luhn(form[:-1])) % 10
+        body = form[0] + p.string(form[1:-1] + "0" * more, tweak)
+        return body + str((_luhn(body) + shift) % 10)
+    if kind == "name":
+        gender, full = form.split("|", 1)
+        last = next((ch for ch in reversed(full) if _class(ch)), "b")
+        return f"{gender}|{p.string(full + (last if last.islower() or last.lower() == last.upper() else 'b') * more, f'{tweak}|{gender}')}"
+    if kind in ("iban", "key"):
+        keep = 2 if kind == "iban" else 4
+        return form[:keep] + p.string(form[keep:] + "0" * more, f"{tweak}|{form[:keep]}")
+    return p.string(form + ("b" if kind == "secret" else "0") * more, tweak)
+
+
 def _given(p: Permutation, gender: str, name: str, tweak: str) -> str | None:
     """Another given name of the same gender and script; None for a name in no list."""
     for (g, script), names in GIVEN.items():
@@ -178,11 +241,11 @@ def render(kind: str, mention: str, form: str) -> str:
     """``form`` written in the format of ``mention``."""
     if kind in ("phone", "ssn", "card", "iban"):
         rest = iter(form)
-        return "".join(next(rest) if ch.isalnum() else ch for ch in mention)
+        return "".join(next(rest) if ch.isalnum() else ch for ch in mention) + "".join(rest)
     if kind == "name":
         return form.split("|", 1)[1]
     if kind == "email" and mention != mention.lower():
-        return "".join(f.upper() if m.isupper() else f for m, f in zip(mention, form))
+        return "".join(f.upper() if m.isupper() else f for m, f in zip(mention, form)) + form[len(mention):]
     return form
 
 
@@ -206,7 +269,8 @@ def replace_all(key: bytes, text: str | None, attempts: dict[tuple[str, str], in
 def resolve(found: DataFrame, key: bytes, most: int = 50) -> DataFrame:
     """(kind, form, attempt): the entities of ``found(kind, form)`` whose first surrogate collides.
 
-    Distinct entities only; each round re-draws the colliding ones against all originals and all surrogates.
+    Distinct entities only; each round re-draws the colliding ones against all originals and all surrogates. From
+    the ``most``-th draw on formats get wider: every further round has more strings, so the rounds come to an end.
     """
     @F.pandas_udf("string")
     def draw(kind: pd.Series, form: pd.Series, attempt: pd.Series) -> pd.Series:
@@ -215,7 +279,8 @@ def resolve(found: DataFrame, key: bytes, most: int = 50) -> DataFrame:
     distinct = materialise(found.distinct(), "pii-entities")
     now = materialise(distinct.withColumn("attempt", F.lit(0)).withColumn("new", draw("kind", "form", F.lit(0))), "pii-drawn")
     originals = distinct.select("kind", F.col("form").alias("new"), F.lit(True).alias("taken"))
-    for attempt in range(1, most):
+    for draws in itertools.count(1):
+        attempt = draws if draws < most else WIDER + draws - most
         # the first of equal surrogates keeps it; those that settled earlier come first
         first = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "form")).alias("first"))
         judged = now.join(first, ["kind", "new"]).join(originals, ["kind", "new"], "left")
@@ -226,7 +291,6 @@ def resolve(found: DataFrame, key: bytes, most: int = 50) -> DataFrame:
         again = judged.where("bad").withColumn("attempt", F.lit(attempt))
         again = again.withColumn("new", draw("kind", "form", "attempt"))
         now = materialise(judged.where("NOT bad").unionByName(again).select("kind", "form", "attempt", "new"), "pii-drawn")
-    raise RuntimeError("surrogates still collide; a format has fewer strings than the corpus has entities of it")
 
 
 def replace_entities(df: DataFrame, key: bytes, text_col: str = "text", counts: bool = False) -> DataFrame:

@@ -63,3 +63,27 @@ def test_table_against_brute_force(spark, docs_df):
             assert new.setdefault(x, y) == y
     assert len(set(new.values())) == len(new)
     assert S.replace_entities(df.limit(0), KEY, counts=True).count() == 0
+
+
+def test_formats_without_free_strings_settle(spark, docs_df):
+    # every two-letter name of a format, so that no string of it is free; and values without a character to exchange
+    names = [f"Dr {a}{b}" for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    odd = ["Dr 王伟", "Prof 김철수", "Dr محمد", "secret=a.....", "token=-_-_-_-_", "+1 23 45"]
+    masks = ["password: ********", "token=......"]
+    rows = list(enumerate([f"met {x} there" for x in names + odd + masks]))
+    found = spark.createDataFrame([(k, f) for _, t in rows for k, f, _, _ in S.entities(t)], "kind string, form string")
+    attempts = {(x.kind, x.form): x.attempt for x in S.resolve(found, KEY, most=2).collect()}
+    originals, new = {(k, f) for _, t in rows for k, f, _, _ in S.entities(t)}, set()
+    assert len(originals) == len(names) + len(odd) and attempts
+    for i, t in rows:
+        out, counts = S.replace_all(KEY, t, attempts)
+        if i >= len(names) + len(odd):
+            assert out == t and sum(counts) == 0
+            continue
+        (kind, form, a, b), = S.entities(t)
+        (again, other, _, _), = S.entities(out)
+        assert again == kind and other != form and (kind, other) not in originals
+        new.add((kind, other))
+    assert len(new) == len(originals)
+    whole = S.replace_entities(docs_df(rows[len(names):]), KEY).collect()
+    assert all((x.text == dict(rows)[x.doc_id]) == (x.doc_id >= len(names) + len(odd)) for x in whole)
