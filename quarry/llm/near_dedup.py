@@ -291,6 +291,11 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, bands: int = 28, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``df``."""
+    return _labelled(df, k, percent, rows, bands, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(df: DataFrame, k: int, percent: int, rows: int, bands: int, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` with the digest of the row's set (k1, k2) and its component's own label (NULL if alone)."""
     prepare(df.sparkSession)
     m = rows * bands
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -322,17 +327,31 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, rows: int = 4,
     per_set = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"))
     classes = materialise(classes.drop("doc_id").join(per_set, ["k1", "k2"]), "near-classes")
     smallest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = materialise(classes.join(smallest, "label").select("k1", "k2", "component_id"), "near-named")
+    named = materialise(classes.join(smallest, "label").select("k1", "k2", "label", "component_id"), "near-named")
     out = sk.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                      "k1", "k2", F.when(~alone, F.col("label")).alias("label"))
 
 
 def keep_one(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their group; of rows that repeat such an id one stays."""
-    found = near_duplicates(df, k, percent, id_col=id_col, text_col=text_col)
-    name = free_name(df, "__keep")
-    keep = materialise(found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct(), "near-keep")
-    # ids are compared before the join, texts travel once
-    some = df.join(keep, F.col(id_col).cast("long") == F.col(name)).drop(name).dropDuplicates([id_col])
+    """One row of each group of ``df``, with the group's smallest id. Rows that share an id are told apart by their
+    texts' shingle sets: each stays if it stands for a group of its own; of equal ones, wordless ones too, one stays."""
+    found = materialise(_labelled(df, k, percent, 4, 28, id_col, text_col).where("doc_id IS NOT NULL"), "near-found")
+    one = found.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("o")).select("o.*")
+    one = one.union(found.where("label IS NULL").select("doc_id", "k1", "k2"))
+    several = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    name, want, mine = free_name(df, "__keep"), free_name(df, "__want"), free_name(df, "__mine")
+    keep = one.groupBy("doc_id").agg(F.collect_set(F.concat_ws(",", "k1", "k2")).alias("sets")).join(several, "doc_id", "left")
+    keep = materialise(keep.select(F.col("doc_id").alias(name), F.when(F.col("n") > 1, F.col("sets")).alias(want)), "near-keep")
+
+    @F.pandas_udf("string")
+    def digest(texts, wanted):
+        import pandas as pd
+
+        return pd.Series([None if w is None else ",".join(map(str, _set_key(shingle_sets([t], k)[0]))) for t, w in zip(texts, wanted)], dtype=object)
+
+    # ids are compared before the join, texts travel once; only rows that share an id need their sets again
+    some = df.join(keep, F.col(id_col).cast("long") == F.col(name)).withColumn(mine, digest(F.col(text_col), F.col(want)))
+    some = some.where(F.col(want).isNull() | F.array_contains(want, F.col(mine))).drop(name, want).dropDuplicates([id_col, mine]).drop(mine)
     return some.unionByName(df.where(F.col(id_col).isNull()))

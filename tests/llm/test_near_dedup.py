@@ -87,3 +87,11 @@ def test_registers_merge_and_estimate():
     assert abs(est - 3000 / 5000) < 0.1
     small = N.registers([a[:70_000]], 8)
     assert (small == N.registers([a], 8)).all()
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark, docs_df):
+    r = random.Random(21)
+    a, b, c = (" ".join(str(r.randrange(10**6)) for _ in range(40)) for _ in range(3))
+    rows = [(3, a), (7, a), (7, b), (8, b), (9, c), (9, a + " end"), (9, c), (10, ""), (10, b)]
+    kept = sorted((x.doc_id, x.text) for x in N.keep_one(docs_df(rows), 5, 80).collect())
+    assert kept == sorted([(3, a), (7, b), (9, c), (10, "")])
