@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, near_dedup, passages, piece_codec, quality_gam, quality_rules, surrogates, token_orc, url_rules, warc
-from quarry.llm.common import prepare, table
+from quarry.llm import decontaminate, near_dedup, passages, periodic_runs, piece_codec, quality_gam, quality_rules, surrogates, token_orc, url_rules, warc
+from quarry.llm.common import prepare, table, words_column
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -165,6 +165,55 @@ def _warc(s: SparkSession, d: str) -> DataFrame:
     return warc.archive(table(s, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+# --- 12: periodic runs -----------------------------------------------------------------------
+@register("op12_periodic_runs", r"""
+WITH step AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+o AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w,
+        xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+            lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295) AS h FROM documents, step),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM o),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w
+      FROM (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a)),
+u AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM d),
+e AS (SELECT doc_id, s.i, t.i - s.i AS q FROM u s JOIN u t USING (doc_id, x) WHERE t.i > s.i AND 4 * (t.i - s.i) <= s.n),
+l AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k, i FROM e),
+r AS (SELECT doc_id, start, length, min(q) AS period
+      FROM (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM l GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q))
+      GROUP BY doc_id, start, length),
+x AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+        list({'s': start, 'l': length, 'p': period} ORDER BY CAST(length * 1000000000000000 // period AS HUGEINT) DESC, start, period)[1] AS best FROM r GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+c AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM u ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length,
+       CAST(best.p AS BIGINT) AS period, CAST(1000 * best.l // best.p AS BIGINT) AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN c USING (doc_id)
+""")
+def _periodic_runs(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").select("doc_id", "text")
+    # every tenth document is made periodic from a word of its own on
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("text", F.when(h % 10 == 0, _planted(words_column(F.col("text")), F.floor(h / 10))).otherwise(F.col("text")))
+    found = periodic_runs.add_runs(docs)
+    line = F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.start.alias("start"), best.length.alias("length"),
+        best.period.alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def _planted(words, g):
+    """The words joined by spaces, from word ``a = g % n`` on repeating the first of them with period 1 + (n - a) // (3 + g % 8)."""
+    n = F.nullif(F.size(words), F.lit(0)).cast("long")
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    one = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(one, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    return F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), again), " ")
+
+
 def queries() -> dict[str, Query]:
     def prepared(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
