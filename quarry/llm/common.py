@@ -49,6 +49,18 @@ def words_column(text):
     return F.array_remove(F.split(plain, " "), "")
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a tokenizer's file on this machine: a path as it is, a bare name in the package of public tokenizers.
+
+    Called in tasks, so that each executor finds its own copy of the package.
+    """
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def prepare(spark: SparkSession) -> None:
     """Called by every operator that runs Python on executors."""
     ship_package(spark)

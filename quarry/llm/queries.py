@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, near_dedup, passages, periodic_runs, piece_codec, quality_gam, quality_rules, surrogates, token_orc, url_rules, warc
-from quarry.llm.common import prepare, table, words_column
+from quarry.llm import (
+    decontaminate,
+    entropy_mix,
+    near_dedup,
+    passages,
+    periodic_runs,
+    piece_codec,
+    quality_gam,
+    quality_rules,
+    surrogates,
+    token_align,
+    token_orc,
+    url_rules,
+    warc,
+)
+from quarry.llm.common import materialise, prepare, table, words_column
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -165,6 +179,20 @@ def _warc(s: SparkSession, d: str) -> DataFrame:
     return warc.archive(table(s, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+# --- 11: cross-tokenizer alignment ------------------------------------------------------------
+@register("op11_token_align")
+def _token_align(s: SparkSession, d: str) -> DataFrame:
+    found = token_align.add_alignment(table(s, d, "documents").select("doc_id", "text"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+    sha = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("")
+    rows = materialise(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", "n_links",
+                                    sha.alias("groups_sha256"), "links"), "aligned")
+    scores = token_align.score(rows, materialise(token_align.link_counts(rows), "link-counts"), "row")
+    none = F.lit(0).cast("long")
+    return rows.drop("links").join(scores, "row", "left").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", none).alias("n_best"),
+        F.coalesce("count_sum", none).alias("count_sum"), "groups_sha256")
+
+
 # --- 12: periodic runs -----------------------------------------------------------------------
 @register("op12_periodic_runs", r"""
 WITH step AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], range(8)),
@@ -214,6 +242,13 @@ def _planted(words, g):
     return F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), again), " ")
 
 
+# --- 13: mixing sources -----------------------------------------------------------------------
+@register("op13_entropy_mix")
+def _entropy_mix(s: SparkSession, d: str) -> DataFrame:
+    found = entropy_mix.plan(table(s, d, "documents"), (5, 2, 1), 3)
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def queries() -> dict[str, Query]:
     def prepared(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
