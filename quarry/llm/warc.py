@@ -1,14 +1,18 @@
 """WARC archives with payload revisits, and a capture index merged from sorted runs.
 
-Writing: a record is ``header CRLF CRLF block CRLF CRLF``, so Spark's text sink with the record separator as
-line separator writes valid archives on any file system, with its commit protocol; each task's file is sorted
-by URL key and timestamp. Of equal payloads of at least ``least`` bytes the capture with the largest id is the
-response and the others are revisit records that refer to it. The decision joins ids and digests only; the
-payloads are shuffled once, by id, so neither a hot payload nor a hot URL gathers in one task.
-
-Reading: each file is one sorted run. Its records are parsed by their lengths, payload digests verified, and
-small index rows written. Index rows are range-partitioned by (URL key, timestamp, id), and every range merges
-its pieces of the runs with a loser tree, which yields globally ordered capture histories.
+Writing: every record is a gzip member of its own, so that it can be read alone from its place in the archive. Tasks
+compress their records, sorted by URL key and timestamp, and Spark's text sink writes the members with its commit
+protocol on any file system; its line separator is an empty gzip member, which leaves the archive a valid sequence of
+members. A member's header carries its place in its archive. Of equal payloads of at least ``least`` bytes the
+capture with the largest id is the response and the others are revisit records that refer to it. The decision
+joins ids and digests only; the payloads are shuffled once, by id, so neither a hot payload nor a hot URL gathers in
+one task.
+
+Reading: Spark's text source splits archives at the separators, so that they stream member by member and large ones
+are read by several tasks. Records are parsed by their lengths, payload digests verified, and small index rows with
+place and length written. Each archive is one sorted run. Index rows are range-partitioned by (URL key, timestamp, id),
+and every range merges its pieces of the runs with a loser tree, which yields globally ordered capture histories.
+``read_records`` fetches one record by its index row.
 
 Defined results: a NULL payload is empty; a NULL URL has an empty key and no target header; rows with a NULL
 id are never the response of others unless no id is known, and have no record id. Rows that repeat the largest
@@ -18,6 +22,8 @@ id are all responses. Control characters in a URL are written percent-encoded. E
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +38,11 @@ CRLF = "\r\n"
 #: Seconds of the first capture (2020-01-01T00:00:00Z) where the table has no time column.
 FIRST_CAPTURE = 1_577_836_800
 INDEX = ("url_key string, capture_ts string, page_id long, url string, record_type string, refers_to long, payload_bytes long, "
-         "payload_digest string, file string, position long, seq long")
+         "payload_digest string, file string, position long, length long")
+#: An empty gzip member stands between records: bytes that no UTF-8 text holds.
+SEPARATOR = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
+#: Header of a member with one extra field ("QP", 8 bytes): the member's place in its archive.
+_HEAD = "<2sBBIBBH2sHQ"
 
 
 def url_key(url: Column) -> Column:
@@ -45,7 +55,7 @@ def url_key(url: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                    time_col: str | None = None, least: int = 1000) -> None:
-    """Write one gzip-compressed archive per task below ``path``."""
+    """Write one archive per task below ``path``, a gzip member per record."""
     when = F.col(time_col) if time_col else F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
     clean = F.regexp_replace(F.col(url_col), "[\\x00-\\x1F\\x7F]", "%20")
     body = F.coalesce(F.col(html_col), F.lit(""))
@@ -76,9 +86,32 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         line("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         line("X-Url-Key", F.col("key")), line("X-Payload-Length", F.col("size").cast("string")),
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}"),
-        line("Content-Length", F.octet_length(block).cast("string")), F.lit(CRLF), block)
+        line("Content-Length", F.octet_length(block).cast("string")), F.lit(CRLF), block, F.lit(CRLF * 2))
     rows = rows.withColumn("key", url_key(F.col("url"))).sortWithinPartitions("key", "ts", "id")
-    rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    members = rows.select(record.alias("record")).mapInArrow(_members, "value binary")
+    (members.select(F.col("value").cast("string").alias("value")).write  # bytes as they are
+     .option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("iso-8859-1")).text(path))
+
+
+def member(record: bytes, position: int) -> bytes:
+    """``record`` as a gzip member that tells its place."""
+    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    head = struct.pack(_HEAD, b"\x1f\x8b", 8, 4, 0, 0, 255, 12, b"QP", 8, position)
+    return head + z.compress(record) + z.flush() + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = 0
+    for b in batches:
+        out, held = [], 0
+        for r in b.column(0):
+            out.append(member(r.as_py().encode(), at))
+            at += len(out[-1]) + len(SEPARATOR)
+            held += len(out[-1])
+            if held > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                out, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
 def parse_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -100,29 +133,56 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     prepare(spark)
     schema = pa.schema([("url_key", pa.string()), ("capture_ts", pa.string()), ("page_id", pa.int64()), ("url", pa.string()),
                         ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()),
-                        ("payload_digest", pa.string()), ("file", pa.string()), ("position", pa.int64()), ("seq", pa.int64())])
+                        ("payload_digest", pa.string()), ("file", pa.string()), ("position", pa.int64()), ("length", pa.int64())])
 
     def number(urn: str | None) -> int | None:
         return None if urn is None else int(urn.removeprefix("<urn:page:").removesuffix(">"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, content in zip(b.column(0), b.column(1)):
-                rows = []
-                for seq, (at, head, block) in enumerate(parse_records(zlib.decompress(content.as_py(), 31))):
+            rows = []
+            for file, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                raw = raw.as_py()
+                if not raw:  # behind the last separator
+                    continue
+                position = struct.unpack_from(_HEAD, raw)[-1]
+                for _, head, block in parse_records(zlib.decompress(raw, 31)):
                     payload = block[block.index(b"\r\n\r\n") + 4:]
                     digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
                     if head["WARC-Type"] == "response":
                         size = len(payload)
                         if hashlib.sha1(payload).hexdigest() != digest:
-                            raise ValueError(f"payload digest differs at byte {at} of {file.as_py()}")
+                            raise ValueError(f"payload digest differs at byte {position} of {file}")
                     rows.append((head["X-Url-Key"], head["WARC-Date"], number(head.get("WARC-Record-ID")), head.get("WARC-Target-URI"),
-                                 head["WARC-Type"], number(head.get("WARC-Refers-To")), size, digest, file.as_py(), at, seq))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                                 head["WARC-Type"], number(head.get("WARC-Refers-To")), size, digest, file, position, len(raw)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return _members_of(spark, path).mapInArrow(run, INDEX)
+
+
+def _members_of(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): the members of archives, as bytes."""
+    rows = spark.read.option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("iso-8859-1")).text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+
+
+def read_records(found: DataFrame) -> DataFrame:
+    """``found(file, position, length)`` with ``record``: each fetched alone, by its place, on executors that mount its archive."""
+    prepare(found.sparkSession)
+
+    @F.pandas_udf("binary")
+    def fetch(file, position, length):
+        import pandas as pd
+
+        out = []
+        for name, at, n in zip(file, position, length):
+            with open(re.sub("^file:(//)?", "", name), "rb") as f:
+                f.seek(at)
+                out.append(zlib.decompress(f.read(n), 31))
+        return pd.Series(out)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, INDEX)
+    return found.withColumn("record", fetch("file", "position", "length"))
 
 
 class LoserTree:
@@ -178,8 +238,8 @@ def merge_runs(index: DataFrame) -> DataFrame:
         t = pa.Table.from_batches(parts)
         keys = zip(t["url_key"].to_pylist(), t["capture_ts"].to_pylist(), ((x is not None, x or 0) for x in t["page_id"].to_pylist()))
         runs: dict[str, list[tuple]] = {}
-        for row, (key, file, seq) in enumerate(zip(keys, t["file"].to_pylist(), t["seq"].to_pylist())):
-            runs.setdefault(file, []).append((*key, seq, row))
+        for row, (key, file, at) in enumerate(zip(keys, t["file"].to_pylist(), t["position"].to_pylist())):
+            runs.setdefault(file, []).append((*key, at, row))
         for r in runs.values():  # a shuffle may hand over the blocks of a run in another order
             if any(a[3] > b[3] for a, b in zip(r, r[1:])):
                 r.sort(key=lambda x: x[3])

@@ -43,3 +43,22 @@ def test_loser_tree_against_heapq():
     for k in range(0, 12):
         runs = [sorted((r.randrange(9),) for _ in range(r.randrange(6))) for _ in range(k)]
         assert list(warc.LoserTree(runs)) == list(heapq.merge(*runs))
+
+
+def test_a_record_is_found_by_its_place(spark, tmp_path):
+    import gzip
+    import re
+
+    from quarry.llm.common import shared_path
+
+    rows = [(i, f"http://a{i % 7}.org/{i}", f"<p>{i} \r\n\r\n" + "é" * i * 7) for i in range(300)]
+    path = shared_path(spark, "w")
+    warc.write_archives(pages(spark, rows).repartition(3), path)
+    index = warc.read_index(spark, path)
+    for r in warc.read_records(index).collect():
+        record = bytes(r.record)
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and f"<urn:page:{r.page_id}>".encode() in record
+        assert rows[r.page_id][2].encode() in record
+    one = index.orderBy("page_id").first()
+    whole = gzip.decompress(open(re.sub("^file:(//)?", "", one.file), "rb").read())  # an archive is a sequence of gzip members
+    assert sum(1 for _ in warc.parse_records(whole)) == index.where(index.file == one.file).count()
