@@ -87,3 +87,52 @@ def test_formats_without_free_strings_settle(spark, docs_df):
     assert len(new) == len(originals)
     whole = S.replace_entities(docs_df(rows[len(names):]), KEY).collect()
     assert all((x.text == dict(rows)[x.doc_id]) == (x.doc_id >= len(names) + len(odd)) for x in whole)
+
+
+def test_people_keep_their_names_within_a_document():
+    text = "Dr John Smith met Mr Smith. Mr John Smith said Smith was late. Mrs Anna Smith. SMITH, said John and Peter Jones-Smith."
+    new, counts = S.replace_all(KEY, text, {})
+    words = lambda t: re.findall(r"[^\W\d_]+", t)
+    names = {"John", "Smith", "Anna", "Peter", "Jones"}
+    pairs = {(a, b) for a, b in zip(words(text), words(new)) if a.title() in names}
+    one = {(a.title(), b.title()) for a, b in pairs}
+    assert len(one) == len({a for a, _ in one}) == len({b for _, b in one}) == 5  # one surrogate per word, told apart
+    assert not {b for _, b in one} & {"Smith", "Jones", "John", "Anna"} and ("SMITH", dict(one)["Smith"].upper()) in pairs
+    assert [a for a, b in zip(words(text), words(new)) if a == b] == [w for w in words(text) if w.title() not in names]
+    genders = {n: g for (g, _), ns in S.GIVEN.items() for n in ns}
+    assert all(genders[dict(one)[n]] == genders[n] for n in ("John", "Anna", "Peter"))
+    assert counts[S.KINDS.index("name")] == 8
+    assert S.replace_all(KEY, "A smith met john. Peter street.", {})[0] == "A smith met john. Peter street."
+
+
+def test_every_listed_given_name_moves_inside_its_list():
+    for names in S.GIVEN.values():
+        assert sorted(S._given(KEY, n) for n in names) == sorted(names) and all(S._given(KEY, n) != n for n in names)
+
+
+def test_addresses_dates_and_documents_by_their_context():
+    import datetime
+    import ipaddress
+
+    text = ("mac 00:1B:44:11:3A:B7, 00-1b-44-11-3a-b7; hosts 2001:db8::1, 2001:0DB8:0000:0000:0000:0000:0000:0001 and ::1; born on 1980-02-29, "
+            "DOB: 3/4/1975, date of birth 12/31/1990, born 29.02.1804; passport no. X1234567; tel 5551234567, 020 7946 0958. At 12:30:45 on 2020-01-01, X1234567, 5551234567.")
+    new, counts = S.replace_all(KEY, text, {})
+    kinds = dict(zip(S.KINDS, counts))
+    assert (kinds["mac"], kinds["ip"], kinds["birth"], kinds["passport"], kinds["phone"]) == (2, 2, 4, 1, 2)
+    assert "At 12:30:45 on 2020-01-01, X1234567, 5551234567." in new
+    macs = re.findall(r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}", new)
+    assert macs[0].replace(":", "").lower() == macs[1].replace("-", "") and macs[0].startswith("00:1B:44") and macs[0] != "00:1B:44:11:3A:B7"
+    hosts = re.search(r"hosts (\S+), (\S+) and", new).groups()
+    assert ipaddress.IPv6Address(hosts[0]) == ipaddress.IPv6Address(hosts[1]) != ipaddress.IPv6Address("2001:db8::1")
+    datetime.date.fromisoformat(re.search(r"born on (\S+),", new)[1])
+    datetime.datetime.strptime(re.search(r"DOB: (\S+),", new)[1], "%d/%m/%Y")
+    datetime.datetime.strptime(re.search(r"birth (\S+),", new)[1], "%m/%d/%Y")
+    assert datetime.datetime.strptime(re.search(r"born (\d\S+);", new)[1], "%d.%m.%Y").year // 100 == 18
+    assert re.search(r"passport no. ([A-Z])\d{7};", new)[1] and re.search(r"tel \d{10}, 0\d\d \d{4} \d{4}\.", new)
+
+
+def test_columns_named_like_counts_are_replaced(spark, docs_df):
+    df = docs_df([(1, "Mr Smith, a@b.org"), (2, None)]).withColumnRenamed("n_words", "N_email")
+    out = S.replace_entities(df, KEY, counts=True)
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    assert sorted((r.doc_id, r.n_email, r.n_name) for r in out.collect()) == [(1, 1, 1), (2, 0, 0)]
