@@ -45,6 +45,34 @@ def centroids(chunks: DataFrame, group_cols: Sequence[str] = ("ws", "model"), ve
     )
 
 
+#: Parts whose vector sums are kept apart, so that a change refreshes one part of a workspace.
+PARTS = 64
+
+
+def part_of(path_col: str):
+    """The part that a path's sums belong to."""
+    return F.pmod(F.xxhash64(path_col), F.lit(PARTS)).cast("int")
+
+
+def vector_sums(chunks: DataFrame, group_cols: Sequence[str], vec_col: str = "vector",
+                order_cols: Sequence[str] = ("relpath", "chunk_index")) -> DataFrame:
+    """Statistics that can be added up: per group and width, sample, vector_sum and the first chunk in walk order."""
+    rel, idx = order_cols
+    rows = chunks.select(*group_cols, F.size(vec_col).alias("native_dim"), array_to_vector(F.col(vec_col)).alias("_v"),
+                         F.struct(walk_order_key(rel).alias("p"), F.col(idx).cast("int").alias("i")).alias("first")).where("native_dim > 0")
+    out = rows.groupBy(*group_cols, "native_dim").agg(F.count(F.lit(1)).alias("sample"), Summarizer.sum(F.col("_v")).alias("_s"), F.min("first").alias("first"))
+    return out.select(*group_cols, "native_dim", "sample", vector_to_array("_s").alias("vector_sum"), "first")
+
+
+def centroids_of(sums: DataFrame, group_cols: Sequence[str] = ("ws", "model")) -> DataFrame:
+    """:func:`centroids` from the rows of :func:`vector_sums`, whatever parts they were taken over."""
+    per_dim = sums.groupBy(*group_cols, "native_dim").agg(
+        F.sum("sample").alias("sample"), Summarizer.sum(array_to_vector("vector_sum")).alias("_s"), F.min("first").alias("first"))
+    picked = per_dim.groupBy(*group_cols).agg(F.min_by(F.struct("native_dim", "sample", vector_to_array("_s").alias("s")), "first").alias("_c"))
+    return picked.select(*group_cols, F.col("_c.native_dim").alias("native_dim"), F.col("_c.sample").alias("sample"),
+                         F.transform("_c.s", lambda x: x / F.col("_c.sample")).alias("centroid"))
+
+
 def column_mean(df: DataFrame, vec_col: str = "vector") -> DataFrame:
     """Element-wise mean of a vector column over all rows: one row ``(n, mean)``."""
     return df.select(array_to_vector(F.col(vec_col)).alias("_v")).agg(

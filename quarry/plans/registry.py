@@ -668,9 +668,16 @@ def _registered_fields(s: SparkSession, d: str) -> DataFrame:
     return clean_nodes(r).select("id", "name", "os", "cpu", F.array_join("labels", ",").alias("labels"))
 
 
+def _complete() -> None:
+    """Registers the queries of the module that builds on this one."""
+    from quarry.plans import index_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _complete()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _complete()
     return dict(ORACLES)

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from quarry.constants import MODEL_RECORD_PREFIX, TOPK_DEFAULT
 from quarry.functions.text import go_trim, model_slug, normalize_filter_list
-from quarry.operators import listing, reading, textsearch
+from quarry.operators import listing, reading, segments
 from quarry.operators.embedding import Embedder, embed
 from quarry.operators.knn import vector_search
 from quarry.operators.upsert import latest_per_key
 from quarry.sources.catalog import Catalog
+from quarry.sources.staging import written
 
 
 def _required(value: str | None, name: str) -> str:
@@ -48,12 +49,12 @@ def clean_nodes(registrations: DataFrame, order_col: str = "seq") -> DataFrame:
     return latest_per_key(rows, ["id"], ["_order"], ["name", "kind", "os", "cpu", "ram_gb", "labels"])
 
 
-def register_nodes(catalog: Catalog, registrations: DataFrame, order_col: str = "seq") -> int:
+def register_nodes(catalog: Catalog, registrations: DataFrame, order_col: str = "seq") -> None:
     """Upsert ``node`` rows (replace semantics), so re-registering without ``kind`` clears it."""
-    return catalog.upsert("node", clean_nodes(registrations, order_col), ["id"])
+    catalog.upsert("node", clean_nodes(registrations, order_col), ["id"])
 
 
-def register_workspaces(catalog: Catalog, registrations: DataFrame, order_col: str = "seq") -> int:
+def register_workspaces(catalog: Catalog, registrations: DataFrame, order_col: str = "seq") -> None:
     """Upsert ``workspace`` rows (path, node; VCS fields reset) and ``on_node`` edges."""
     from quarry.operators.edges import on_node
     r = registrations.select(
@@ -63,9 +64,9 @@ def register_workspaces(catalog: Catalog, registrations: DataFrame, order_col: s
     if bad:
         raise ValueError("a workspace needs an id, a path and a node")
     latest = latest_per_key(r, ["id"], [order_col], ["path", "node", "vcs", "rev", "content_sha"])
-    v = catalog.upsert("workspace", latest, ["id"])
+    latest = written(latest, "registrations")
+    catalog.upsert("workspace", latest, ["id"])
     catalog.replace_edges(on_node(latest).withColumn("ws", F.col("in_id")), ["on_node"])
-    return v
 
 
 # ------------------------------------------------------------------ listings
@@ -93,13 +94,16 @@ def find_file(catalog: Catalog, ws: str, query: str, match_type: str | None = No
 def search_text(catalog: Catalog, ws: str, query: str, case_sensitive: bool = False, limit: int | None = None,
                 max_file_bytes: int | None = None) -> DataFrame:
     ws = _required(ws, "workspaceId")
-    return textsearch.search_text(catalog.read("content"), query, case_sensitive, limit, max_file_bytes, ws=ws)
+    return segments.search_lines(catalog.read("content"), query, case_sensitive, limit, max_file_bytes, ws=ws)
 
 
 def search_file_text(catalog: Catalog, ws: str, relpath: str, query: str, case_sensitive: bool = False,
                      limit: int | None = None) -> DataFrame:
     ws, rel = _required(ws, "workspaceId"), _required(relpath, "relpath")
-    return textsearch.search_file_text(catalog.read("content"), query, rel, ws, case_sensitive, limit)
+    one = catalog.read("content").filter((F.col("ws") == ws) & (F.col("relpath") == rel))
+    if one.limit(1).count() == 0:
+        raise FileNotFoundError(f"file {rel} not found in workspace {ws}")
+    return segments.search_lines(one, query, case_sensitive, limit, ws=ws)
 
 
 def read_file(catalog: Catalog, ws: str, relpath: str, start: int, end: int, hex_mode: bool = False) -> DataFrame:

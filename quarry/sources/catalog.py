@@ -1,34 +1,39 @@
-"""Parquet tables on a shared file system, written in batches that never change.
+"""The catalogue: Parquet tables on a shared file system, partitioned by key and maintained by dynamic partition overwrite.
 
-A write goes to a new folder ``<root>/<table>/b=<n>`` and is then entered in ``<root>/<table>/log/<n>`` (its schema;
-Spark's ``_SUCCESS`` there makes the batch live). Nothing live is changed, so readers keep what they opened and a
-failed job changes nothing. Only a missing folder counts as a missing table; every other error is raised.
+A table is a folder ``<root>/<table>/by=<column>/of=<n>`` of Spark's own partitioned Parquet. Its partition columns are
+``ws`` and ``relation``, where the table has them, and ``bucket``, the hash of column ``by`` modulo ``n``; a new table gets
+``n`` from the catalogue and ``by`` from the declared bucket columns, the keys of its first upsert, or its first column.
+Reads drop the bookkeeping columns; filters on ``ws`` and ``relation`` prune folders.
 
-A table without a ``ws`` column is its last batch. A table with one keeps rows below ``ws=<id>`` in each batch, and a
-workspace's rows are those of the last batch that has its folder; a batch that empties a workspace has an empty
-folder for it. Replacing a workspace therefore writes that workspace only, and deleted rows go.
+Maintenance touches only the partitions that hold a key of the update: they are read, combined with it, and written with
+``partitionOverwriteMode=dynamic``, which stages the new files and then swaps the partitions. Partitions that end up
+without rows are deleted afterwards. A job that fails before the swap changes nothing; one that fails
+during it leaves partitions that are old or new and may be run again. Two writers of one partition are not arbitrated.
 
-Reads use the written schema: a workspace called ``007`` stays a string, and a filter on ``ws`` prunes folders.
+Declared tables (``schemas.SCHEMAS``) are read with their declared columns; others with the columns of their files, where
+``ws`` and ``relation`` are always text.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators import upsert as U
+from quarry.schemas import BUCKET_COLUMNS, SCHEMAS
 
 EDGES = "edge"
+_SCOPES = ("ws", "relation")
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
     # ---------------------------------------------------------------- folders
     def _path(self, name: str):
@@ -41,62 +46,89 @@ class Catalog:
         fs = self._fs()
         return [x.getPath().getName() for x in fs.listStatus(self._path(folder))] if fs.exists(self._path(folder)) else []
 
-    def _folder(self, ws: str) -> str:
-        utils = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        return f"ws={utils.getPartitionPathString('ws', ws).removeprefix('ws=')}"
+    def _partition(self, column: str, value: str) -> str:
+        return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(column, value)
 
-    def versions(self, table: str) -> list[int]:
-        """Live batches, ascending."""
-        fs, log = self._fs(), f"{self.root}/{table}/log"
-        return sorted(int(n) for n in self._names(log) if fs.exists(self._path(f"{log}/{n}/_SUCCESS")))
-
-    def current_version(self, table: str) -> int | None:
-        return max(self.versions(table), default=None)
+    def layout(self, table: str) -> tuple[str, int] | None:
+        """(bucket column, number of buckets) of a table, None if it does not exist."""
+        for by in self._names(f"{self.root}/{table}"):
+            for of in self._names(f"{self.root}/{table}/{by}"):
+                if by.startswith("by=") and of.startswith("of="):
+                    return by[3:], int(of[3:])
+        return None
 
     def exists(self, table: str) -> bool:
-        return self.current_version(table) is not None
+        return self.layout(table) is not None
+
+    def _folder(self, table: str, layout: tuple[str, int]) -> str:
+        return f"{self.root}/{table}/by={layout[0]}/of={layout[1]}"
+
+    def _files(self, folder: str) -> dict[str, frozenset[str]]:
+        """The innermost partition folders of ``folder``, each with the names of its files."""
+        names = self._names(folder)
+        inner = [n for n in names if "=" in n and not n.startswith((".", "_"))]
+        if not inner:
+            return {folder: frozenset(names)} if names else {}
+        return {k: v for n in inner for k, v in self._files(f"{folder}/{n}").items()}
 
     # ---------------------------------------------------------------- read and write
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        """The table as of its last batch, or as of batch ``version``."""
-        live = [v for v in self.versions(table) if version is None or v <= version]
-        if not live:
+    def read(self, table: str) -> DataFrame:
+        return self._read(table).drop("bucket")
+
+    def _read(self, table: str) -> DataFrame:
+        """The table with its ``bucket`` column."""
+        layout = self.layout(table)
+        if layout is None:
             raise KeyError(f"table {table} does not exist")
-        base = f"{self.root}/{table}"
-        entry = self.spark.read.text(f"{base}/log/{live[-1]}").first()[0]
-        schema = T.StructType.fromJson(json.loads(entry))
-        if "ws" not in schema.names:
-            return self.spark.read.schema(schema).parquet(f"{base}/b={live[-1]}")
-        last: dict[str, int] = {}
-        for v in live:
-            last |= {n: v for n in self._names(f"{base}/b={v}") if n.startswith("ws=")}
-        paths = [f"{base}/b={v}/{n}" for n, v in sorted(last.items()) if self._names(f"{base}/b={v}/{n}")]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        full = T.StructType([*schema.fields, T.StructField("b", T.IntegerType())])
-        return self.spark.read.schema(full).option("basePath", base).parquet(*paths).select(*schema.names)
-
-    def write(self, table: str, df: DataFrame, workspaces: Sequence[str] = ()) -> int:
-        """A new batch; returns its number.
-
-        It replaces the whole table, or, with a ``ws`` column, the workspaces in ``df`` and in ``workspaces``.
-        """
-        by_ws = "ws" in df.columns
-        names = [c for c in df.columns if c != "ws"] + (["ws"] if by_ws else [])
-        if by_ws:
-            df = df.withColumn("ws", F.col("ws").cast("string"))
-        # past every folder that any writer has begun, so that no two batches share one
-        begun = [int(n[2:]) for n in self._names(f"{self.root}/{table}") if n.startswith("b=")]
-        v = max([0, *begun, *self.versions(table)]) + 1
-        path = f"{self.root}/{table}/b={v}"
-        w = df.select(*names).write.mode("errorifexists")
-        (w.partitionBy("ws") if by_ws else w).parquet(path)
-        for ws in workspaces:
-            self._fs().mkdirs(self._path(f"{path}/{self._folder(ws)}"))
-        fields = [{**json.loads(df.schema[c].json()), "nullable": True} for c in names]
-        entry = self.spark.createDataFrame([(json.dumps({"type": "struct", "fields": fields}),)], "value string")
-        entry.coalesce(1).write.mode("errorifexists").text(f"{self.root}/{table}/log/{v}")
-        return v
+        folder = self._folder(table, layout)
+        if table in SCHEMAS:
+            fields = T.StructType.fromDDL(SCHEMAS[table]).fields
+        else:
+            fields = [f for f in self.spark.read.option("mergeSchema", "true").parquet(folder).schema.fields if f.name != "bucket"]
+        fields = [T.StructField(f.name, T.StringType() if f.name in _SCOPES else f.dataType) for f in fields]
+        return self.spark.read.schema(T.StructType([*fields, T.StructField("bucket", T.IntegerType())])).parquet(folder)
+
+    def bucket(self, table: str) -> Column:
+        """The bucket of a row of ``table``, as an expression over its bucket column."""
+        by, of = self.layout(table) or (BUCKET_COLUMNS[table], self.buckets)
+        return F.pmod(F.xxhash64(F.col(by).cast("string")), F.lit(of)).cast("int")
+
+    def _bucketed(self, df: DataFrame, layout: tuple[str, int]) -> DataFrame:
+        for c in _SCOPES:
+            if c in df.columns:
+                df = df.withColumn(c, F.col(c).cast("string"))
+        return df.withColumn("bucket", F.pmod(F.xxhash64(F.col(layout[0]).cast("string")), F.lit(layout[1])).cast("int"))
+
+    def _new_layout(self, table: str, df: DataFrame, keys: Sequence[str] = ()) -> tuple[str, int]:
+        plain = [c for c in (*keys, *df.columns) if c not in _SCOPES]
+        return BUCKET_COLUMNS.get(table) or plain[0], self.buckets
+
+    def _save(self, table: str, df: DataFrame, layout: tuple[str, int], mode: str = "dynamic", dealt: bool = False) -> None:
+        """Write rows with their buckets; unless ``dealt`` out already, rows of one partition meet first (large ones in parts)."""
+        parts = [*(c for c in _SCOPES if c in df.columns), "bucket"]
+        out = df if dealt else df.hint("rebalance", *parts)
+        (out.write.mode("append" if mode == "append" else "overwrite").option("partitionOverwriteMode", "static" if mode == "static" else "dynamic")
+         .partitionBy(*parts).parquet(self._folder(table, layout)))
+
+    def _swap(self, table: str, df: DataFrame, layout: tuple[str, int], within: Iterable[str], dealt: bool = False) -> None:
+        """Overwrite the partitions of ``df``; those of the folders ``within`` that got no rows are deleted."""
+        folders = [f"{self._folder(table, layout)}/{name}" for name in within]
+        before = {k: v for f in folders for k, v in self._files(f).items()}
+        self._save(table, df, layout, dealt=dealt)
+        after = {k: v for f in folders for k, v in self._files(f).items()}
+        for path, files in before.items():
+            if after.get(path) == files:
+                self._fs().delete(self._path(path), True)
+
+    def write(self, table: str, df: DataFrame, keys: Sequence[str] = ()) -> None:
+        """Replace the whole table (``df`` must not read it)."""
+        layout = self.layout(table) or self._new_layout(table, df, keys)
+        self._save(table, self._bucketed(df, layout), layout, "static")
+
+    def append(self, table: str, df: DataFrame) -> None:
+        """Add rows: new files beside the others."""
+        layout = self.layout(table) or self._new_layout(table, df)
+        self._save(table, self._bucketed(df, layout), layout, "append", dealt=True)
 
     def sql(self, query: str, tables: Sequence[str], **args) -> DataFrame:
         """Run a parameterised query (``:name`` markers bound from ``args``) over catalog tables."""
@@ -105,32 +137,71 @@ class Catalog:
         return self.spark.sql(query, args=args or None)
 
     # ---------------------------------------------------------------- keyed maintenance
-    def upsert(self, table: str, updates: DataFrame, keys: Sequence[str], order_cols: Sequence[str] | None = None) -> int:
+    def _touched(self, table: str, updates: DataFrame, keys: Sequence[str], layout: tuple[str, int]) -> tuple[DataFrame, set[str]]:
+        """The stored rows of the partitions that ``updates`` has keys for, and the names of those partitions."""
+        if layout[0] not in keys:
+            raise ValueError(f"table {table} is bucketed by {layout[0]}, which is no key of this update")
+        scopes = [c for c in _SCOPES if c in updates.columns]
+        stored = self._read(table)
+        # at most one row per partition of the table
+        hit = self._bucketed(updates, layout).select(*scopes, "bucket").distinct().collect()
+        names = {"/".join(self._partition(c, str(r[c])) for c in (*scopes, "bucket")) for r in hit}
+        if not scopes:
+            rows = stored.where(F.col("bucket").isin([r.bucket for r in hit]))
+        else:
+            pairs = self.spark.createDataFrame(hit, stored.select(*scopes, "bucket").schema) if hit else stored.select(*scopes, "bucket").limit(0)
+            rows = stored.join(F.broadcast(pairs), [*scopes, "bucket"], "left_semi")
+        return rows.drop("bucket"), names
+
+    def _change(self, table: str, updates: DataFrame, keys: Sequence[str], combine: Callable[[DataFrame], DataFrame], first: DataFrame,
+                dealt: bool = False) -> None:
+        layout = self.layout(table)
+        if layout is None:
+            layout = self._new_layout(table, first, keys)
+            self._save(table, self._bucketed(first, layout), layout, "static", dealt)
+            return
+        rows, within = self._touched(table, updates, keys, layout)
+        self._swap(table, self._bucketed(combine(rows), layout), layout, within, dealt)
+
+    def upsert(self, table: str, updates: DataFrame, keys: Sequence[str], order_cols: Sequence[str] | None = None) -> None:
         """Insert or replace whole rows by key (the newest update per key wins)."""
-        if not self.exists(table):
-            return self.write(table, U.newest(updates, keys, order_cols))
-        return self.write(table, U.upsert_table(self.read(table), updates, keys, order_cols))
+        self._change(table, updates, keys, lambda rows: U.upsert_table(rows, updates, keys, order_cols), U.newest(updates, keys, order_cols))
 
     def merge(self, table: str, updates: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
-              fields: Sequence[str] | None = None) -> int:
+              fields: Sequence[str] | None = None) -> None:
         """Update only the supplied (non-NULL) fields; insert new keys."""
-        if not self.exists(table):
-            return self.write(table, U.merged_per_key(updates, keys, order_cols, fields))
-        return self.write(table, U.merge_table(self.read(table), updates, keys, order_cols, fields))
+        self._change(table, updates, keys, lambda rows: U.merge_table(rows, updates, keys, order_cols, fields),
+                     U.merged_per_key(updates, keys, order_cols, fields))
 
-    def replace_workspace(self, table: str, ws: str, rows: DataFrame) -> int:
-        """Replace every row of one workspace, also when ``rows`` has none for it."""
-        return self.write(table, rows.filter(F.col("ws") == ws), [ws])
+    def replace_keys(self, table: str, rows: DataFrame, keys: DataFrame, dealt: bool = False) -> None:
+        """Delete the rows that have one of ``keys`` (all its columns equal) and add ``rows``; other partitions stay untouched.
+
+        Every key of ``rows`` should be in ``keys``, whose columns must include the bucket column and the table's scopes.
+        ``dealt``: ``rows`` are dealt out by :meth:`bucket`, and need not be moved.
+        """
+        names = keys.columns
+        self._change(table, keys, names, lambda old: old.join(keys.distinct(), names, "left_anti").unionByName(rows, allowMissingColumns=True), rows, dealt)
 
-    def replace_edges(self, edges: DataFrame, relations: Sequence[str], workspaces: Sequence[str] = ()) -> int:
+    def replace_workspace(self, table: str, ws: str, rows: DataFrame) -> None:
+        """Replace every row of one workspace, also when ``rows`` has none for it."""
+        rows = rows.filter(F.col("ws") == ws)
+        layout = self.layout(table)
+        if layout is None:
+            self.write(table, rows)
+            return
+        self._swap(table, self._bucketed(rows, layout), layout, [self._partition("ws", ws)])
+
+    def replace_edges(self, edges: DataFrame, relations: Sequence[str], workspaces: Sequence[str] = ()) -> None:
         """Replace ``relations`` in the workspaces of ``edges(relation, in_id, out_id, ws)`` and in ``workspaces``."""
         rows = edges.select("relation", "in_id", "out_id", "ws").distinct()
-        if self.exists(EDGES):
-            named = rows.select("ws").union(self.spark.createDataFrame([(w,) for w in workspaces], "ws string")).distinct()
-            kept = self.read(EDGES).filter(~F.col("relation").isin(*relations)).join(named, "ws", "left_semi")
-            rows = rows.unionByName(kept)
-        return self.write(EDGES, rows, workspaces)
-
-    def set_edges(self, ws: str, edges: DataFrame, relations: Sequence[str]) -> int:
+        layout = self.layout(EDGES)
+        if layout is None:
+            self.write(EDGES, rows)
+            return
+        named = {r.ws for r in rows.select("ws").distinct().collect()} | set(workspaces)
+        within = [f"{self._partition('ws', w)}/{self._partition('relation', r)}" for w in sorted(named) for r in relations]
+        self._swap(EDGES, self._bucketed(rows, layout), layout, within)
+
+    def set_edges(self, ws: str, edges: DataFrame, relations: Sequence[str]) -> None:
         """The edges of one workspace for ``relations``, without duplicates; a relation without edges is emptied."""
-        return self.replace_edges(U.distinct_edges(edges).withColumn("ws", F.lit(ws)), relations, [ws])
+        self.replace_edges(U.distinct_edges(edges).withColumn("ws", F.lit(ws)), relations, [ws])
