@@ -1,6 +1,7 @@
 """Exact KNN: single query, per-group, batch (mapInArrow) against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import knn
@@ -21,9 +22,12 @@ def _brute(vecs, ids, q, k):
     return out
 
 
-def test_batch_knn_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(knn, "TILE_VALUES", 160)
-    monkeypatch.setattr(knn, "BLOCK_SCORES", 5000)
+@pytest.mark.parametrize("sent", [0, 1 << 24])
+@pytest.mark.parametrize("pool", [20, 500_000])
+def test_batch_knn_matches_brute_force(spark, monkeypatch, sent, pool):
+    monkeypatch.setattr(knn, "BLOCK_VALUES", 160)
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", sent)
+    monkeypatch.setattr(knn, "POOL_ROWS", pool)
     rng = np.random.default_rng(7)
     n, d, nq, k = 3000, 16, 25, 7
     vecs = rng.normal(size=(n, d)).astype(np.float32)
@@ -79,3 +83,15 @@ def test_equal_vectors_and_mixed_widths(spark):
     assert all(sorted(got[j]) == [(i + 1, f"c{i:05d}") for i in range(5)] for j in range(50))
     plan = batch_knn(same, q, 5)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_queries_do_not_pass_the_driver_and_chunks_are_scanned_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    spark.range(500).select(F.col("id").cast("string").alias("id"), F.array(*[F.rand(i) for i in range(4)]).alias("vector")).write.parquet(f"{tmp_path}/c")
+    q = spark.range(40).select(F.col("id").alias("query_id"), F.array(*[F.rand(9 + i) for i in range(4)]).alias("query_vector"))
+    for name in ("toLocalIterator", "collect", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, lambda self: pytest.fail("rows came to the driver"))
+    monkeypatch.setattr(knn, "BLOCK_VALUES", 16)  # ten tiles
+    plan = batch_knn(spark.read.parquet(f"{tmp_path}/c"), q, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/c") == 1 and "WindowGroupLimit" in plan
