@@ -7,8 +7,8 @@ preserved, with the count and the vector width checked per batch.
 :class:`HashEmbedder` is the default, deterministic model stand-in: each word
 (maximal run of non-blank characters) adds a signed one-hot vector chosen by the
 word's SHA-256, and the sum is L2-normalised. :func:`hash_embed_column` is the
-same function split between the JVM (per-word SHA-256) and one vectorised
-bincount per Arrow batch.
+same function over Arrow batches: each distinct word is hashed once, and one
+vectorised bincount makes a batch's vectors.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,39 +77,55 @@ class HashEmbedder:
         return out.astype(np.float32)
 
 
-def hash_features(text, dim: int = 64) -> Column:
-    """Per word, ``(bucket + 1) * sign`` as ``array<int>``, computed in the JVM (SHA-256 per word)."""
-    text = F.col(text) if isinstance(text, str) else text
-    words = F.regexp_extract_all(text, F.lit(WORD_PATTERN), 0)
-    digests = F.transform(words, lambda w: F.sha2(w, 256))
-    return F.transform(
-        digests,
-        lambda h: ((F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim) + 1).cast("int")
-        * F.when(F.substring(h, 9, 1) < "8", F.lit(1)).otherwise(F.lit(-1)),
-    )
+#: Words whose features a worker remembers; the table is emptied when full.
+CACHE_WORDS = 500_000
 
 
-def _bincount_udf(dim: int):
-    @F.arrow_udf(T.ArrayType(T.FloatType(), containsNull=False))
-    def _vectors(feats: pa.Array) -> pa.Array:
-        n = len(feats)
-        lens = pc.fill_null(pc.list_value_length(feats), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        vals = feats.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-        counts = np.bincount(rows * dim + (np.abs(vals) - 1), weights=np.sign(vals).astype(np.float64),
-                             minlength=n * dim).astype(np.float64).reshape(n, dim)
-        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-        np.divide(counts, norms, out=counts, where=norms > 0)
-        offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.float32).ravel(), type=pa.float32()))
+class _Features(dict):
+    """Word -> ``(bucket + 1) * sign``, computed when first asked for."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        h = hashlib.sha256(word.encode("utf-8", "surrogatepass")).digest()
+        f = int.from_bytes(h[:4], "big") % self.dim + 1
+        self[word] = f if h[4] < 128 else -f
+        return self[word]
+
 
-    return _vectors
+_FEATURES: dict[int, _Features] = {}
+
+
+def hash_vectors(texts: Sequence[str | None], dim: int) -> np.ndarray:
+    """:class:`HashEmbedder` for a batch: each distinct word is hashed once, counts are one ``bincount``."""
+    known = _FEATURES.setdefault(dim, _Features(dim))
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    counts = np.zeros((len(texts), dim))
+    step = max(1, (1 << 20) // dim)
+    for lo in range(0, len(texts), step):
+        words = [(t or "").replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") for t in texts[lo:lo + step]]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        value = np.fromiter((known[w] if w else 0 for part in words for w in part), np.int64, int(size.sum()))
+        at = np.repeat(np.arange(len(words)) * dim, size) + np.abs(value) - 1
+        use = value != 0
+        counts[lo:lo + step] = np.bincount(at[use], np.sign(value[use]).astype(np.float64), len(words) * dim).reshape(-1, dim)
+    norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    np.divide(counts, norms, out=counts, where=norms > 0)
+    return counts.astype(np.float32)
 
 
 def hash_embed_column(text, dim: int = 64) -> Column:
-    """:class:`HashEmbedder` as a column: JVM word hashing + one vectorised bincount per Arrow batch."""
+    """:class:`HashEmbedder` as a column: one Arrow batch function, no row-at-a-time Python call."""
+    @F.arrow_udf(T.ArrayType(T.FloatType(), containsNull=False))
+    def _vectors(texts: pa.Array) -> pa.Array:
+        out = hash_vectors(texts.to_pylist(), dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim, dtype=np.int32)), pa.array(out.ravel(), type=pa.float32()))
+
     # non-deterministic: keeps the optimizer from copying the UDF into every consumer of its result
-    return _bincount_udf(dim).asNondeterministic()(hash_features(text, dim))
+    return _vectors.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
 def embed_column(text: Column | str, embedder: Embedder, batch_size: int = EMBED_BATCH_SIZE) -> Column:
