@@ -27,6 +27,8 @@ from quarry.llm.common import materialise, prepare, table, words_column
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Files of the package of public tokenizers; each executor finds its own copy.
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def register(name: str, sql: str | None = None):
@@ -90,12 +92,9 @@ def _decontaminate(s: SparkSession, d: str) -> DataFrame:
 
 
 # --- 3: token ids in ORC ---------------------------------------------------------------------
-TOKENIZERS = "/opt/tokenizers"
-
-
 @register("op3_token_orc")
 def _token_orc(s: SparkSession, d: str) -> DataFrame:
-    return token_orc.write_and_index(table(s, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", 2)
+    return token_orc.write_and_index(table(s, d, "documents"), BYTE_BPE, 2)
 
 
 # --- 4: near duplicates ----------------------------------------------------------------------
@@ -148,7 +147,7 @@ def _url_rules(s: SparkSession, d: str) -> DataFrame:
 # --- 7: SentencePiece -------------------------------------------------------------------------
 @register("op7_sentencepiece")
 def _sentencepiece(s: SparkSession, d: str) -> DataFrame:
-    found = piece_codec.encode(table(s, d, "documents").select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    found = piece_codec.encode(table(s, d, "documents").select("doc_id", "text"), PIECE_BPE)
     return found.select("doc_id", "n_tokens", "ids_crc32", "round_trip")
 
 
@@ -182,7 +181,7 @@ def _warc(s: SparkSession, d: str) -> DataFrame:
 # --- 11: cross-tokenizer alignment ------------------------------------------------------------
 @register("op11_token_align")
 def _token_align(s: SparkSession, d: str) -> DataFrame:
-    found = token_align.add_alignment(table(s, d, "documents").select("doc_id", "text"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+    found = token_align.add_alignment(table(s, d, "documents"), BYTE_BPE, PIECE_BPE, keep=["doc_id"])
     sha = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("")
     rows = materialise(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", "n_links",
                                     sha.alias("groups_sha256"), "links"), "aligned")

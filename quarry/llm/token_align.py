@@ -20,18 +20,23 @@ named like a result (in any case). Memory grows with ``SLICE_CHARS`` or the long
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from quarry.llm.common import free_name, prepare, tokenizer_file
-from quarry.llm.token_orc import ChunkEncoder, _Numbers, slices
+from quarry.llm.common import prepare, tokenizer_file
+from quarry.llm.shingles import mix
+from quarry.llm.token_orc import ChunkEncoder, _Numbers, ranges
 
 #: Distinct windows, and words of tokenizer A, remembered per worker; characters encoded at once.
-CACHE_WINDOWS, CACHE_CHUNKS, SLICE_CHARS = 250_000, 250_000, 2_000_000
+CACHE_WINDOWS, CACHE_CHUNKS, SLICE_CHARS = 300_000, 300_000, 1_000_000
 #: A table of counts of at most this many id pairs (24 bytes each) is broadcast; a larger one is joined by key.
 BROADCAST_PAIRS = 1_000_000
 
@@ -67,6 +72,19 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def _digests(ids: np.ndarray, begin: np.ndarray, end: np.ndarray, side: int) -> np.ndarray:
+    """A 64-bit hash of each window's ids (windows follow each other without gaps and are not empty)."""
+    place = np.arange(len(ids)) - np.repeat(begin, end - begin)
+    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(side)
+    return np.add.reduceat(mix(h), begin) if len(begin) else np.empty(0, np.uint64)
+
+
+def _equal(ids: np.ndarray, begin: np.ndarray, end: np.ndarray, like: np.ndarray) -> bool:
+    """Whether every window has the ids of window ``like``."""
+    size = end - begin
+    return bool((size == size[like]).all()) and bool((ids == ids[_spread(begin[like], size)]).all())
+
+
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -164,15 +182,21 @@ class Aligner:
     def _number(self, ids_a: np.ndarray, ids_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The remembered number of every window; new ones are aligned."""
         end_a, end_b = np.append(at_a[1:], len(ids_a)), np.append(at_b[1:], len(ids_b))
-        raw_a, raw_b = ids_a.astype("<u4").tobytes(), ids_b.astype("<u4").tobytes()
+        # equal windows of the slice are found by hash and compared; each distinct one is looked up once
+        code = _digests(ids_a, at_a, end_a, 1) + _digests(ids_b, at_b, end_b, 2)
+        _, first, same = np.unique(code, return_index=True, return_inverse=True)
+        if not (_equal(ids_a, at_a, end_a, first[same]) and _equal(ids_b, at_b, end_b, first[same])):
+            first = same = np.arange(len(at_a))
         ask, known = self.seen.__getitem__, len(self.seen)
-        keys = (raw_a[p:q] + _GAP + raw_b[r:s] for p, q, r, s in zip((4 * at_a).tolist(), (4 * end_a).tolist(), (4 * at_b).tolist(), (4 * end_b).tolist()))
-        number = np.fromiter(map(ask, keys), np.int64, len(at_a))
+        raw_a, raw_b = ids_a.astype("<u4").tobytes(), ids_b.astype("<u4").tobytes()
+        places = zip(*((4 * x[first]).tolist() for x in (at_a, end_a, at_b, end_b)))
+        keys = [raw_a[p:q] + _GAP + raw_b[r:s] for p, q, r, s in places]
+        number = np.fromiter(map(ask, keys), np.int64, len(keys))
         if len(self.seen) > known:
             _, where = np.unique(number, return_index=True)
-            where = where[number[where] >= known]
+            where = first[where[number[where] >= known]]
             self._learn(ids_a, at_a[where], end_a[where], ids_b, at_b[where], end_b[where])
-        return number, per_text
+        return number[same], per_text
 
     def _learn(self, ids_a, at_a, end_a, ids_b, at_b, end_b) -> None:
         """Align new windows: common ends of their tokens, groups and links."""
@@ -207,32 +231,37 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 NAMES = ("n_a", "n_b", "n_groups", "n_links", "groups", "links")
 
 
-def add_alignment(df: DataFrame, tokenizer_a: str, tokenizer_b: str, text_col: str = "text") -> DataFrame:
+def add_alignment(df: DataFrame, tokenizer_a: str, tokenizer_b: str, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` with n_a, n_b, n_groups, n_links, groups and links (distinct id pairs and how often they are linked).
 
-    ``tokenizer_a`` and ``tokenizer_b`` are files (see ``common.tokenizer_file``); ``pair`` is ``a << 32 | b``.
+    ``tokenizer_a`` and ``tokenizer_b`` are files (see ``common.tokenizer_file``); ``pair`` is ``a << 32 | b``. ``keep`` names
+    the columns to pass on (default: all). Results leave the worker slice by slice, so one batch of texts never has all
+    its groups in memory.
     """
     prepare(df.sparkSession)
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in NAMES]
+    schema = StructType([df.schema[c] for c in kept] + StructType.fromDDL(
+        "n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<pair: long, times: int>>").fields)
+    arrow = to_arrow_schema(schema)
 
-    @F.arrow_udf("n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<pair: long, times: int>>")
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(tokenizer_file(tokenizer_a), tokenizer_file(tokenizer_b))
         wide = len(tool.side_b.size)
-        values = [t or "" for t in texts.to_pylist()]
-        rows = []
-        for lo, hi in slices(values, SLICE_CHARS):
-            rows += tool.align(values[lo:hi])
-        numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-        end = np.cumsum([0, *(len(r[4]) for r in rows)])
-        none = [np.empty(0, np.int64)]
-        codes, times = np.concatenate(none + [r[4] for r in rows]), np.concatenate(none + [r[5] for r in rows])
-        items = pa.StructArray.from_arrays([pa.array((codes // wide << 32) | codes % wide), pa.array(times.astype(np.int32))], ["pair", "times"])
-        links = pa.ListArray.from_arrays(pa.array(end.astype(np.int32)), items)
-        return pa.StructArray.from_arrays([*numbers, numbers[2], pa.array([r[3] for r in rows], pa.string()), links], list(NAMES))
-
-    tmp = free_name(df, "__aligned")
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in NAMES]
-    return df.withColumn(tmp, run(F.col(f"`{text_col}`"))).select(*kept, *[F.col(tmp)[n].alias(n) for n in NAMES])
+        for b in batches:
+            texts = b.column(0)
+            sizes = [n or 0 for n in pc.utf8_length(texts).to_pylist()]
+            for lo, hi in ranges(sizes, SLICE_CHARS):
+                rows = tool.align([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+                numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+                end = np.cumsum([0, *(len(r[4]) for r in rows)])
+                codes, times = np.concatenate([r[4] for r in rows]), np.concatenate([r[5] for r in rows])
+                items = pa.StructArray.from_arrays([pa.array((codes // wide << 32) | codes % wide), pa.array(times.astype(np.int32))], ["pair", "times"])
+                links = pa.ListArray.from_arrays(pa.array(end.astype(np.int32)), items)
+                found = [*numbers, numbers[2], pa.array([r[3] for r in rows], pa.string()), links]
+                cols = [c.slice(lo, hi - lo) for c in b.columns[1:]] + found
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    return df.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:

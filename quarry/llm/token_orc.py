@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import prepare, shared_path
+from quarry.llm.common import prepare, shared_path, tokenizer_file
 
 #: Distinct chunks remembered per Python worker (about 200 bytes each); the table is emptied when full.
 CACHE_CHUNKS = 700_000
@@ -132,21 +132,25 @@ class ChunkEncoder:
 
 def encoder(path: str) -> ChunkEncoder:
     if path not in _STATE:
-        _STATE[path] = ChunkEncoder(path)
+        _STATE[path] = ChunkEncoder(tokenizer_file(path))
     return _STATE[path]
 
 
 def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges of at most ``limit`` characters (a single longer text is its own range)."""
+    return ranges([len(t) if t else 0 for t in texts], limit)
+
+
+def ranges(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive index ranges whose sizes sum up to at most ``limit`` (a single larger one is its own range)."""
     begin = size = 0
-    for k, t in enumerate(texts):
-        n = len(t) if t else 0
+    for k, n in enumerate(sizes):
         if size + n > limit and k > begin:
             yield begin, k
             begin, size = k, 0
         size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",

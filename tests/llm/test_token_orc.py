@@ -1,13 +1,11 @@
-import os
 import zlib
 
 import numpy as np
-import pytest
 
 from quarry.llm import token_orc
+from quarry.llm.common import tokenizer_file
 
-BPE = "/opt/tokenizers/byte_bpe_50k.json"
-pytestmark = pytest.mark.skipif(not os.path.exists(BPE), reason="public tokenizer files not present")
+BPE = tokenizer_file("byte_bpe_50k.json")
 TEXTS = ["", None, "a", " a", "a ", "a  b", "a \n b", "x\ty  z\n\n w", " ", "\n", "it's we'll  don't", "é漢字🙂 x",
          "a  b  c", "word " * 5000, "<|endoftext|> x", "a b c", "a b c"]
 
