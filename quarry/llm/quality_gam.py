@@ -179,19 +179,20 @@ def _text_features(text_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
           max_rows: int = 20_000, **options) -> Model:
-    """A model from at most ``max_rows`` labelled rows."""
+    """A model from at most ``max_rows`` labelled rows. An id with several texts counts once, by the smallest of them."""
     prepare(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)  # at most max_rows pairs of numbers
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(known), "__id")
-    got = rows.select("__id", "__y", _text_features("__text").alias("__x")).dropDuplicates(["__id"]).collect()
+    one = rows.groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
+    got = one.select("__id", "__y", _text_features("__text").alias("__x")).collect()
     got.sort(key=lambda r: r["__id"])
     x = np.array([r["__x"] for r in got]).reshape(-1, len(FEATURES))
     return fit(x, np.array([float(r["__y"]) for r in got]), **options)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1."""
+    """``docs`` with the probability of label 1; a column that is named ``out_col`` (in any case) is replaced."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few lookup tables
 

@@ -46,3 +46,30 @@ def test_without_both_labels(spark, docs_df, labels):
     docs = docs_df([(i, f"text {i}") for i in range(20)])
     m = G.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
     assert all(x.score == pytest.approx((len(labels) + 1) / (len(labels) + 2)) for x in G.score(docs, m).collect())
+
+
+def test_scores_are_sums_of_table_entries_on_real_texts(spark, docs_df):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("aeioubcdfglmnprst") for _ in range(r.randrange(2, 9)))
+    rows = [(i, " ".join(word() + ("!" if i % 3 == 0 else "") for _ in range(r.randrange(1, 120)))) for i in range(200)]
+    rows += [(300, None), (301, ""), (302, "w" * 200_000), (303, "word " * 40_000)]
+    m = G.train(docs_df(rows), spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(200)], "doc_id long, quality int"), rounds=20, pair_rounds=10)
+    x = G.features([t for _, t in rows])
+    df = docs_df(rows).withColumnRenamed("n_words", "Score")
+    got = {g.doc_id: g.score for g in G.score(df, m).collect()}
+    for (i, _), v in zip(rows, x.tolist()):
+        total = m.base
+        for f, (cuts, table) in enumerate(zip(m.cuts, m.tables)):
+            total += table[sum(c <= v[f] for c in cuts)]
+        for (a, b), (ca, cb, table) in m.pairs.items():
+            total += table[sum(c <= v[a] for c in ca), sum(c <= v[b] for c in cb)]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_repeated_ids_give_one_model(spark, docs_df):
+    r = random.Random(3)
+    rows = [(i % 60, " ".join(r.choice(["good", "bad", "x", "yy"]) for _ in range(r.randrange(5, 90)))) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    models = [G.train(docs_df(x).repartition(n), labels, rounds=10, pair_rounds=5) for x, n in ((rows, 1), (rows[::-1], 5))]
+    x = G.features([t for _, t in rows])
+    assert np.array_equal(models[0].score(x), models[1].score(x))
