@@ -1,12 +1,12 @@
-"""Text search over a trigram posting table.
+"""Text search over a posting table of character n-grams.
 
-``build`` writes one row per distinct trigram of a file's folded text, sorted by trigram, so that a lookup reads only
-the row groups that hold it, and how many files hold each trigram. ``search`` takes the rarest trigrams of each
-needle, meets their postings, and looks for the needle's lines only in the files that hold all of them.
-Candidates are a superset (texts and needles are folded alike, the two small sigmas are one); lines are verified
-exactly, so results equal ``textsearch.search_text``. Needles of fewer than three characters are looked for in every file.
+``build`` writes one row per distinct gram (one to three characters) of a file's folded text, sorted by gram, so that a
+lookup reads only the row groups that hold it, and how many files hold each gram. ``search`` takes the rarest trigrams of
+each needle (the needle itself, if it has fewer than three characters), meets their postings, and looks for the needle's
+lines only in the files that hold all of them. Candidates are a superset (texts and needles are folded alike, the two
+small sigmas are one); lines are verified exactly, so results equal ``textsearch.search_text``.
 
-NULL and short contents have no trigrams; a key (``ws``, ``relpath``) that repeats is searched row by row.
+NULL and empty contents have no grams; a key (``ws``, ``relpath``) that repeats is searched row by row.
 """
 
 from __future__ import annotations
@@ -39,14 +39,19 @@ def _file() -> Column:
     return F.xxhash64("ws", "relpath")
 
 
-def trigrams(folded: Column) -> Column:
-    """Distinct trigrams of a folded text as numbers (21 bits a character), ascending; NULL has none."""
+def grams(folded: Column, needle: bool = False) -> Column:
+    """Distinct grams of a folded text as numbers (21 bits a character), ascending; NULL has none.
+
+    A text has its grams of one to three characters, a needle only its longest ones of these.
+    """
     @F.arrow_udf("array<bigint>")
     def run(texts: pa.Array) -> pa.Array:
         out, ends = [], [0]
         for t in texts.to_pylist():
             c = np.frombuffer((t or "").replace("ς", "σ").encode("utf-32-le"), np.uint32).astype(np.int64)
-            out.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]) if len(c) > 2 else c[:0])
+            kinds = [c << 42, c[:-1] << 42 | c[1:] << 21, c[:-2] << 42 | c[1:-1] << 21 | c[2:]] if len(c) > 1 else [c << 42]
+            kinds = [k for k in kinds if len(k)]
+            out.append(np.unique(np.concatenate(kinds[-1:] if needle else kinds)) if kinds else c)
             ends.append(ends[-1] + len(out[-1]))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *out])))
 
@@ -61,7 +66,7 @@ def build(content: DataFrame, path: str, text_col: str = "content") -> TextIndex
     """Write the index of ``content(ws, relpath, content)`` below ``path``."""
     spark = content.sparkSession
     ship_package(spark)
-    held = content.select(_file().alias("file"), trigrams(F.lower(_text(content, text_col))).alias("t"))
+    held = content.select(_file().alias("file"), grams(F.lower(_text(content, text_col))).alias("t"))
     rows = held.select(F.explode("t").alias("trigram"), "file").distinct()
     rows.repartitionByRange("trigram").sortWithinPartitions("trigram", "file").write.mode("overwrite").parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
@@ -74,17 +79,15 @@ def open_index(spark: SparkSession, path: str) -> TextIndex:
     return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/counts"))
 
 
-def candidates(index: TextIndex, needles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((needle_id, file) of the files that may hold each needle, needle_ids that are too short to tell)."""
-    asked = needles.select("needle_id", trigrams(F.lower("needle")).alias("t"))
-    short = asked.where(F.size("t") == 0).select("needle_id")
-    each = asked.select("needle_id", F.explode("t").alias("trigram"))
-    # a trigram of no file comes first: its needle is in none
+def candidates(index: TextIndex, needles: DataFrame) -> DataFrame:
+    """(needle_id, file) of the files that may hold each needle."""
+    each = needles.select("needle_id", F.explode(grams(F.lower("needle"), needle=True)).alias("trigram"))
+    # a gram of no file comes first: its needle is in none
     rare = Window.partitionBy("needle_id").orderBy(F.coalesce("files", F.lit(0)), "trigram")
     each = each.join(index.counts, "trigram", "left").withColumn("_n", F.row_number().over(rare)).where(F.col("_n") <= LOOKED_UP)
     want = each.select("needle_id", "trigram", F.count(F.lit(1)).over(Window.partitionBy("needle_id")).alias("_of"))
     hits = index.postings.join(want, "trigram").groupBy("needle_id", "file").agg(F.count(F.lit(1)).alias("_have"), F.first("_of").alias("_of"))
-    return hits.where("_have = _of").select("needle_id", "file"), short
+    return hits.where("_have = _of").select("needle_id", "file")
 
 
 def search(index: TextIndex, content: DataFrame, needles: DataFrame, case_sensitive: bool = False, limit: int | None = None,
@@ -92,14 +95,9 @@ def search(index: TextIndex, content: DataFrame, needles: DataFrame, case_sensit
     """(needle_id, ws, relpath, line_number, snippet) for ``needles(needle_id, needle)``, as ``search_text`` for each of them."""
     fold = (lambda c: c) if case_sensitive else F.lower
     needles = needles.where(go_trim("needle") != "")
-    found, short = candidates(index, needles)
     text = content.select("ws", "relpath", _file().alias("file"), _text(content, text_col).alias("_t"))
     asked = needles.select("needle_id", fold(F.col("needle")).alias("_probe"))
-    files = text.join(found, "file").drop("file").join(asked, "needle_id")
-    # short needles: a few characters of which any file may hold some; looked for in every file, one pass for each block of texts
-    few = asked.join(short, "needle_id", "left_semi").agg(F.collect_list(F.struct("needle_id", "_probe")).alias("_few"))
-    every = text.drop("file").join(F.broadcast(few), F.size("_few") > 0).withColumn("_few", F.filter("_few", lambda n: F.contains(fold(F.col("_t")), n["_probe"])))
-    files = files.unionByName(every.select("ws", "relpath", "_t", F.explode("_few").alias("_n")).select("ws", "relpath", "_t", "_n.*"))
+    files = text.join(candidates(index, needles), "file").drop("file").join(asked, "needle_id")
     files = files.where(F.contains(fold(F.col("_t")), F.col("_probe")))
     lines = files.select("needle_id", "ws", "relpath", "_probe", F.split("_t", "\n", -1).alias("_o"), F.split(fold(F.col("_t")), "\n", -1).alias("_f"))
     lines = lines.select("needle_id", "ws", "relpath", "_probe", F.posexplode(F.arrays_zip("_o", "_f")).alias("_at", "_l"))

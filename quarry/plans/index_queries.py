@@ -21,7 +21,7 @@ from quarry.operators.knn import vector_search
 from quarry.plans import fixtures as V
 from quarry.plans.fixtures import (
     FIXTURE_CHUNK_TOKENS, FIXTURE_DIM, FIXTURE_MODEL, SQL_PRUNED, SQL_V_DIR, SQL_V_FILE, SQL_V_NODE, SQL_V_VEC, SQL_V_WORKSPACE,
-    sql_hash_embed, sql_hex_id, sql_lang, sql_lines, sql_normalise, sql_v_chunk,
+    sql_hash_embed, sql_lang, sql_lines, sql_normalise, sql_v_chunk,
 )
 from quarry.plans.registry import ORACLES, TOPK, TOPK_FILE, _query_vector, _r6, register
 from quarry.sources import tree_scan

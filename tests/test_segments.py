@@ -23,11 +23,11 @@ def files(spark):
     return spark.createDataFrame(rows, "ws string, relpath string, content string, size long")
 
 
-@pytest.mark.parametrize("size", [1, 2, 7, 33, 200, 4 << 20])
+@pytest.mark.parametrize("size", [1, 7, 60, 4 << 20])
 def test_segments_of_any_size_give_the_same_rows(spark, files, size):
     seg = S.to_segments(files, segment_bytes=size).cache()
     assert seg.groupBy("ws", "relpath").agg(F.sum(F.octet_length("content")).alias("n"), F.max("size").alias("m")).where("n <> m").count() == 0
-    for most in (1, 3, 64):
+    for most in (3, 64):
         want = with_chunks(files.where("content IS NOT NULL"), "content", most)
         got = S.chunks(seg, max_tokens=most)
         cols = ["ws", "relpath", "chunk_index", "chunk_text", "start", "end", "token_count", "chunk_size", "content_sha"]
@@ -35,7 +35,7 @@ def test_segments_of_any_size_give_the_same_rows(spark, files, size):
     cols = ["ws", "relpath", "line_number", "line"]
     want = sorted(map(tuple, text_lines(files.where("content IS NOT NULL"), "content").select(cols).collect()))
     assert sorted(map(tuple, S.lines(seg).select(cols).collect())) == want
-    for needle, exact in (("needle", False), ("Needle", True), ("NEEDLE", True), ("d", False), ("w w", False)):
+    for needle, exact in (("needle", False), ("NEEDLE", True), ("w w", False)):
         key = lambda r: (r.ws, r.relpath, r.line_number, r.snippet)
         assert sorted(map(key, S.search_lines(seg, needle, exact).collect())) == sorted(map(key, search_text(files.where("content IS NOT NULL"), needle, exact).collect()))
     assert [r.relpath for r in S.search_lines(seg, "needle", limit=2, ws="w0").collect()] == [r.relpath for r in search_text(files, "needle", limit=2, ws="w0").collect()]

@@ -47,8 +47,8 @@ def test_limit_and_binary_content(spark, content, tmp_path):
 
 def test_few_files_are_candidates(spark, content, tmp_path):
     index = X.build(content, str(tmp_path / "index"))
-    found, short = X.candidates(index, spark.createDataFrame([(1, "one\ttwo"), (2, "zzzzz"), (3, "ab")], "needle_id int, needle string"))
+    found = X.candidates(index, spark.createDataFrame([(1, "one\ttwo"), (2, "zzzzz"), (3, "ab")], "needle_id int, needle string"))
     per = {r.needle_id: r["count"] for r in found.groupBy("needle_id").count().collect()}
-    assert 0 < per[1] < 60 and 2 not in per and [r.needle_id for r in short.collect()] == [3]
+    assert 0 < per[1] < 60 and 2 not in per and 0 < per[3] < 60
     plan = index.postings.where("trigram = 5")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(trigram,5)" in plan
