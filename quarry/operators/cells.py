@@ -99,11 +99,13 @@ def build(chunks: DataFrame, path: str, id_col: str = "id", vec_col: str = "vect
     blocks = spark.read.schema(out).parquet(f"{path}/blocks")
     stats = blocks.groupBy("cell", "dim").agg(F.max("radius").alias("radius"), F.sum(F.size("rows")).alias("n"))
     middle = spark.createDataFrame([(first[d] + i, [float(v) for v in c]) for d, m in centres.items() for i, c in enumerate(m)], "cell int, centre array<double>")
-    stats.join(middle, "cell").write.mode("overwrite").parquet(f"{path}/cells")
-    return open_index(spark, path, row_cols)
+    cells_ = stats.join(middle, "cell")
+    cells_.write.mode("overwrite").parquet(f"{path}/cells")
+    return CellIndex(blocks, spark.read.schema(cells_.schema).parquet(f"{path}/cells"), row_cols)
 
 
 def open_index(spark: SparkSession, path: str, row_cols: Sequence[str]) -> CellIndex:
+    """The index that was built below ``path`` over at least one vector."""
     return CellIndex(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/cells"), list(row_cols))
 
 
