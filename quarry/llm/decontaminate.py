@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -305,7 +304,8 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 10, max_covera
         return pd.DataFrame(rows, columns=["kept", "text"])
 
     c = free_name(docs, "__clean")
-    res = docs.withColumn(c, clean(F.col(text_col))).where(F.col(c)["kept"])
+    # a filter would be copied below the projection, and every text cleaned twice; an explode is not
+    res = docs.withColumn(c, F.explode(F.filter(F.array(clean(F.col(text_col))), lambda x: x["kept"])))
     return res.select(*[F.col(c)["text"].alias(x) if x == text_col else F.col(f"`{x}`") for x in docs.columns])
 
 
