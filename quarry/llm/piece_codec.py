@@ -28,12 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free_name, prepare
+from quarry.llm.common import free_name, prepare, tokenizer_file
 from quarry.llm.token_orc import _Numbers, slices
 
 MARK = "▁"
-#: Distinct words, and piece pairs, remembered per Python worker; either table is emptied when full.
-CACHE_WORDS, CACHE_PAIRS = 500_000, 1_000_000
+#: Characters of the distinct words, and piece pairs, remembered per Python worker; either table is emptied when full.
+CACHE_CHARS, CACHE_PAIRS, FRESH_PAIRS = 4_000_000, 4_000_000, 50_000
+#: Characters whose edges are held at once (about 0.3 kB each), and characters of the texts encoded per call.
+BLOCK_CHARS, SLICE_CHARS = 200_000, 1_000_000
 _STATE: dict[str, PieceCodec] = {}
 
 
@@ -75,11 +77,14 @@ class PieceCodec:
         self.raw, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self._forget()
-        self.pair: dict[int, bool] = {}
+        # decided pairs: sorted arrays (the first key stands for none), and those decided last
+        self.pair_keys, self.pair_apart = np.array([-1], np.int64), np.zeros(1, bool)
+        self.fresh: dict[int, bool] = {}
 
     def _forget(self) -> None:
         self.seen = _Numbers()
-        self.flat, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.chars = 0
+        self.flat, self.count = np.empty(0, np.int32), np.empty(0, np.int32)
 
     def _merge(self, s: str) -> list[str]:
         """Byte-pair encoding of a few characters by its definition."""
@@ -96,18 +101,31 @@ class PieceCodec:
         """Whether the merge rules leave ``left``, ``right`` apart (numbers of symbols)."""
         wide = len(self.symbols) + self.size + 1
         keys, back = np.unique(left * wide + right, return_inverse=True)
-        if len(self.pair) > CACHE_PAIRS:
-            self.pair.clear()
-        known = self.pair
-        out = np.empty(len(keys), bool)
-        for k, key in enumerate(keys.tolist()):
-            ok = known.get(key)
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        known = self.pair_keys[at] == keys
+        out = self.pair_apart[at]
+        fresh = self.fresh
+        for k in np.flatnonzero(~known).tolist():
+            key = int(keys[k])
+            ok = fresh.get(key)
             if ok is None:
                 a, b = self.text_of.get(key // wide), self.text_of.get(key % wide)
-                ok = known[key] = a is None or b is None or self._merge(a + b) == [a, b]
+                ok = fresh[key] = a is None or b is None or self._merge(a + b) == [a, b]
             out[k] = ok
+        if len(fresh) > FRESH_PAIRS:
+            self._settle()
         return out[back]
 
+    def _settle(self) -> None:
+        """Take the pairs decided last into the sorted arrays; these are emptied when full."""
+        if len(self.pair_keys) > CACHE_PAIRS:
+            self.pair_keys, self.pair_apart = self.pair_keys[:1], self.pair_apart[:1]
+        keys = np.concatenate([self.pair_keys, np.fromiter(self.fresh.keys(), np.int64, len(self.fresh))])
+        apart = np.concatenate([self.pair_apart, np.fromiter(self.fresh.values(), bool, len(self.fresh))])
+        order = np.argsort(keys, kind="stable")
+        self.pair_keys, self.pair_apart = keys[order], apart[order]
+        self.fresh.clear()
+
     def _edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begin, end, symbol) of every occurrence of a piece in ``code``, through its suffix array."""
         alphabet = np.unique(code)
@@ -203,12 +221,13 @@ class PieceCodec:
         odd = np.unique(np.concatenate([owners[tokens >= self.size], np.flatnonzero([w[:2] == MARK * 2 for w in words])]))
         if not len(odd):
             return tokens, count
-        pieces = np.split(tokens, np.cumsum(count)[:-1])
-        spots = np.split(places, np.cumsum(count)[:-1])
+        start = np.cumsum(count) - count
+        out, done = [], 0
         for w in odd.tolist():
-            pieces[w] = self._finish(pieces[w].tolist(), [chr(code[p]) for p in spots[w].tolist()])
-            count[w] = len(pieces[w])
-        return np.concatenate(pieces), count
+            lo, hi = int(start[w]), int(start[w] + count[w])
+            out += [tokens[done:lo], self._finish(tokens[lo:hi].tolist(), [chr(code[p]) for p in places[lo:hi].tolist()])]
+            count[w], done = len(out[-1]), hi
+        return np.concatenate([*out, tokens[done:]]), count
 
     def _finish(self, symbols: list[int], chars: list[str]) -> np.ndarray:
         """Join the leading run of marks, turn characters without a piece into byte pieces."""
@@ -242,22 +261,24 @@ class PieceCodec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per text), equal to the library's ``encode``."""
-        if len(self.seen) > CACHE_WORDS:
+        if self.chars > CACHE_CHARS:
             self._forget()
         ask = self.seen.__getitem__
         numbers = [np.fromiter(map(ask, w), np.int64, len(w)) for w in map(self._cut, texts)]
         known = len(self.count)
         if len(self.seen) > known:
             new = [w if w[0] == MARK else MARK + w for w in islice(self.seen, known, None)]
-            flat, count = self._words(new)
-            self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
-        start = np.cumsum(self.count) - self.count
+            self.chars += sum(map(len, new)) + len(new)
+            parts = [self._words(new[lo:hi]) for lo, hi in slices(new, BLOCK_CHARS)]
+            self.flat = np.concatenate([self.flat, *(f.astype(np.int32) for f, _ in parts)])
+            self.count = np.concatenate([self.count, *(c.astype(np.int32) for _, c in parts)])
+        start = np.cumsum(self.count, dtype=np.int64) - self.count
         out, sizes = [], np.zeros(len(texts), np.int64)
         for k, n in enumerate(numbers):
-            size = self.count[n]
+            size = self.count[n].astype(np.int64)
             sizes[k] = size.sum()
             out.append(self.flat[np.repeat(start[n] - (np.cumsum(size) - size), size) + np.arange(sizes[k])])
-        return (np.concatenate(out) if out else np.empty(0, np.int64)), sizes
+        return (np.concatenate(out) if out else np.empty(0, np.int32)), sizes
 
     def decode(self, ids: np.ndarray) -> str:
         size = self.raw_size[ids]
@@ -268,7 +289,7 @@ class PieceCodec:
 
 def codec(path: str) -> PieceCodec:
     if path not in _STATE:
-        _STATE[path] = PieceCodec(path)
+        _STATE[path] = PieceCodec(tokenizer_file(path))
     return _STATE[path]
 
 
@@ -280,17 +301,19 @@ def encode(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     prepare(df.sparkSession)
 
     @F.pandas_udf("ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(model)
-        values = [t or "" for t in texts]
-        rows = []
-        for lo, hi in slices(values, 4_000_000):
-            flat, sizes = c.encode(values[lo:hi])
-            flat32 = flat.astype("<i4")
-            ends = np.cumsum(sizes)
-            for t, a, b in zip(values[lo:hi], (ends - sizes).tolist(), ends.tolist()):
-                rows.append((flat32[a:b], b - a, zlib.crc32(flat32[a:b]), c.decode(flat[a:b]) == t))
-        return pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_crc32", "round_trip"])
+        for texts in batches:
+            values = [t or "" for t in texts]
+            rows = []
+            for lo, hi in slices(values, SLICE_CHARS):
+                flat, sizes = c.encode(values[lo:hi])
+                flat32 = flat.astype("<i4")
+                ends = np.cumsum(sizes)
+                for t, a, b in zip(values[lo:hi], (ends - sizes).tolist(), ends.tolist()):
+                    rows.append((flat32[a:b], b - a, zlib.crc32(flat32[a:b]), c.decode(flat[a:b]) == t))
+            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_crc32", "round_trip"])
+        c._forget()  # idle workers keep no words
 
     tmp = free_name(df, "__enc")
     names = ("ids", "n_tokens", "ids_crc32", "round_trip")

@@ -1,13 +1,12 @@
-import os
 import random
 
 import numpy as np
 import pytest
 
 from quarry.llm import piece_codec as C
+from quarry.llm.common import tokenizer_file
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-pytestmark = pytest.mark.skipif(not os.path.exists(MODEL), reason="public tokenizer files not present")
+MODEL = tokenizer_file("piece_bpe_32k.model")
 
 
 def texts():
@@ -27,8 +26,9 @@ def lib():
 def test_equals_the_library(lib, monkeypatch):
     c, rows = C.PieceCodec(MODEL), texts()
     want = lib.encode(rows)
-    for cache in (C.CACHE_WORDS, 5):
-        monkeypatch.setattr(C, "CACHE_WORDS", cache)
+    for cache, block in ((C.CACHE_CHARS, C.BLOCK_CHARS), (30, 40)):
+        monkeypatch.setattr(C, "CACHE_CHARS", cache)
+        monkeypatch.setattr(C, "BLOCK_CHARS", block)
         for lo in range(0, len(rows), 100):
             flat, sizes = c.encode(rows[lo:lo + 100])
             got = np.split(flat, np.cumsum(sizes)[:-1])

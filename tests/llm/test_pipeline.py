@@ -1,4 +1,3 @@
-import os
 import random
 
 import numpy as np
@@ -6,13 +5,13 @@ import pytest
 
 import corpus_pipeline
 from quarry.llm import surrogates
+from quarry.llm.common import tokenizer_file
 from quarry.llm.queries import SURROGATE_KEY
 from test_decontaminate import brute as contaminated
 from test_near_dedup import brute as components
 from test_quality_rules import brute as ledger
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-pytestmark = pytest.mark.skipif(not os.path.exists(MODEL), reason="public tokenizer files not present")
+MODEL = tokenizer_file("piece_bpe_32k.model")
 
 
 def corpus(seed):
