@@ -340,18 +340,23 @@ def keep_one(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     found = materialise(_labelled(df, k, percent, 4, 28, id_col, text_col).where("doc_id IS NOT NULL"), "near-found")
     one = found.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("o")).select("o.*")
     one = one.union(found.where("label IS NULL").select("doc_id", "k1", "k2"))
-    several = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = materialise(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "near-repeated")
     name, want, mine = free_name(df, "__keep"), free_name(df, "__want"), free_name(df, "__mine")
-    keep = one.groupBy("doc_id").agg(F.collect_set(F.concat_ws(",", "k1", "k2")).alias("sets")).join(several, "doc_id", "left")
-    keep = materialise(keep.select(F.col("doc_id").alias(name), F.when(F.col("n") > 1, F.col("sets")).alias(want)), "near-keep")
+    key = F.col(id_col).cast("long") == F.col(name)
+    # ids that go, and ids of several rows, are fewer than those that stay: texts meet the smaller tables
+    gone = found.select("doc_id").join(one.select("doc_id"), "doc_id", "left_anti").union(several).distinct()
+    gone = materialise(gone.select(F.col("doc_id").alias(name)), "near-gone")
+    plain = df.where(F.col(id_col).isNotNull()).join(gone, key, "left_anti")
+    sets = one.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.concat_ws(",", "k1", "k2")).alias("sets"))
+    sets = materialise(sets.select(F.col("doc_id").alias(name), F.col("sets").alias(want)), "near-keep")
 
     @F.pandas_udf("string")
-    def digest(texts, wanted):
+    def digest(texts):
         import pandas as pd
 
-        return pd.Series([None if w is None else ",".join(map(str, _set_key(shingle_sets([t], k)[0]))) for t, w in zip(texts, wanted)], dtype=object)
+        return pd.Series([",".join(map(str, _set_key(shingle_sets([t], k)[0]))) for t in texts], dtype=object)
 
-    # ids are compared before the join, texts travel once; only rows that share an id need their sets again
-    some = df.join(keep, F.col(id_col).cast("long") == F.col(name)).withColumn(mine, digest(F.col(text_col), F.col(want)))
-    some = some.where(F.col(want).isNull() | F.array_contains(want, F.col(mine))).drop(name, want).dropDuplicates([id_col, mine]).drop(mine)
-    return some.unionByName(df.where(F.col(id_col).isNull()))
+    # only rows that share an id need their sets again
+    some = df.join(sets, key).withColumn(mine, digest(F.col(text_col)))
+    some = some.where(F.array_contains(want, F.col(mine))).drop(name, want).dropDuplicates([id_col, mine]).drop(mine)
+    return plain.unionByName(some).unionByName(df.where(F.col(id_col).isNull()))
