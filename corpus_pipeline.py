@@ -4,6 +4,11 @@
 ``run`` writes every stage as Parquet to the shared folder and reads it back as the next one's input, so a
 lost executor costs at most one stage. All stages but the last return the columns of ``documents``; a stage
 that changes texts also corrects ``n_chars``.
+
+Defined results: NULL, empty and short texts fail the quality rules and go there; a stage that is called alone passes them
+on as its operator defines (NULL stays NULL, no hits, no entities, no tokens). Rows with a NULL id stay, each of them,
+in the near-duplicate stage. Repeated rows count as copies. Extra columns are kept until the last stage, whose results
+replace columns of the same name. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, near_dedup, piece_codec, quality_rules, surrogates
 from quarry.llm.common import materialise, prepare, table
-from quarry.llm.queries import SURROGATE_KEY, TOKENIZERS
+from quarry.llm.queries import PIECE_BPE, SURROGATE_KEY
 
 #: Near duplicates share this percentage of their five-word shingles.
 SHINGLE, PERCENT = 5, 80
@@ -46,7 +51,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their SentencePiece ids and the check that these decode to the text."""
     prepare(spark)
-    return piece_codec.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return piece_codec.encode(docs, PIECE_BPE)
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_duplicates), ("decontamination", decontamination),
