@@ -52,3 +52,15 @@ def test_few_files_are_candidates(spark, content, tmp_path):
     assert 0 < per[1] < 60 and 2 not in per and 0 < per[3] < 60
     plan = index.postings.where("trigram = 5")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(trigram,5)" in plan
+
+
+def test_rows_are_few_and_texts_are_read_once(spark, content, tmp_path):
+    """A gram is one row per stretch of texts, stored without being reduced twice; needles do not multiply texts."""
+    index = X.build(content.coalesce(1), str(tmp_path / "index"))
+    per = index.postings.groupBy("trigram").count()
+    assert per.where("count > 1").count() == 0 and index.postings.where("n <> size(files)").count() == 0
+    needles = spark.createDataFrame([(i, "needle") for i in range(40)] + [(40, "one\ttwo")], "needle_id int, needle string")
+    found = X.search(index, content, needles)
+    assert "posexplode" not in found._jdf.queryExecution().executedPlan().toString()
+    want = search_text(content.where("content IS NOT NULL"), "needle").count()
+    assert {r.needle_id: r["count"] for r in found.groupBy("needle_id").count().collect() if r.needle_id < 40} == dict.fromkeys(range(40), want)
