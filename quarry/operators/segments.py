@@ -13,16 +13,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.constants import MAX_TOKENS_PER_CHUNK, TOKEN_PATTERN
+from quarry.constants import MAX_TOKENS_PER_CHUNK
 from quarry.functions.text import as_text, go_trim, is_binary
 from quarry.operators.listing import first_n
 from quarry.session import ship_package
+from quarry.sources.staging import written
 
 #: Bytes of a segment, about.
 SEGMENT_BYTES = 4 << 20
@@ -31,39 +33,45 @@ SEGMENT = ("segment int, at bigint, token_base bigint, line_base bigint, mid_lin
 
 #: A place where a token begins: the white space set is the token chunker's.
 _BREAK = re.compile(rb"[ \t\r\n](?=[^ \t\r\n])")
-_LINE = re.compile(rb"\n(?=[^ \t\r\n])")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 13, 32]] = True
 
 
 # ------------------------------------------------------------------ cutting (inside tasks)
-def cut_segment(data: bytes, size: int) -> int:
-    """Where the first segment of ``data`` ends: after the last line end, else the last white space, ahead of a
-    token's beginning within ``size`` bytes; 0 if no token begins there."""
-    for pattern in (_LINE, _BREAK):
-        for lo in (max(size - 65_536, 0), 0):
-            at = 0
-            for m in pattern.finditer(data, lo, size):
-                at = m.end()
-            if at:
-                return at
+def cut_segment(data: bytes, size: int, begin: int = 0) -> int:
+    """Where the first segment of ``data[begin:]`` ends: after the last line end, else the last white space, ahead of a
+    token's beginning within ``size`` bytes; 0 if no token begins there. Looks from the end, so most of it is not read."""
+    end = min(begin + size, len(data))
+    at = data.rfind(b"\n", begin, max(end - 1, begin))
+    while at >= 0:
+        if not _SPACE[data[at + 1]]:
+            return at + 1 - begin
+        at = data.rfind(b"\n", begin, at)
+    lo, reach = end, 64
+    while lo > begin:
+        hi, lo = min(lo + 1, end), max(lo - reach, begin)
+        for m in _BREAK.finditer(data, lo, hi):
+            at = m.end()
+        if at >= 0:
+            return at - begin
+        reach *= 4
     return 0
 
 
 def cut_stream(blocks: Iterable[bytes], size: int = SEGMENT_BYTES) -> Iterator[bytes]:
     """Segments of about ``size`` bytes of a stream; a longer token stays in one segment."""
-    held, looked = b"", 0  # no token begins in held[1:looked + 1]
+    held, begin, looked = b"", 0, 0  # held[:begin] is done; no token begins in held[begin + 1:begin + looked + 1]
     for block in blocks:
-        held += block
-        while len(held) - looked > size:
-            at = cut_segment(held[looked:] if looked else held, size + 1)
+        held, begin = (held[begin:] + block if begin < len(held) else block), 0
+        while len(held) - begin - looked > size:
+            at = cut_segment(held, size + 1, begin + looked)
             if at:
-                yield held[:looked + at]
-                held, looked = held[looked + at:], 0
+                yield held[begin:begin + looked + at]
+                begin, looked = begin + looked + at, 0
             else:
                 looked += size
-    if held:
-        yield held
+    if begin < len(held):
+        yield held[begin:]
 
 
 def _tokens(part: bytes) -> int:
@@ -126,26 +134,11 @@ def chunks(segments: DataFrame, keys: Sequence[str] = ("ws", "relpath"), max_tok
     chunk_size, end, content_sha."""
     if max_tokens < 1:
         raise ValueError("max_tokens must be positive")
-    rows = segments.select(*keys, "segment", "at", "token_base", "is_last", as_text("content").alias("_text"))
-    rows = rows.withColumn("_toks", F.regexp_extract_all("_text", F.lit(TOKEN_PATTERN), 0)).drop("_text").where(F.size("_toks") > 0)
-    n = F.size("_toks")
-    head = (max_tokens - F.col("token_base") % max_tokens).cast("int")  # tokens up to the next chunk's beginning
-    n_pieces = F.when(n <= head, 1).otherwise(1 + F.ceil((n - head) / max_tokens)).cast("int")
-    begin = lambda j: F.when(j == 0, 0).otherwise(head + (j - 1) * max_tokens)
-    piece = lambda j: F.slice("_toks", begin(j) + 1, F.when(j == 0, head).otherwise(F.lit(max_tokens)))
-    pieces = F.transform(F.sequence(F.lit(0), n_pieces - 1), lambda j: F.struct(
-        F.array_join(piece(j), "").alias("text"), F.size(piece(j)).alias("tokens"), j.alias("j")))
-    rows = rows.withColumn("_pieces", pieces).drop("_toks")
-    rows = rows.withColumn("_sizes", F.transform("_pieces", lambda p: F.octet_length(p.text).cast("long")))
-    out = rows.select(*keys, "segment", "at", "token_base", "is_last", F.size("_pieces").alias("_of"), "_sizes", F.explode("_pieces").alias("_p"))
-    ahead = F.aggregate(F.slice("_sizes", F.lit(1), F.col("_p.j")), F.lit(0).cast("long"), lambda a, x: a + x)
-    first = (F.floor(F.col("token_base") / max_tokens)).cast("int")
-    out = out.select(*keys, "segment", (first + F.col("_p.j")).alias("chunk_index"), F.col("_p.text").alias("chunk_text"),
-                     (F.col("at") + ahead).alias("start"), F.col("_p.tokens").alias("token_count"),
-                     # begun in an earlier segment, or going on in a later one
-                     (((F.col("_p.j") == 0) & (F.col("token_base") % max_tokens > 0))
-                      | ((F.col("_p.j") == F.col("_of") - 1) & ~F.col("is_last") & (_filled(max_tokens) < max_tokens))).alias("_open"))
-    closed, open_ = out.where(~F.col("_open")).drop("_open", "segment"), out.where("_open")
+    ship_package(segments.sparkSession)
+    rows = segments.select(*keys, "segment", "at", "token_base", "is_last", as_text("content").alias("_text")).where("_text <> ''")
+    schema = ", ".join(f"`{k}` {dict(segments.dtypes)[k]}" for k in keys) + ", segment int, chunk_index int, chunk_text string, start bigint, token_count int"
+    side = lambda cut: rows.mapInArrow(partial(_pieces, len(keys), max_tokens, cut), schema)
+    closed, open_ = side(False).drop("segment"), side(True)
     parts = F.array_sort(F.collect_list(F.struct("segment", "chunk_text")))
     whole = open_.groupBy(*keys, "chunk_index").agg(F.array_join(F.transform(parts, lambda p: p.chunk_text), "").alias("chunk_text"),
                                                     F.min("start").alias("start"), F.sum("token_count").cast("int").alias("token_count"))
@@ -154,14 +147,50 @@ def chunks(segments: DataFrame, keys: Sequence[str] = ("ws", "relpath"), max_tok
 
 
 def text_chunks(segments: DataFrame, keys: Sequence[str] = ("ws", "relpath"), max_tokens: int = MAX_TOKENS_PER_CHUNK) -> DataFrame:
-    """:func:`chunks` of the files that have bytes and no NUL among them."""
-    binary = segments.where(is_binary("content")).select(*keys).distinct()
+    """:func:`chunks` of the files that have bytes and no NUL among them.
+
+    ``segments`` is read three times, so it should be stored. The few binary files are written first: their size is known
+    when they are joined, and segments are shuffled only if there are many.
+    """
+    binary = written(segments.where(is_binary("content")).select(*keys).distinct(), "binary-files")
     return chunks(segments.where("size > 0").join(binary, list(keys), "left_anti"), keys, max_tokens)
 
 
-def _filled(max_tokens: int):
-    """Tokens of a piece's chunk up to the piece's end."""
-    return F.when(F.col("_p.j") == 0, F.col("token_base") % max_tokens).otherwise(0) + F.col("_p.tokens")
+def _pieces(width: int, max_tokens: int, cut: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What segments (keys, segment, at, token_base, is_last, text) hold of chunks: whole chunks, or (``cut``) those that
+    begin in an earlier segment or go on in a later one. A batch's texts stay one buffer; only places are computed."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        text = b.column(width + 4).cast(pa.large_string())
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + b.num_rows + 1]
+        data = np.frombuffer(text.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+        ends = ends - ends[0]
+        space = _SPACE[data]
+        begins = np.zeros(len(data), bool)
+        begins[1:] = space[:-1] & ~space[1:]
+        begins[ends[:-1]] = True  # no text is empty
+        token = np.flatnonzero(begins)
+        first = np.searchsorted(token, ends[:-1])  # each segment's first token
+        at, base = (b.column(width + i).to_numpy() for i in (1, 2))
+        last = b.column(width + 3).to_numpy(zero_copy_only=False)
+        size = np.diff(first, append=len(token))
+        number = np.arange(len(token)) + np.repeat(base - first, size)  # in its file
+        starts = number % max_tokens == 0
+        starts[first] = True
+        piece = np.flatnonzero(starts)
+        owner = np.searchsorted(first, piece, "right") - 1
+        tokens = np.diff(piece, append=len(token))
+        filled = number[piece] % max_tokens + tokens  # tokens of the chunk up to the piece's end
+        final = np.diff(owner, append=len(first)) > 0
+        is_cut = (number[piece] % max_tokens > 0) | (final & ~last[owner] & (filled < max_tokens))
+        place = np.append(token[piece], len(data))
+        texts = pa.LargeStringArray.from_buffers(len(piece), pa.py_buffer(place), pa.py_buffer(data))
+        out = [b.column(k).take(pa.array(owner)) for k in range(width + 1)] + [
+            pa.array((number[piece] // max_tokens).astype(np.int32)), texts, pa.array(at[owner] + place[:-1] - ends[owner]), pa.array(tokens.astype(np.int32))]
+        names = [*b.schema.names[:width + 1], "chunk_index", "chunk_text", "start", "token_count"]
+        rows = pa.RecordBatch.from_arrays(out, names).filter(pa.array(is_cut == cut))
+        yield rows.set_column(width + 2, "chunk_text", rows.column(width + 2).cast(pa.string()))
 
 
 # ------------------------------------------------------------------ lines

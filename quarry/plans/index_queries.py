@@ -91,7 +91,7 @@ def _tree_contents(s: SparkSession, d: str) -> DataFrame:
 # ============================================================================ segmented contents
 @register("segment_chunks", ORACLES["token_chunks"])
 def _segment_chunks(s: SparkSession, d: str) -> DataFrame:
-    seg = segments.to_segments(V.v_file(s, d), segment_bytes=SEGMENT)
+    seg = written(segments.to_segments(V.v_file(s, d), segment_bytes=SEGMENT), "segments")
     return segments.text_chunks(seg, max_tokens=FIXTURE_CHUNK_TOKENS).drop("chunk_text")
 
 

@@ -82,3 +82,30 @@ def test_segments_begin_with_tokens(size):
         assert b"".join(parts) == data
         for left, part in zip(parts, parts[1:]):
             assert left[-1:] in (b" ", b"\n", b"\t", b"\r") and part[:1] not in (b" ", b"\n", b"\t", b"\r")
+
+
+def test_chunks_of_stored_segments(spark, tmp_path):
+    """Texts are cut by place and segments stay where they are, whatever their bytes are."""
+    body = [b"a \xff\xfe b \xe6\xbc c\n" * 9, "漢 é \U0001f600\t".encode() * 40, b"x\0y " * 20, b"", b" \n lead", b"w " * 64]
+    rows = [("w", f"f{i}", b, len(b)) for i, b in enumerate(body)]
+    files = spark.createDataFrame(rows, "ws string, relpath string, content binary, size long")
+    S.to_segments(files, segment_bytes=30).write.parquet(str(tmp_path / "segments"))
+    got = S.text_chunks(spark.read.parquet(str(tmp_path / "segments")), max_tokens=8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "SortMergeJoin" not in plan
+    cols = ["relpath", "chunk_index", "chunk_text", "start", "end", "token_count", "chunk_size", "content_sha"]
+    want = with_chunks(files.where("relpath <> 'f2'"), "content", 8)
+    # replaced bytes have other lengths, and a segment's place counts the file's own bytes
+    for part, names in (("relpath <> 'f0'", cols), ("relpath = 'f0'", [c for c in cols if c not in ("start", "end")])):
+        assert sorted(map(tuple, got.where(part).select(names).collect())) == sorted(map(tuple, want.where(part).select(names).collect()))
+
+
+def test_cuts_are_the_last_places():
+    rng = random.Random(5)
+    for _ in range(300):
+        data = "".join(rng.choice(["word", " ", "\n", "\t", "  ", "\n\n", "x" * 90]) for _ in range(rng.randint(0, 60))).encode()
+        begin, size = rng.randint(0, len(data)), rng.randint(1, 300)
+        part = data[begin:begin + size]
+        ends = [i + 1 for i in range(len(part) - 1) if part[i] in b" \n\t" and part[i + 1] not in b" \n\t"]
+        lines = [i for i in ends if part[i - 1] == 10]
+        assert S.cut_segment(data, size, begin) == max(lines or ends or [0])
