@@ -299,9 +299,9 @@ def _acceptance_faults(s: SparkSession, d: str) -> DataFrame:
     """All checks over an index in which files, an edge, chunks and vectors are spoilt; hashes are taken where contents are cut."""
     from quarry.operators.edges import ws_contains_dir
 
-    files, chunks = V.v_file(s, d), _faulty_chunks(s, d)
+    files, chunks = V.v_file(s, d), written(_faulty_chunks(s, d).select("ws", "relpath", "chunk_index", "start", "end", "content_sha"), "faulty-chunks")
     roots = ws_contains_dir(V.v_dir(s, d).where("relpath = '' AND ws <> 'src3'"))
-    cut = segments.text_chunks(segments.to_segments(files, segment_bytes=SEGMENT), max_tokens=FIXTURE_CHUNK_TOKENS)
+    cut = segments.text_chunks(written(segments.to_segments(files, segment_bytes=SEGMENT), "segments"), max_tokens=FIXTURE_CHUNK_TOKENS)
     again, tiled = quality.recut_faults(chunks, cut), quality.span_faults(chunks, files)
     vec, cents = _mixed(s, d), centroids(V.v_vec(s, d))
     n = F.count(F.lit(1))
