@@ -52,3 +52,20 @@ def test_id_filter_is_pushed_to_the_files(spark, docs_df):
     df = token_orc.read_tokens(spark, path).where("doc_id = 17")
     assert "EqualTo(doc_id,17)" in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 1
+
+
+def test_the_table_is_asked_once_for_each_distinct_word():
+    class Counted(token_orc._Numbers):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    enc = token_orc.ChunkEncoder(BPE)
+    enc.seen = Counted()
+    got = enc.encode(["w a b a b"] * 100 + ["", "a", " a"], 2)
+    assert Counted.asked == 2
+    one = [*enc.lib.encode("w a b a b", add_special_tokens=False).ids, 2]
+    rest = [2, *enc.lib.encode("a", add_special_tokens=False).ids, 2, *enc.lib.encode(" a", add_special_tokens=False).ids, 2]
+    assert got[0].tolist() == one * 100 + rest and got[1].tolist()[:101] == [len(one)] * 100 + [1]
