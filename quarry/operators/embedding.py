@@ -21,6 +21,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,41 +78,30 @@ class HashEmbedder:
         return out.astype(np.float32)
 
 
-#: Words whose features a worker remembers; the table is emptied when full.
-CACHE_WORDS = 500_000
+def _features(words: Sequence[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, sign) of words, as :meth:`HashEmbedder.word_features` gives them; the empty word has sign 0."""
+    digests = b"".join([hashlib.sha256(w.encode("utf-8", "surrogatepass")).digest() for w in words])
+    raw = np.frombuffer(digests, np.uint8).reshape(-1, 32)
+    bucket = np.ascontiguousarray(raw[:, :4]).view(">u4").ravel().astype(np.int64) % dim
+    sign = np.where(raw[:, 4] < 128, 1.0, -1.0)
+    sign[np.fromiter(map(len, words), np.int64, len(words)) == 0] = 0.0
+    return bucket, sign
 
 
-class _Features(dict):
-    """Word -> ``(bucket + 1) * sign``, computed when first asked for."""
-
-    def __init__(self, dim: int):
-        super().__init__()
-        self.dim = dim
-
-    def __missing__(self, word: str) -> int:
-        h = hashlib.sha256(word.encode("utf-8", "surrogatepass")).digest()
-        f = int.from_bytes(h[:4], "big") % self.dim + 1
-        self[word] = f if h[4] < 128 else -f
-        return self[word]
-
-
-_FEATURES: dict[int, _Features] = {}
-
-
-def hash_vectors(texts: Sequence[str | None], dim: int) -> np.ndarray:
+def hash_vectors(texts: pa.Array, dim: int) -> np.ndarray:
     """:class:`HashEmbedder` for a batch: each distinct word is hashed once, counts are one ``bincount``."""
-    known = _FEATURES.setdefault(dim, _Features(dim))
-    if len(known) > CACHE_WORDS:
-        known.clear()
     counts = np.zeros((len(texts), dim))
     step = max(1, (1 << 20) // dim)
     for lo in range(0, len(texts), step):
-        words = [(t or "").replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") for t in texts[lo:lo + step]]
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        value = np.fromiter((known[w] if w else 0 for part in words for w in part), np.int64, int(size.sum()))
-        at = np.repeat(np.arange(len(words)) * dim, size) + np.abs(value) - 1
-        use = value != 0
-        counts[lo:lo + step] = np.bincount(at[use], np.sign(value[use]).astype(np.float64), len(words) * dim).reshape(-1, dim)
+        part = texts.slice(lo, step).fill_null("").cast(pa.large_string())
+        for c in "\t\r\n":
+            part = pc.replace_substring(part, c, " ")
+        part = pc.split_pattern(part, " ")
+        words = part.flatten().dictionary_encode()
+        bucket, sign = _features(words.dictionary.to_numpy(zero_copy_only=False).tolist(), dim)
+        word = words.indices.to_numpy()
+        at = np.repeat(np.arange(len(part)) * dim, np.diff(part.offsets.to_numpy())) + bucket[word]
+        counts[lo:lo + step] = np.bincount(at, sign[word], len(part) * dim).reshape(-1, dim)
     norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
     np.divide(counts, norms, out=counts, where=norms > 0)
     return counts.astype(np.float32)
@@ -121,7 +111,7 @@ def hash_embed_column(text, dim: int = 64) -> Column:
     """:class:`HashEmbedder` as a column: one Arrow batch function, no row-at-a-time Python call."""
     @F.arrow_udf(T.ArrayType(T.FloatType(), containsNull=False))
     def _vectors(texts: pa.Array) -> pa.Array:
-        out = hash_vectors(texts.to_pylist(), dim)
+        out = hash_vectors(texts, dim)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim, dtype=np.int32)), pa.array(out.ravel(), type=pa.float32()))
 
     # non-deterministic: keeps the optimizer from copying the UDF into every consumer of its result

@@ -137,8 +137,9 @@ def chunks(segments: DataFrame, keys: Sequence[str] = ("ws", "relpath"), max_tok
     ship_package(segments.sparkSession)
     rows = segments.select(*keys, "segment", "at", "token_base", "is_last", as_text("content").alias("_text")).where("_text <> ''")
     schema = ", ".join(f"`{k}` {dict(segments.dtypes)[k]}" for k in keys) + ", segment int, chunk_index int, chunk_text string, start bigint, token_count int"
-    side = lambda cut: rows.mapInArrow(partial(_pieces, len(keys), max_tokens, cut), schema)
-    closed, open_ = side(False).drop("segment"), side(True)
+    side = lambda df, cut: df.mapInArrow(partial(_pieces, len(keys), max_tokens, cut), schema)
+    # a file that is one segment shares no chunk with others
+    closed, open_ = side(rows, False).drop("segment"), side(rows.where("NOT (token_base = 0 AND is_last)"), True)
     parts = F.array_sort(F.collect_list(F.struct("segment", "chunk_text")))
     whole = open_.groupBy(*keys, "chunk_index").agg(F.array_join(F.transform(parts, lambda p: p.chunk_text), "").alias("chunk_text"),
                                                     F.min("start").alias("start"), F.sum("token_count").cast("int").alias("token_count"))

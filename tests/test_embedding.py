@@ -1,9 +1,13 @@
 """Embedding operator: hash embedder paths agree; user embedders are checked."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import embedding
 from quarry.operators.embedding import HashEmbedder, embed, embed_column, embedder_from_function, hash_embed_column
 
 
@@ -19,6 +23,16 @@ def test_hash_embedder_paths_agree(spark):
     assert not ref[1].any()
 
 
+def test_each_distinct_word_of_a_batch_is_hashed_once(monkeypatch):
+    asked = []
+    sha256 = embedding.hashlib.sha256
+    monkeypatch.setattr(embedding, "hashlib", SimpleNamespace(sha256=lambda w: asked.append(w) or sha256(w)))
+    texts = ["a b a", None, "", " b\t\ta\r\n", "ü"] * 50
+    got = embedding.hash_vectors(pa.array(texts)[1:], 16)
+    assert sorted(asked) == sorted([b"", b"a", b"b", "ü".encode()])
+    assert np.array_equal(got, HashEmbedder(16)(texts)[1:])
+
+
 def test_generic_embedder_batches_and_checks(spark):
     calls = []
 

@@ -109,3 +109,23 @@ def test_cuts_are_the_last_places():
         ends = [i + 1 for i in range(len(part) - 1) if part[i] in b" \n\t" and part[i + 1] not in b" \n\t"]
         lines = [i for i in ends if part[i - 1] == 10]
         assert S.cut_segment(data, size, begin) == max(lines or ends or [0])
+
+
+def test_files_of_one_segment_are_not_cut_twice(spark, files, monkeypatch):
+    pieces = S._pieces
+
+    def checked(width, max_tokens, cut, batches):
+        def seen():
+            for b in batches:
+                base, last = b.column(width + 2).to_pylist(), b.column(width + 3).to_pylist()
+                if cut and any(x == 0 and y for x, y in zip(base, last)):
+                    raise ValueError("a whole file among the segments that share chunks")
+                yield b
+
+        yield from pieces(width, max_tokens, cut, seen())
+
+    monkeypatch.setattr(S, "_pieces", checked)
+    want = with_chunks(files.where("content IS NOT NULL"), "content", 3)
+    cols = ["ws", "relpath", "chunk_index", "chunk_text", "start", "end", "token_count", "content_sha"]
+    got = S.chunks(S.to_segments(files, segment_bytes=60), max_tokens=3)
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
