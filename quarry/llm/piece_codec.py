@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free_name, prepare, tokenizer_file
+from quarry.llm.common import free_name, give_back, prepare, tokenizer_file
 from quarry.llm.token_orc import _Numbers, slices
 
 MARK = "▁"
@@ -293,6 +293,25 @@ def codec(path: str) -> PieceCodec:
     return _STATE[path]
 
 
+def _encode_batches(batches: Iterator[pd.Series], model: str) -> Iterator[pd.DataFrame]:
+    """Results of the texts of ``batches`` in order, in frames of ``SLICE_CHARS`` characters."""
+    c = codec(model)
+    for texts in batches:
+        values = [t or "" for t in texts]
+        texts = None
+        for lo, hi in slices(values, SLICE_CHARS):
+            flat, sizes = c.encode(values[lo:hi])
+            flat32 = flat.astype("<i4")
+            ends = np.cumsum(sizes)
+            rows = [(flat32[a:b], b - a, zlib.crc32(flat32[a:b]), c.decode(flat[a:b]) == t)
+                    for t, a, b in zip(values[lo:hi], (ends - sizes).tolist(), ends.tolist())]
+            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_crc32", "round_trip"])
+            rows = flat = flat32 = None
+            give_back()
+    c._forget()  # idle workers keep no words
+    give_back()
+
+
 def encode(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """``df`` with ``ids``, ``n_tokens``, ``ids_crc32`` (of little-endian 32-bit ids) and ``round_trip``.
 
@@ -302,18 +321,7 @@ def encode(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = codec(model)
-        for texts in batches:
-            values = [t or "" for t in texts]
-            rows = []
-            for lo, hi in slices(values, SLICE_CHARS):
-                flat, sizes = c.encode(values[lo:hi])
-                flat32 = flat.astype("<i4")
-                ends = np.cumsum(sizes)
-                for t, a, b in zip(values[lo:hi], (ends - sizes).tolist(), ends.tolist()):
-                    rows.append((flat32[a:b], b - a, zlib.crc32(flat32[a:b]), c.decode(flat[a:b]) == t))
-            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_crc32", "round_trip"])
-        c._forget()  # idle workers keep no words
+        return _encode_batches(batches, model)
 
     tmp = free_name(df, "__enc")
     names = ("ids", "n_tokens", "ids_crc32", "round_trip")

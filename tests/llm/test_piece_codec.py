@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -45,3 +48,29 @@ def test_table(spark, docs_df, lib):
     back = C.decode(out.select("doc_id", "ids", "text"), MODEL, "ids", "back").collect()
     assert all(r.back == (r.text or "").replace("▁", " ") for r in back)
     assert C.encode(docs_df(rows).limit(0), MODEL).count() == 0
+
+
+KEPT = """
+import random, re, string, sys
+import pandas as pd
+from quarry.llm import piece_codec as C
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+C.codec(sys.argv[1])
+r = random.Random(3)
+word = lambda: "".join(r.choices(string.ascii_lowercase, k=r.randrange(2, 12)))
+before = held()
+for out in C._encode_batches(iter([pd.Series([" ".join(word() for _ in range(250)) for _ in range(600)]) for _ in range(2)]), sys.argv[1]):
+    assert len(out)
+out = None
+print(held() - before)
+"""
+
+
+def test_a_finished_task_keeps_little_memory():
+    """A worker is reused by the stages after the encoding, so it must not keep what the encoding needed."""
+    got = subprocess.run([sys.executable, "-c", KEPT, MODEL], capture_output=True, text=True, check=True, timeout=300,
+                         env={**os.environ, "PYTHONPATH": os.pathsep.join([os.path.dirname(os.path.dirname(os.path.dirname(C.__file__))), *sys.path])})
+    assert float(got.stdout.split()[-1]) < 40
