@@ -25,7 +25,7 @@ from quarry.operators.segments import text_chunks
 from quarry.operators.upsert import distinct_edges
 from quarry.sources.catalog import Catalog
 from quarry.sources.ndjson import write_artifact
-from quarry.sources.staging import written
+from quarry.sources.staging import discard, written
 from quarry.sources.tree_scan import list_tree, read_files, stat_entries, with_hashes
 
 STEP_SCAN, STEP_EMBED, STEP_ALL = "index.scan", "index.embed", "index.all"
@@ -235,13 +235,15 @@ def _embed_into(spark, catalog, ws, embedder, model_name, run_dir, max_tokens, m
         F.lit(effective_dim if effective_dim is not None else embedder.dim).cast("int").alias("effective_dim"),
         F.lit(transform_id_).alias("transform_id"), "vector", F.lit(now).alias("ts"),
         norm("vector").alias("norm"))  # stored once, so a search is one dot product per chunk
-    vecs = written(vecs, "chunk-rows")
     touched = delta.select(F.lit(ws).alias("ws"), "relpath", F.lit(slug).alias("model"))
-    old_ids = vecs.limit(0).select("id")
-    if stored is not None:
+    old_ids, none_before = vecs.limit(0).select("id"), stored is None
+    if not none_before:
         old_ids = written(stored.where(F.col("ws") == ws).join(touched.select("relpath"), "relpath", "left_semi").select("id"), "old-chunks")
+    # vectors are stored once, in the catalogue, and read back from there
     catalog.replace_keys("vector_chunk", vecs, touched)
+    discard(cut, new, known)
     stored = catalog.read("vector_chunk").where(here)
+    vecs = stored if none_before else stored.join(touched.select("relpath"), "relpath", "left_semi")
     if stored.limit(1).count() == 0:
         raise RuntimeError(f"workspace {ws} holds no file that can be embedded")
     _refresh_sums(catalog, ws, slug, stored, touched)
@@ -263,7 +265,7 @@ def _embed_into(spark, catalog, ws, embedder, model_name, run_dir, max_tokens, m
     report.artifact_paths.append(write_artifact(
         vecs.select("relpath", F.col("chunk_index").alias("index"), "start", "end", "token_count", "content_sha",
                     (F.col("end") - F.col("start")).alias("size"), "vector", "native_dim"),
-        run_dir, "vectors.ndjson"))
+        run_dir, "vectors.ndjson", "gzip"))  # as text, vectors are the largest of all that a run writes
 
 
 def _refresh_sums(catalog: Catalog, ws: str, slug: str, stored: DataFrame, touched: DataFrame) -> None:

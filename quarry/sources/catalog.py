@@ -107,7 +107,7 @@ class Catalog:
         """Write rows with their buckets; unless ``dealt`` out already, rows of one partition meet first (large ones in parts)."""
         parts = [*(c for c in _SCOPES if c in df.columns), "bucket"]
         out = df if dealt else df.hint("rebalance", *parts)
-        (out.write.mode("append" if mode == "append" else "overwrite").option("partitionOverwriteMode", "static" if mode == "static" else "dynamic")
+        (out.write.option("compression", "zstd").mode("append" if mode == "append" else "overwrite").option("partitionOverwriteMode", "static" if mode == "static" else "dynamic")
          .partitionBy(*parts).parquet(self._folder(table, layout)))
 
     def _swap(self, table: str, df: DataFrame, layout: tuple[str, int], within: Iterable[str], dealt: bool = False) -> None:

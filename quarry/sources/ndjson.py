@@ -24,8 +24,8 @@ def read_texts(spark: SparkSession, path: str, max_texts: int | None = None) ->
     return texts
 
 
-def write_artifact(df: DataFrame, run_dir: str, name: str) -> str:
+def write_artifact(df: DataFrame, run_dir: str, name: str, compression: str = "none") -> str:
     """Write ``df`` as NDJSON under ``run_dir/name`` (a directory of part files), replacing it."""
     path = f"{run_dir.rstrip('/')}/{name}"
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path, compression=compression)
     return path

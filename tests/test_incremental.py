@@ -107,3 +107,21 @@ def test_unreadable_file_fails_the_run_and_is_reported(spark, tree, tmp_path, mo
     rep = J.index_scan(spark, cat, str(tree), "w", str(tmp_path / "runs"))
     assert rep.acceptance == "fail" and "1 unreadable" in rep.risks[0]
     assert cat.read("file").count() == 32
+
+
+def test_vectors_are_stored_once(spark, tree, tmp_path):
+    """What a run stages of chunks and vectors is gone at its end, and their artefact is compressed."""
+    from quarry.session import checkpoint_root
+
+    staged = lambda: {p for p in os.listdir(checkpoint_root(spark)) if re.match("quarry-(new-chunks|new-vectors|known-vectors|chunk-rows)-", p)}
+    before, cat = staged(), Catalog(spark, str(tmp_path / "cat"), buckets=4)
+    for change in (None, "d1/f6.txt"):
+        if change:
+            (tree / change).write_text("a new text\n" + "shared tail\n" * 40)
+        rep = J.index_all(spark, cat, str(tree), "w", HashEmbedder(8), "m", str(tmp_path / "runs"), max_tokens=16)
+        assert rep.acceptance == "pass" and staged() == before
+        path = next(p for p in rep.artifact_paths if p.endswith("vectors.ndjson"))
+        assert not [p for p in os.listdir(path) if p.endswith(".json")]
+        rows = {(r["relpath"], r["index"]): tuple(np.round(r["vector"], 6)) for r in spark.read.json(path).collect()}
+        kept = {(r.relpath, r.chunk_index): tuple(np.round([float(x) for x in r.vector], 6)) for r in cat.read("vector_chunk").collect()}
+        assert rows and rows == ({k: v for k, v in kept.items() if k[0] == change} if change else kept)
