@@ -122,6 +122,6 @@ def test_vectors_are_stored_once(spark, tree, tmp_path):
         assert rep.acceptance == "pass" and staged() == before
         path = next(p for p in rep.artifact_paths if p.endswith("vectors.ndjson"))
         assert not [p for p in os.listdir(path) if p.endswith(".json")]
-        rows = {(r["relpath"], r["index"]): tuple(np.round(r["vector"], 6)) for r in spark.read.json(path).collect()}
-        kept = {(r.relpath, r.chunk_index): tuple(np.round([float(x) for x in r.vector], 6)) for r in cat.read("vector_chunk").collect()}
+        rows = {(r["relpath"], r["index"]): tuple(np.float32(r["vector"]).tolist()) for r in spark.read.json(path).collect()}
+        kept = {(r.relpath, r.chunk_index): tuple(np.float32(r.vector).tolist()) for r in cat.read("vector_chunk").collect()}
         assert rows and rows == ({k: v for k, v in kept.items() if k[0] == change} if change else kept)
